@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from episodica.functions.text import two_places
 from episodica.plans.skew import keyed_join
 
 # Fixed values of the reward rule.
@@ -39,15 +40,12 @@ def with_reward(
 
 
 def verification_message(correct: Column) -> Column:
-    """Text shown after a submit; ties in the second decimal round half up."""
+    """Text shown after a submit."""
+    terms = ("correctness", "precision_bonus", "recall_bonus", "bloat_penalty", "token_waste_penalty")
     return F.format_string(
-        "%s. Reward: correctness=%.2f, precision=%.2f, recall=%.2f, bloat=%.2f, "
-        "token_waste=%.2f, total=%.2f",
+        "%s. Reward: correctness=%s, precision=%s, recall=%s, bloat=%s, token_waste=%s, total=%s",
         F.when(correct, "CORRECT").otherwise("INCORRECT"),
-        *[F.col(c) for c in (
-            "correctness", "precision_bonus", "recall_bonus", "bloat_penalty",
-            "token_waste_penalty", "reward",
-        )],
+        *[two_places(F.col(c)) for c in (*terms, "reward")],
     )
 
 

@@ -71,3 +71,14 @@ def tasks(spark: SparkSession, folder: str) -> DataFrame:
         relevant.alias("relevant"),
         F.array_except(F.array(*map(F.lit, CATALOG)), relevant).alias("distractors"),
     )
+
+
+def skills(spark: SparkSession, folder: str) -> DataFrame:
+    """The skills the logged actions name, one row each."""
+    logged = actions(spark, folder).select("skill_id").where("skill_id is not null").distinct()
+    return logged.select(
+        "skill_id",
+        F.concat(F.lit("Skill "), "skill_id").alias("name"),
+        F.concat(F.lit("About "), "skill_id").alias("short_description"),
+        F.concat(F.lit("Content of "), "skill_id").alias("full_content"),
+    )
