@@ -135,12 +135,13 @@ def ordered(
     carry: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
     following: dict[str, Column] | None = None,
+    total: str | None = None,
     slice_rows: int = HOT_ROWS,
     keep_slice: bool = False,
 ) -> DataFrame:
     """Add ordered values per key.
 
-    ``number``: position from 1. ``running``: inclusive running sum. ``carry``: last
+    ``number``: position from 1. ``total``: rows of the key. ``running``: inclusive running sum. ``carry``: last
     non-null value up to the row. ``previous`` / ``following``: value of the
     neighbouring row. All of them share one shuffle and one sort.
     """
@@ -153,6 +154,8 @@ def ordered(
     added: dict[str, Column] = {}
     if number:
         added[number] = F.row_number().over(at).cast("long")
+    if total:
+        added[total] = F.count(F.lit(1)).over(Window.partitionBy(*keys, SLICE))
     for name, value in running.items():
         added[name] = F.sum(value).over(upto)
     for name, value in carry.items():
@@ -163,12 +166,12 @@ def ordered(
         added[name] = F.lead(F.struct(value.alias("v"))).over(at)
     out = rows.withColumns(added)
     if sliced.split:
-        out = _carry_in(out, rows, keys, order, number, running, carry, previous, following)
+        out = _carry_in(out, rows, keys, order, number, total, running, carry, previous, following)
     out = out.withColumns({n: F.col(n)["v"] for n in (*previous, *following)})
     return out if keep_slice else out.drop(SLICE)
 
 
-def _carry_in(out, rows, keys, order, number, running, carry, previous, following):
+def _carry_in(out, rows, keys, order, number, total, running, carry, previous, following):
     """Bring the totals of earlier (or the next) slices into each slice of a hot key."""
     at = F.struct(*order)
     totals = [F.count(F.lit(1)).alias("_in_number")]
@@ -180,7 +183,10 @@ def _carry_in(out, rows, keys, order, number, running, carry, previous, followin
     per_slice = rows.where(F.col(SLICE) > 0).groupBy(*keys, SLICE).agg(*totals)
     chain = Window.partitionBy(*keys).orderBy(SLICE)
     before = chain.rowsBetween(Window.unboundedPreceding, -1)
-    carried = {"_in_number": F.sum("_in_number").over(before)}
+    carried = {
+        "_in_number": F.sum("_in_number").over(before),
+        "_in_total": F.sum("_in_number").over(Window.partitionBy(*keys)),
+    }
     carried |= {f"_in_{n}": F.sum(f"_in_{n}").over(before) for n in running}
     carried |= {f"_in_{n}": F.last(f"_in_{n}", ignorenulls=True).over(before) for n in carry}
     carried |= {f"_in_{n}": F.lag(f"_in_{n}").over(chain) for n in previous}
@@ -190,6 +196,8 @@ def _carry_in(out, rows, keys, order, number, running, carry, previous, followin
     fixed: dict[str, Column] = {}
     if number:
         fixed[number] = F.col(number) + F.coalesce("_in_number", F.lit(0))
+    if total:
+        fixed[total] = F.coalesce("_in_total", F.col(total))
     for name in running:
         had = F.col(f"_in_{name}").isNotNull()
         fixed[name] = F.when(had, F.col(f"_in_{name}") + F.coalesce(F.col(name), F.lit(0))).otherwise(F.col(name))
