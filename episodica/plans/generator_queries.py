@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from episodica.functions.binary import pack, unpack
 from episodica.operators import generate, records
 from episodica.plans.episode_queries import joined
 from episodica.plans.registry import query
@@ -216,10 +217,9 @@ def encode_header(spark, folder):
 )
 def decode_header(spark, folder):
     """Headers of all orders; those of one status have their last byte flipped first."""
-    cut = F.substring("data", 1, 15)
-    last = F.unhex(F.hex(F.lit(255) - F.conv(F.hex(F.substring("data", 16, 1)), 16, 10).cast("int")))
-    flipped = F.when(F.col("o_orderstatus") == "P", F.concat(cut, F.right(F.concat(F.unhex(F.lit("00")), last), F.lit(1))))
-    rows = _headers(spark, folder).withColumn("data", F.coalesce(flipped, F.col("data")))
+    broken = F.concat(F.substring("data", 1, 15), pack(255 - unpack(F.col("data"), 15, 1), 1))
+    data = F.when(F.col("o_orderstatus") == "P", broken).otherwise(F.col("data"))
+    rows = _headers(spark, folder).withColumn("data", data)
     names = F.array(F.lit("compressed"), F.lit("encrypted"), F.lit("checksummed"))
     rows = rows.withColumn("seen", records.decode_header(F.col("data"), F.lit("NOVB"), names))
     flags = [F.col("seen.flag_values")[n].alias(n) for n in ("compressed", "encrypted", "checksummed")]
