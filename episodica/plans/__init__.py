@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["episode_queries", "catalog_queries", "generator_queries", "grading_queries", "domain_queries"]
+MODULES = ["episode_queries", "catalog_queries", "generator_queries", "grading_queries", "domain_queries", "event_queries", "stream_queries"]
 
 
 def load_all() -> None:

@@ -150,12 +150,47 @@ s AS (SELECT o_orderpriority AS series_id, CAST((year(o_orderdate) - 1995) * 12
              CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS value FROM orders GROUP BY ALL)"""
 
 
-@query("hp_filter")
+def _sql_filter(value: str, lamb: str) -> str:
+    """The same five-band elimination as two recursions over each series."""
+    lamb = f"{lamb}::DOUBLE"
+    return f"""
+WITH RECURSIVE {SERIES},
+m AS (SELECT series_id, t, value, {value} AS y, row_number() OVER w AS i, count(*) OVER (PARTITION BY series_id) AS n
+      FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+b AS (SELECT *, 1 + {lamb} * ((i <= n - 2)::INTEGER + 4 * (i >= 2 AND i <= n - 1)::INTEGER + (i >= 3)::INTEGER) AS main,
+             -2 * {lamb} * ((i <= n - 2)::INTEGER + (i >= 2 AND i <= n - 1)::INTEGER) AS near,
+             {lamb} * (i <= n - 2)::INTEGER AS far FROM m),
+f AS (SELECT series_id, i, main AS p1, 0.0::DOUBLE AS p2, near / main AS f1, far / main AS s1, 0.0::DOUBLE AS s2,
+             y AS z1, 0.0::DOUBLE AS z2 FROM b WHERE i = 1
+      UNION ALL
+      SELECT series_id, i, p0, p1, (near - f1 * s1 * p1) / p0, far / p0, s1, z, z1
+      FROM (SELECT f.series_id, b.i, f.p1, f.f1, f.s1, f.z1, b.near, b.far,
+                   b.main - f.f1 * f.f1 * f.p1 - f.s2 * f.s2 * f.p2 AS p0, b.y - f.f1 * f.z1 - f.s2 * f.z2 AS z
+            FROM f JOIN b ON b.series_id = f.series_id AND b.i = f.i + 1)),
+x AS (SELECT f.series_id, f.i, z1 / p1 AS x1, 0.0::DOUBLE AS x2 FROM f JOIN b USING (series_id, i) WHERE i = n
+      UNION ALL
+      SELECT f.series_id, f.i, f.z1 / f.p1 - f.f1 * x.x1 - f.s1 * x.x2, x.x1
+      FROM x JOIN f ON f.series_id = x.series_id AND f.i = x.i - 1),
+h AS (SELECT m.series_id, m.t, m.value, x.x1 AS trend, m.y - x.x1 AS cycle FROM m JOIN x USING (series_id, i))
+"""
+
+
+@query(
+    "hp_filter",
+    _sql_filter("value", "14400") + "SELECT series_id, t, value, round(trend, 2) AS trend, round(cycle, 2) AS cycle FROM h",
+)
 def hp_filter(spark, folder):
-    return hpfilter.hp_filter(bindings.priority_series(spark, folder), float(hpfilter.LAMBDA["monthly"]))
+    out = hpfilter.hp_filter(bindings.priority_series(spark, folder), float(hpfilter.LAMBDA["monthly"]))
+    return out.withColumns({c: F.round(c, 2) for c in ("trend", "cycle")})
 
 
-@query("hp_correlation")
+@query(
+    "hp_correlation",
+    _sql_filter("ln(value)", "14400")
+    + """SELECT a.series_id AS series_a, b.series_id AS series_b, round(corr(a.cycle, b.cycle), 5) AS correlation,
+           count(*) AS points FROM h a JOIN h b USING (t)
+         WHERE a.series_id = '1-URGENT' AND b.series_id <> '1-URGENT' GROUP BY ALL""",
+)
 def hp_correlation(spark, folder):
     """Cycle of every priority against that of the most urgent one."""
     series = bindings.priority_series(spark, folder)
