@@ -20,6 +20,12 @@ def _feed(spark, folder, delay="10 seconds"):
     return jobs.event_source(spark, folder, pattern="events.parquet", delay=delay)
 
 
+def _kept(spark, folder):
+    """Filtered and mapped feed. The watermark follows the rows kept, not the ones dropped."""
+    rows = events.filter_map(_feed(spark, folder, None), KEPT)
+    return rows.withWatermark("ts", "10 seconds")
+
+
 def _ntz(df, *names):
     return df.withColumns({n: stamp(F.col(n)) for n in names})
 
@@ -35,11 +41,11 @@ def stream_source(spark, folder):
     f"""WITH {MAPPED} SELECT {sql_stamp("time_bucket(INTERVAL '5 minutes', ts)")} AS window_start,
           {sql_stamp("time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes'")} AS window_end, user_id, {WINDOWED}
         FROM m WHERE time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes'
-          <= (SELECT max(ts) - INTERVAL '10 seconds' FROM events) GROUP BY ALL""",
+          <= (SELECT max(ts) - INTERVAL '10 seconds' FROM m) GROUP BY ALL""",
 )
 def stream_tumbling(spark, folder):
     """Closed five-minute windows of the filtered feed."""
-    rows = events.filter_map(_feed(spark, folder), KEPT)
+    rows = _kept(spark, folder)
     return _ntz(jobs.drain(jobs.tumbling(rows, ["user_id"], "5 minutes")), "window_start", "window_end")
 
 
@@ -122,14 +128,14 @@ def stream_replay_query(spark, folder):
 @query(
     "stream_branch",
     f"""WITH {MAPPED}, w AS (SELECT time_bucket(INTERVAL '5 minutes', ts) AS s, user_id, {WINDOWED} FROM m
-          WHERE time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' <= (SELECT max(ts) - INTERVAL '10 seconds' FROM events)
+          WHERE time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' <= (SELECT max(ts) - INTERVAL '10 seconds' FROM m)
           GROUP BY ALL)
         SELECT CASE WHEN total_value > 100 THEN 'high_value' ELSE 'default' END AS route, user_id, action_count, total_value FROM w""",
 )
 def stream_branch(spark, folder):
     """Filter, map, window, then each result to the sink of its route."""
     sinks = fresh_dir(spark, "routes")
-    rows = jobs.tumbling(events.filter_map(_feed(spark, folder), KEPT), ["user_id"], "5 minutes")
+    rows = jobs.tumbling(_kept(spark, folder), ["user_id"], "5 minutes")
     jobs.drain_batches(rows, files.branch_writer({"high_value": F.col("total_value") > 100.0}, sinks))
     fields = "user_id long, action_count long, total_value double, batch int, route string"
     return spark.read.schema(fields).parquet(sinks).select("route", "user_id", "action_count", "total_value")
