@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Block size in bytes per hash (RFC 2104) and its two pad bytes.
@@ -14,23 +14,35 @@ def raw_hash(algo: str, data: Column) -> Column:
     return F.unhex(F.md5(data) if algo == "md5" else F.sha2(data, int(algo[3:])))
 
 
-def _padded(key_hex: Column, block: int, pad: int) -> Column:
-    """Key XOR pad, eight bytes at a time, as hex."""
+def _words(algo: str, key: Column) -> Column:
+    """The key filled up to the block, as 8-byte words. A longer key is hashed first."""
+    block = BLOCK[algo]
+    short = F.when(F.octet_length(key) > block, raw_hash(algo, key)).otherwise(key)
+    text = F.rpad(F.hex(short), block * 2, "0")
+    return F.array(
+        *[F.conv(F.substring(text, at * 16 + 1, 16), 16, -10).cast("long") for at in range(block // 8)]
+    )
+
+
+def _padded(words: Column, block: int, pad: int) -> Column:
     mask = F.lit(int.from_bytes(bytes([pad]) * 8, "big", signed=True))
-    words = [F.conv(F.substring(key_hex, at * 16 + 1, 16), 16, -10) for at in range(block // 8)]
-    return F.concat(*[F.lpad(F.hex(w.cast("long").bitwiseXOR(mask)), 16, "0") for w in words])
+    return F.unhex(
+        F.concat(*[F.lpad(F.hex(words[at].bitwiseXOR(mask)), 16, "0") for at in range(block // 8)])
+    )
 
 
-def hmac(algo: str, key: Column, message: Column) -> Column:
-    """HMAC of a string or binary message, as BINARY. A key above the block is hashed first."""
+def _digest(algo: str, words: Column, message: Column) -> Column:
     block = BLOCK[algo]
-    key = key.cast("binary")
-    short = F.when(F.octet_length(key) > block, raw_hash(algo, key)).otherwise(key)
-    key_hex = F.rpad(F.hex(short), block * 2, "0")
-    inner = raw_hash(algo, F.concat(F.unhex(_padded(key_hex, block, INNER)), message.cast("binary")))
-    return raw_hash(algo, F.concat(F.unhex(_padded(key_hex, block, OUTER)), inner))
+    inner = raw_hash(algo, F.concat(_padded(words, block, INNER), message))
+    return raw_hash(algo, F.concat(_padded(words, block, OUTER), inner))
+
 
+def with_hmac(df: DataFrame, name: str, algo: Column, key: Column, message: Column) -> DataFrame:
+    """Add the HMAC of a string or binary message, with the hash named per row.
 
-def hmac_by(algo: Column, key: Column, message: Column) -> Column:
-    """HMAC with the hash named per row."""
-    return F.coalesce(*[F.when(algo == name, hmac(name, key, message)) for name in BLOCK])
+    The words of the key are a column of their own, so each is worked out once.
+    """
+    key, message = key.cast("binary"), message.cast("binary")
+    words = F.coalesce(*[F.when(algo == a, _words(a, key)) for a in BLOCK])
+    digest = F.coalesce(*[F.when(algo == a, _digest(a, F.col("_words"), message)) for a in BLOCK])
+    return df.withColumn("_words", words).withColumn(name, digest).drop("_words")

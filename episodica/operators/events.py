@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.plans.skew import HOT_ROWS, keyed_join, ordered
+from episodica.plans.skew import HOT_ROWS, keyed_join, ordered, salted_join
 
 MONEY = "decimal(18,2)"
 
@@ -125,6 +125,7 @@ def join_within(left: DataFrame, right: DataFrame, key: str, left_ts: str, right
 
     lent = F.explode(F.array(bucket(right_ts), bucket(right_ts) - 1))
     near = right.withColumn("_bucket", lent)
-    pairs = left.withColumn("_bucket", bucket(left_ts)).join(near, [key, "_bucket"]).drop("_bucket")
+    placed = left.withColumn("_bucket", bucket(left_ts))
+    pairs = salted_join(placed, near, [key, "_bucket"], hot_rows=100_000).drop("_bucket")
     gap = F.unix_micros(F.col(right_ts).cast("timestamp")) - F.unix_micros(F.col(left_ts).cast("timestamp"))
     return pairs.where((gap >= 0) & (gap <= seconds * 1_000_000))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.functions.crypto import hmac_by
+from episodica.functions.crypto import with_hmac
 from episodica.functions.draws import draw, pick
 from episodica.operators.catalog import sampled
 from episodica.operators.records import encode_header
@@ -73,8 +73,8 @@ def sign_requests(requests: DataFrame) -> DataFrame:
     Needs api_key, ts, method, algo, signing, header, api_name and prefix.
     """
     text = signing_text(F.col("signing"), F.col("api_key"), F.col("ts"), F.col("method"))
-    sig = F.base64(hmac_by(F.col("algo"), F.col("api_key"), text))
-    return requests.withColumn("signature", sig).withColumns(
+    signed = with_hmac(requests, "_digest", F.col("algo"), F.col("api_key"), text)
+    return signed.withColumn("signature", F.base64("_digest")).drop("_digest").withColumns(
         {
             "header_name": F.replace("header", F.lit("{api}"), F.col("api_name")),
             "header_value": header_value(

@@ -2,13 +2,14 @@
 
 ``stage`` classifies actions and numbers them, ``replay_state`` gives one row per
 episode, ``replay_steps`` one row per action. Ordinary episodes are folded natively;
-episodes above ``FOLD_ROWS`` run as Arrow groups; episodes above the slice size are cut
+episodes above ``FOLD_ROWS`` run as ordered Arrow streams; episodes above the slice size are cut
 into slices whose effect on every possible start state is worked out in parallel, so
 no task ever holds one whole giant episode.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -36,20 +37,21 @@ def normalise(action_type: Column) -> Column:
 
 
 def settings(episodes: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Per episode: its task, catalog ids, relevant ids and budget."""
-    picked = tasks.select(
-        "task_id", "relevant", F.concat("relevant", "distractors").alias("catalog")
-    )
+    """Per episode: its task, catalog ids and budget."""
+    picked = tasks.select("task_id", F.concat("relevant", "distractors").alias("catalog"))
     return keyed_join(episodes, picked, ["task_id"]).withColumn(
         "budget", F.coalesce("context_budget", F.lit(5))
     ).drop("context_budget")
 
 
 class Staged:
-    """Classified, numbered actions, still partitioned by episode (and slice)."""
+    """Classified, numbered actions, still partitioned by episode (and slice).
+
+    The id lists stay behind in ``setting``; they do not travel with every action.
+    """
 
-    def __init__(self, rows: DataFrame, largest: int, split: bool):
-        self.rows, self.largest, self.split = rows, largest, split
+    def __init__(self, rows: DataFrame, setting: DataFrame, largest: int, split: bool):
+        self.rows, self.setting, self.largest, self.split = rows, setting, largest, split
 
 
 def stage(
@@ -79,7 +81,7 @@ def stage(
         .when((kind == "load") & F.col("_known").isNull(), "unknown_skill")
         .when((kind == "load") & ~F.array_contains("catalog", skill), "not_in_catalog"),
     )
-    sliced = slice_keys(rows.drop("_known"), ["episode_id"], order, slice_rows)
+    sliced = slice_keys(rows.drop("_known", "catalog"), ["episode_id"], order, slice_rows)
     submit = F.when(kind == "submit", 1).otherwise(0)
     rows = ordered(
         sliced, ["episode_id"], order, number="step", running={"_submits": submit}, keep_slice=True
@@ -87,7 +89,7 @@ def stage(
     after = F.col("_submits") > submit
     rows = rows.withColumn("code", F.when(after, "after_done").otherwise(F.col("code")))
     op = F.when(F.col("code").isNotNull(), 0).when(kind == "load", LOAD).otherwise(UNLOAD)
-    return Staged(rows.withColumn("op", op).drop("_submits"), sliced.largest, sliced.split)
+    return Staged(rows.withColumn("op", op).drop("_submits"), setting, sliced.largest, sliced.split)
 
 
 # --- native folds -------------------------------------------------------------------
@@ -144,13 +146,13 @@ def _native_state(rows: DataFrame) -> DataFrame:
     )
 
 
-SUMMARY = ["task_id", "relevant", "budget", "steps", "done", "correct"]
+SUMMARY = ["task_id", "budget", "steps", "done", "correct"]
 
 
 def _summary() -> list[Column]:
     submitted = F.col("code") == "submitted"
     return [
-        *[F.first(c).alias(c) for c in ("task_id", "relevant", "budget")],
+        *[F.first(c).alias(c) for c in ("task_id", "budget")],
         F.count(F.lit(1)).alias("steps"),
         F.coalesce(F.bool_or(submitted), F.lit(False)).alias("done"),
         F.bool_or(F.when(submitted, F.coalesce("correct", F.lit(False)))).alias("correct"),
@@ -198,17 +200,28 @@ STEP_SCHEMA = (
 )
 
 
-def _steps_of_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("step")
-    loaded, ever = list(pdf["loaded0"].iat[0]), list(pdf["ever0"].iat[0])
-    budget = int(pdf["budget"].iat[0])
-    outcomes, held, seen = [], [], []
-    for op, code, skill in zip(pdf["op"], pdf["code"], pdf["skill_id"]):
-        outcomes.append(advance(loaded, ever, budget, op, skill) if op else code)
-        held.append(tuple(loaded))
-        seen.append(tuple(ever))
-    pdf = pdf.assign(outcome=outcomes, loaded=held, ever=seen)
-    return pdf[["episode_id", "task_id", "budget", "step", "outcome", "action_type", "skill_id", "loaded", "ever"]]
+STEP_NAMES = [part.split()[0] for part in STEP_SCHEMA.replace(f"loaded {IDS}, ever {IDS}", "loaded x, ever x").split(", ")]
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Steps of whole (episode, slice) runs that come in order; a run may span batches."""
+    run, loaded, ever = None, [], []
+    for pdf in batches:
+        outcomes, held, seen = [], [], []
+        columns = ("episode_id", SLICE, "op", "code", "skill_id", "budget", "loaded0", "ever0")
+        for episode, piece, op, code, skill, budget, loaded0, ever0 in zip(*[pdf[c] for c in columns]):
+            if run != (episode, piece):
+                run, loaded, ever = (episode, piece), list(loaded0), list(ever0)
+            outcomes.append(advance(loaded, ever, budget, op, skill) if op else code)
+            held.append(tuple(loaded))
+            seen.append(tuple(ever))
+        yield pdf.assign(outcome=outcomes, loaded=held, ever=seen)[STEP_NAMES]
+
+
+def _walked(rows: DataFrame) -> DataFrame:
+    runs = rows.repartition("episode_id", SLICE).sortWithinPartitions("episode_id", SLICE, "step")
+    need = ["task_id", "step", "action_type", "episode_id", SLICE, "op", "code", "skill_id", "budget", "loaded0", "ever0"]
+    return runs.select(*need).mapInPandas(_walk, STEP_SCHEMA)
 
 
 def _end_of_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -341,10 +354,10 @@ def _chain_by_rounds(giant: DataFrame) -> DataFrame:
     return chain
 
 
-def slice_chain(giant: DataFrame) -> DataFrame:
+def slice_chain(giant: DataFrame, setting: DataFrame) -> DataFrame:
     """State at the start and end of every slice of the giant episodes."""
-    need = ["episode_id", SLICE, "step", "op", "skill_id", "catalog", "budget"]
-    giant = giant.select(*need)
+    giant = giant.select("episode_id", SLICE, "step", "op", "skill_id", "budget")
+    giant = keyed_join(giant, setting.select("episode_id", "catalog"), ["episode_id"])
     width, budget = giant.agg(F.max(F.size("catalog")), F.max("budget")).first()
     states = sum(comb(width, k) for k in range(min(width, budget) + 1))
     if states > START_STATES or width > 62:
@@ -376,7 +389,7 @@ def replay_state(staged: Staged, fold_rows: int = FOLD_ROWS) -> DataFrame:
         ends = _from_empty(long).groupBy("episode_id", SLICE).applyInPandas(_end_of_group, END_SCHEMA)
         state = state.unionByName(_with_summary(long, ends))
     if giant is not None:
-        chain = slice_chain(giant)
+        chain = slice_chain(giant, staged.setting)
         final = chain.groupBy("episode_id").agg(F.max_by(F.struct("loaded", "ever"), SLICE).alias("s"))
         state = state.unionByName(_with_summary(giant, final.select("episode_id", "s.*")))
     used = F.size("loaded")
@@ -395,14 +408,12 @@ def replay_steps(staged: Staged, fold_rows: int = FOLD_ROWS) -> DataFrame:
     if long is not None:
         steps = steps.unionByName(replay_pandas(long))
     if giant is not None:
-        chain = slice_chain(giant).select("episode_id", SLICE, "loaded0", "ever0")
+        chain = slice_chain(giant, staged.setting).select("episode_id", SLICE, "loaded0", "ever0")
         started = giant.join(F.broadcast(chain), ["episode_id", SLICE])
-        steps = steps.unionByName(
-            started.groupBy("episode_id", SLICE).applyInPandas(_steps_of_group, STEP_SCHEMA)
-        )
+        steps = steps.unionByName(_walked(started))
     return steps.withColumn("used", F.size("loaded"))
 
 
 def replay_pandas(rows: DataFrame) -> DataFrame:
-    """The same steps from Arrow groups, for episodes of thousands of actions."""
-    return _from_empty(rows).groupBy("episode_id", SLICE).applyInPandas(_steps_of_group, STEP_SCHEMA)
+    """The same steps from an ordered Arrow stream, for episodes of thousands of actions."""
+    return _walked(_from_empty(rows))

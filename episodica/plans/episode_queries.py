@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from episodica.operators import render, replay, reward
 from episodica.plans.registry import query
+from episodica.plans.skew import keyed_join
 from episodica.sources import bindings
 
 ACTIONS = """
@@ -94,17 +95,22 @@ def staged(spark, folder, **sizes):
     return replay.stage(bindings.actions(spark, folder), setting, ["ts", "event_id"], **sizes)
 
 
+def with_relevant(states, spark, folder):
+    """Episode states joined to the relevant ids of their task."""
+    return keyed_join(states, bindings.tasks(spark, folder).select("task_id", "relevant"), ["task_id"])
+
+
 def states(spark, folder):
     return replay.replay_state(staged(spark, folder))
 
 
 def rewards(spark, folder):
-    return reward.with_reward(states(spark, folder).where("done"))
+    return reward.with_reward(with_relevant(states(spark, folder).where("done"), spark, folder))
 
 
 def labelled_rewards(spark, folder):
-    labels = bindings.tasks(spark, folder).select("task_id", "difficulty", "source")
-    return replay.keyed_join(rewards(spark, folder), labels, ["task_id"])
+    tasks = bindings.tasks(spark, folder).select("task_id", "relevant", "difficulty", "source")
+    return reward.with_reward(keyed_join(states(spark, folder).where("done"), tasks, ["task_id"]))
 
 
 @query(
@@ -157,7 +163,7 @@ def replay_steps(spark, folder):
 
 @query("replay_pandas", STEPS_SQL)
 def replay_pandas(spark, folder):
-    """Replay through Arrow groups; giant episodes still go through their slices."""
+    """Replay through ordered Arrow streams for every episode."""
     return _step_columns(replay.replay_steps(staged(spark, folder), fold_rows=0))
 
 
@@ -198,7 +204,7 @@ def reward_episode(spark, folder):
 )
 def set_overlap(spark, folder):
     hits = F.array_intersect("loaded", "relevant")
-    return states(spark, folder).select(
+    return with_relevant(states(spark, folder), spark, folder).select(
         "episode_id", joined(F.array_sort(hits)).alias("hits"), F.size(hits).alias("n_hits")
     )
 
@@ -211,7 +217,7 @@ def set_overlap(spark, folder):
          array_to_string(list_sort([x FOR x IN ever IF NOT list_contains(relevant, x)]), ',') AS wasted FROM state""",
 )
 def set_waste(spark, folder):
-    return states(spark, folder).select(
+    return with_relevant(states(spark, folder), spark, folder).select(
         "episode_id",
         joined(F.array_sort(F.array_except("loaded", "relevant"))).alias("unnecessary"),
         joined(F.array_sort(F.array_except("ever", "relevant"))).alias("wasted"),
@@ -228,7 +234,7 @@ def set_waste(spark, folder):
 )
 def missed_skill_rate(spark, folder):
     missed = reward.missed_skill().cast("double")
-    return states(spark, folder).agg(
+    return with_relevant(states(spark, folder), spark, folder).agg(
         F.count(F.lit(1)).alias("episodes"),
         F.round(F.avg(missed), 6).alias("missed_rate"),
         F.round(F.avg((F.size("ever") > 0).cast("double")), 6).alias("load_rate"),
@@ -296,7 +302,7 @@ def verification_message(spark, folder):
 def step_message(spark, folder):
     """One message per action; the submit line carries the reward of its episode."""
     stage = staged(spark, folder)
-    scored = reward.with_reward(replay.replay_state(stage).where("done"))
+    scored = reward.with_reward(with_relevant(replay.replay_state(stage).where("done"), spark, folder))
     verdicts = scored.select("episode_id", reward.verification_message(F.col("correct")).alias("verdict"))
     steps = render.with_names(replay.replay_steps(stage), bindings.skills(spark, folder))
     submits = steps.where(F.col("outcome") == "submitted").join(verdicts, "episode_id")

@@ -191,8 +191,8 @@ def _payloads(spark, folder):
          WHEN 'click' THEN 'k: not int' ELSE '' END AS violations FROM events""",
 )
 def json_validate(spark, folder):
-    found = codecs.violations(F.col("payload"), {"k": "int"})
-    return _payloads(spark, folder).select("event_id", F.array_join(found, "; ").alias("violations"))
+    checked = codecs.with_violations(_payloads(spark, folder), "payload", {"k": "int"})
+    return checked.select("event_id", F.array_join("violations", "; ").alias("violations"))
 
 
 @query(
@@ -242,7 +242,7 @@ def observation_from_json(spark, folder):
         F.struct(seen.alias("observation"), F.when(k % 4 == 0, True).alias("done"), F.when(k % 4 == 0, F.col("value")).alias("reward"))
     )
     parsed = _events(spark, folder).select("event_id", payload.alias("payload"))
-    parsed = parsed.select("event_id", codecs.observation(F.col("payload")).alias("o"))
+    parsed = codecs.with_observation(parsed, "payload", "o")
     return parsed.select(
         "event_id", "o.task_description", "o.difficulty", joined("o.loaded_skills").alias("loaded_skills"),
         F.try_element_at("o.loaded_skill_contents", F.lit("s1")).alias("first_content"),
@@ -268,7 +268,7 @@ def state_from_json(spark, folder):
         )
     )
     parsed = _events(spark, folder).select("event_id", payload.alias("payload"))
-    parsed = parsed.select("event_id", codecs.state(F.col("payload")).alias("s"))
+    parsed = codecs.with_state(parsed, "payload", "s")
     return parsed.select(
         "event_id", "s.episode_id", "s.step_count", "s.task_id", "s.difficulty", "s.remaining_invocations", "s.done",
         joined("s.skills_ever_loaded").alias("skills_ever_loaded"),
@@ -297,10 +297,9 @@ def state_from_json(spark, folder):
 def render_observation(spark, folder):
     """Observation at submit, as if the last loaded skill had just been shown."""
     known = bindings.skills(spark, folder).where("skill_id <> 's7'")
-    scored = reward.with_reward(replay.replay_state(staged(spark, folder)).where("done"))
-    with_content = catalog.contents_of(scored, known)
-    tasks = bindings.tasks(spark, folder).select("task_id", F.concat("relevant", "distractors").alias("ids"))
-    rows = keyed_join(with_content, tasks, ["task_id"])
+    tasks = bindings.tasks(spark, folder).select("task_id", "relevant", F.concat("relevant", "distractors").alias("ids"))
+    states = replay.replay_state(staged(spark, folder)).where("done")
+    rows = catalog.contents_of(reward.with_reward(keyed_join(states, tasks, ["task_id"])), known)
     entry = F.transform(
         "ids",
         lambda s: F.struct(

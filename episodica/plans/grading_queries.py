@@ -135,7 +135,7 @@ def grade_cases(spark, folder):
     cases = part.select(key.alias("task_id"), F.inline(golden)).withColumn("tolerance", F.lit(None).cast("double"))
     columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    lines = table(spark, folder, "lineitem").withColumn("submission_id", F.sha2(F.to_json(F.struct(*columns)), 256))
+    lines = table(spark, folder, "lineitem").withColumn("submission_id", F.md5(F.concat_ws("|", *columns)))
     lines = lines.withColumn("task_id", F.col("l_partkey").cast("string"))
     amount = F.col("l_quantity").cast("long")
     error = F.when(F.col("l_tax") == 0, "failed")

@@ -12,6 +12,7 @@ Two devices carry the package:
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from episodica.session import durable
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 1_000_000
+HOT_KEYS = 1_000_000
 SLICE = "_slice"
 
 
@@ -47,26 +49,46 @@ def keyed_join(
     return salted_join(fact, dim, on, how, hot_rows=hot_rows)
 
 
+def key_sizes(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int, int]:
+    """Rows per key (lazy), rows of the largest key, and rows in all."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    largest, total = counts.agg(F.max("_n"), F.sum("_n")).first()
+    return counts, largest or 0, total or 0
+
+
+def _hot_limit(asked: int, total: int) -> int:
+    """At least ``total / HOT_KEYS`` rows, so that there are never more hot keys than that."""
+    return max(asked, total // HOT_KEYS)
+
+
+def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Null-safe equality of ``keys`` with the columns of ``right`` prefixed by ``_k_``."""
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_k_{k}"]) for k in keys])
+
+
+def _prefixed(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+
+
 def salted_join(
     fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", *, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Equi-join with the fact rows of each hot key spread over several salts.
 
-    Only keys with more than ``hot_rows`` fact rows are salted, so the list of hot keys
-    has at most ``rows / hot_rows`` entries and the lookup rows copied per salt stay few.
-    Rows with a null key match nothing and are spread evenly.
+    Keys with at most ``hot_rows`` fact rows are not salted, and without any larger key
+    this is a plain join. The lookup rows of a hot key are copied once per salt. Fact rows
+    with a null key match nothing and are spread evenly.
     """
-    hot = (
-        fact.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .select(*on, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_fan"))
+    counts, largest, total = key_sizes(fact, on)
+    if largest <= hot_rows:
+        return fact.join(dim, on, how)
+    limit = _hot_limit(hot_rows, total)
+    hot = counts.where(F.col("_n") > limit).select(
+        *on, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_fan")
     )
     plain = [f.name for f in fact.schema if f.dataType.typeName() not in ("map", "variant")]
     spread = F.xxhash64(*plain)
-    no_key = F.lit(False)
-    for name in on:
-        no_key = no_key | F.col(name).isNull()
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     salted_fact = (
         fact.join(F.broadcast(hot), on, "left")
         .withColumn(
@@ -105,21 +127,17 @@ def slice_keys(
     The slices are range partitions on key and order, so ties and bursts do not matter.
     They are written through a checkpoint: a recomputed task must not move a boundary.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot_total = F.sum(F.when(F.col("_n") > slice_rows, F.col("_n")))
-    largest, hot_rows = counts.agg(F.max("_n"), hot_total).first()
-    largest = largest or 0
-    if not hot_rows:
+    counts, largest, total = key_sizes(df, keys)
+    if largest <= slice_rows:
         return Sliced(df.withColumn(SLICE, F.lit(0)), keys, order, largest, False)
-    # At most rows / slice_rows keys are hot, so this list is small by construction.
-    hot = counts.where(F.col("_n") > slice_rows).select(*keys, F.lit(True).alias("_hot"))
-    marked = df.join(F.broadcast(hot), keys, "left")
-    cold = marked.where(F.col("_hot").isNull()).drop("_hot").withColumn(SLICE, F.lit(0))
-    parts = -(-hot_rows // slice_rows)
+    limit = _hot_limit(slice_rows, total)
+    hot = _prefixed(counts.where(F.col("_n") > limit), keys)
+    marked = df.join(F.broadcast(hot), _same_keys(df, hot, keys), "left").drop(*[f"_k_{k}" for k in keys])
+    cold = marked.where(F.col("_n").isNull()).drop("_n").withColumn(SLICE, F.lit(0))
     cut = (
-        marked.where(F.col("_hot"))
-        .drop("_hot")
-        .repartitionByRange(parts, *keys, *order)
+        marked.where(F.col("_n").isNotNull())
+        .drop("_n")
+        .repartitionByRange(-(-total // limit), *keys, *order)
         .withColumn(SLICE, F.spark_partition_id() + 1)
     )
     return Sliced(cold.unionByName(durable(cut)), keys, order, largest, True)
@@ -192,7 +210,9 @@ def _carry_in(out, rows, keys, order, number, total, running, carry, previous, f
     carried |= {f"_in_{n}": F.lag(f"_in_{n}").over(chain) for n in previous}
     carried |= {f"_in_{n}": F.lead(f"_in_{n}").over(chain) for n in following}
     inflow = per_slice.select(*keys, SLICE, *[c.alias(n) for n, c in carried.items()])
-    out = out.join(F.broadcast(inflow), [*keys, SLICE], "left")
+    inflow = _prefixed(inflow, [*keys, SLICE])
+    at_slice = _same_keys(out, inflow, [*keys, SLICE])
+    out = out.join(F.broadcast(inflow), at_slice, "left").drop(*[f"_k_{k}" for k in (*keys, SLICE)])
     fixed: dict[str, Column] = {}
     if number:
         fixed[number] = F.col(number) + F.coalesce("_in_number", F.lit(0))

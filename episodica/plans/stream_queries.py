@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from episodica.operators import events, replay, reward
 from episodica.plans.domain_queries import sql_stamp, stamp
-from episodica.plans.episode_queries import FOLD, joined
+from episodica.plans.episode_queries import FOLD, joined, with_relevant
 from episodica.plans.event_queries import KEPT, MAPPED, WINDOWED
 from episodica.plans.registry import query
 from episodica.session import fresh_dir
@@ -119,7 +119,7 @@ def stream_replay_query(spark, folder):
     actions = bindings.actions_of(_feed(spark, folder))
     setting = replay.settings(bindings.episodes(spark, folder), bindings.tasks(spark, folder))
     out = jobs.drain(stream_replay(actions, setting)).where("done")
-    return reward.with_reward(out).select(
+    return reward.with_reward(with_relevant(out, spark, folder)).select(
         "episode_id", "task_id", joined("loaded").alias("loaded"), joined("ever").alias("ever"), "steps",
         F.round("reward", 9).alias("reward"),
     )

@@ -21,12 +21,13 @@ def _no_entries() -> Column:
     return F.map_from_arrays(_texts(), _texts())
 
 
-def observation(payload: Column) -> Column:
-    """Parsed step result with a default per absent field; ``reward`` may stay null.
+def with_observation(df: DataFrame, payload: str, name: str = "observation") -> DataFrame:
+    """Add the parsed step result with a default per absent field; ``reward`` may stay null.
 
-    An absent ``remaining_invocations`` is 0 here but 5 in a state payload.
+    An absent ``remaining_invocations`` is 0 here but 5 in a state payload. The payload is
+    parsed once, into a column of its own.
     """
-    parsed = F.from_json(payload, schemas.RESULT)
+    df, parsed = df.withColumn("_parsed", F.from_json(payload, schemas.RESULT)), F.col("_parsed")
     seen = parsed["observation"]
     no_catalog = F.array().cast("array<struct<id:string,name:string,description:string>>")
     defaults = {
@@ -40,28 +41,28 @@ def observation(payload: Column) -> Column:
         (seen[n] if d is None else F.coalesce(seen[n], d)).alias(n) for n, d in defaults.items()
     ]
     done = F.coalesce(parsed["done"], F.lit(False)).alias("done")
-    return F.struct(*fields, done, parsed["reward"].alias("reward"))
+    return df.withColumn(name, F.struct(*fields, done, parsed["reward"].alias("reward"))).drop("_parsed")
 
 
-def state(payload: Column) -> Column:
-    """Parsed state with a default per absent field; ``episode_id`` may stay null."""
-    parsed = F.from_json(payload, schemas.STATE)
+def with_state(df: DataFrame, payload: str, name: str = "state") -> DataFrame:
+    """Add the parsed state with a default per absent field; ``episode_id`` may stay null."""
+    df, parsed = df.withColumn("_parsed", F.from_json(payload, schemas.STATE)), F.col("_parsed")
     defaults = {
         "episode_id": None, "step_count": F.lit(0), "task_id": F.lit(""), "loaded_skills": _texts(),
         "skills_ever_loaded": _texts(), "skills_invoked": _texts(), "difficulty": F.lit("easy"),
         "done": F.lit(False), "context_budget_total": F.lit(5), "remaining_invocations": F.lit(5),
     }
-    return F.struct(
-        *[(parsed[n] if d is None else F.coalesce(parsed[n], d)).alias(n) for n, d in defaults.items()]
-    )
+    fields = [(parsed[n] if d is None else F.coalesce(parsed[n], d)).alias(n) for n, d in defaults.items()]
+    return df.withColumn(name, F.struct(*fields)).drop("_parsed")
 
 
-def violations(payload: Column, required: dict[str, str]) -> Column:
-    """Names of required fields that are absent or not of the stated type.
+def with_violations(df: DataFrame, payload: str, required: dict[str, str]) -> DataFrame:
+    """Add ``violations``: required fields that are absent or not of the stated type.
 
-    Each value is read as text and as its type, so a wrong type differs from an absence.
+    Each value is read as text and then as its type, so a wrong type differs from an absence.
     """
-    as_text = F.from_json(payload, ", ".join(f"{n} STRING" for n in required))
+    df = df.withColumn("_parsed", F.from_json(payload, ", ".join(f"{n} STRING" for n in required)))
+    as_text = F.col("_parsed")
     checks = []
     for name, kind in required.items():
         text = as_text[name]
@@ -70,7 +71,7 @@ def violations(payload: Column, required: dict[str, str]) -> Column:
             F.when(text.isNull(), F.lit(f"{name}: missing"))
             .when(typed.isNull(), F.lit(f"{name}: not {kind}"))
         )
-    return F.array_compact(F.array(*checks))
+    return df.withColumn("violations", F.array_compact(F.array(*checks))).drop("_parsed")
 
 
 GRAPH_PART_ROWS = 50_000

@@ -14,47 +14,38 @@ from episodica.plans.skew import keyed_join
 
 STATE = f"loaded {IDS}, ever {IDS}, steps long, done boolean"
 OUTPUT = (
-    f"episode_id string, task_id string, relevant {IDS}, steps long, loaded {IDS}, ever {IDS}, "
+    f"episode_id string, task_id string, steps long, loaded {IDS}, ever {IDS}, "
     "done boolean, correct boolean"
 )
 
 
-def _submitted(rows: pd.DataFrame, loaded: list, ever: list, steps: int):
-    """Advance over rows in order; the submit row and step count, if one comes."""
-    for row in rows.itertuples():
-        steps += 1
-        if row.kind == "submit":
-            return row, steps
-        if row.op:
-            advance(loaded, ever, row.budget, row.op, row.skill_id)
-    return None, steps
+NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
+ROW = ["ts", "event_id", "kind", "op", "skill_id", "budget", "correct"]
 
 
 def _follow(idle_ms: int):
     def follow(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        episode, task_id, relevant = key
         loaded, ever, steps, done = state.get if state.exists else ([], [], 0, False)
-        loaded, ever = list(loaded), list(ever)
-
-        def row(finished: bool, correct) -> pd.DataFrame:
-            values = [episode, task_id, list(relevant), steps, loaded, ever, finished, correct]
-            names = [part.split()[0] for part in OUTPUT.split(", ")]
-            return pd.DataFrame([values], columns=names)
-
+        loaded, ever, correct = list(loaded), list(ever), None
         if state.hasTimedOut:
             if not done:
-                yield row(False, None)
+                yield pd.DataFrame([[*key, steps, loaded, ever, False, None]], columns=NAMES)
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        if not done:
-            submit, steps = _submitted(rows, loaded, ever, steps)
-            if submit is not None:
-                done = True
-                yield row(True, bool(submit.correct))
+        actions = [row for pdf in batches for row in zip(*[pdf[c].tolist() for c in ROW])]
+        actions.sort(key=lambda row: row[:2])
+        for _, _, kind, op, skill, budget, right in () if done else actions:
+            steps += 1
+            if kind == "submit":
+                done, correct = True, bool(right)
+                break
+            if op:
+                advance(loaded, ever, budget, op, skill)
         state.update((loaded, ever, steps, done))
-        latest = int(rows["ts"].max().timestamp() * 1000)
+        latest = int(actions[-1][0].timestamp() * 1000)
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
+        if correct is not None:
+            yield pd.DataFrame([[*key, steps, loaded, ever, True, correct]], columns=NAMES)
 
     return follow
 
@@ -74,9 +65,9 @@ def stream_replay(actions: DataFrame, setting: DataFrame, idle_seconds: int = 36
     op = F.when(given & load, LOAD).when(given & unload, UNLOAD).otherwise(0)
     rows = rows.withColumn("kind", normalise(F.col("action_type"))).withColumn("op", op)
     rows = rows.select(
-        "episode_id", "task_id", "relevant", "ts", "event_id", "kind", "op", "skill_id", "budget",
+        "episode_id", "task_id", "ts", "event_id", "kind", "op", "skill_id", "budget",
         F.coalesce("correct", F.lit(False)).alias("correct"),
     )
-    return rows.groupBy("episode_id", "task_id", "relevant").applyInPandasWithState(
+    return rows.groupBy("episode_id", "task_id").applyInPandasWithState(
         _follow(idle_seconds * 1000), OUTPUT, STATE, "append", "EventTimeTimeout"
     )
