@@ -74,7 +74,9 @@ def sign_requests(requests: DataFrame) -> DataFrame:
     """
     text = signing_text(F.col("signing"), F.col("api_key"), F.col("ts"), F.col("method"))
     signed = with_hmac(requests, "_digest", F.col("algo"), F.col("api_key"), text)
-    return signed.withColumn("signature", F.base64("_digest")).drop("_digest").withColumns(
+    # base64 breaks lines at 76 characters, which the longest digest exceeds.
+    sig = F.translate(F.base64("_digest"), "\r\n", "")
+    return signed.withColumn("signature", sig).drop("_digest").withColumns(
         {
             "header_name": F.replace("header", F.lit("{api}"), F.col("api_name")),
             "header_value": header_value(

@@ -125,7 +125,7 @@ def slice_keys(
     """Cut every key above ``slice_rows`` into ordered slices of about that size.
 
     The slices are range partitions on key and order, so ties and bursts do not matter.
-    They are written through a checkpoint: a recomputed task must not move a boundary.
+    They are written to the shared folder: a recomputed task must not move a boundary.
     """
     counts, largest, total = key_sizes(df, keys)
     if largest <= slice_rows:
