@@ -10,6 +10,7 @@ from episodica.plans.skew import keyed_join
 
 # Fixed values of the reward rule.
 CORRECT, PRECISION, RECALL, BLOAT, WASTE, FLOOR = 0.6, 0.3, 0.1, -0.15, -0.05, -1.0
+EQUAL = 1e-9
 
 
 def with_reward(
@@ -65,7 +66,8 @@ def group_advantage(rewards: DataFrame, group: list[str]) -> DataFrame:
     """Reward relative to its group: (reward - mean) / population deviation.
 
     The group figures are aggregated first and joined back, so a group may be of any size.
-    Null where the deviation is zero.
+    Null where all rewards are equal. Equal rewards may differ in their last bits, by the
+    order of their terms, so a spread below ``EQUAL`` counts as none.
     """
     figures = rewards.groupBy(*group).agg(
         F.avg("reward").alias("group_mean"),
@@ -73,7 +75,7 @@ def group_advantage(rewards: DataFrame, group: list[str]) -> DataFrame:
         F.min("reward").alias("_low"),
         F.max("reward").alias("_high"),
     )
-    flat = F.col("_low") == F.col("_high")
+    flat = F.col("_high") - F.col("_low") < EQUAL
     figures = figures.withColumn("group_std", F.when(flat, F.lit(0.0)).otherwise(F.col("group_std")))
     gap = F.col("reward") - F.col("group_mean")
     return keyed_join(rewards, figures.drop("_low", "_high"), group).withColumn(

@@ -258,7 +258,7 @@ def reward_rollup(spark, folder):
 @query(
     "group_advantage",
     FOLD
-    + """, g AS (SELECT task_id, avg(reward) AS m, CASE WHEN min(reward) = max(reward) THEN 0.0
+    + """, g AS (SELECT task_id, avg(reward) AS m, CASE WHEN max(reward) - min(reward) < 1e-9 THEN 0.0
                   ELSE stddev_pop(reward) END AS s FROM rewards GROUP BY task_id)
        SELECT episode_id, task_id, round(m, 6) AS group_mean, round(s, 6) AS group_std,
               round((reward - m) / nullif(s, 0), 6) AS advantage FROM rewards JOIN g USING (task_id)""",

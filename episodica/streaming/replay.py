@@ -20,32 +20,35 @@ OUTPUT = (
 
 
 NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
-ROW = ["ts", "event_id", "kind", "op", "skill_id", "budget", "correct"]
+# An action is one short text: the sign and the skill, or ! and the result for a submit.
+ROW = ["micros", "event_id", "act"]
+OPS = {"+": LOAD, "-": UNLOAD}
 
 
 def _follow(idle_ms: int):
     def follow(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        *names, budget = key
         loaded, ever, steps, done = state.get if state.exists else ([], [], 0, False)
         loaded, ever, correct = list(loaded), list(ever), None
         if state.hasTimedOut:
             if not done:
-                yield pd.DataFrame([[*key, steps, loaded, ever, False, None]], columns=NAMES)
+                yield pd.DataFrame([[*names, steps, loaded, ever, False, None]], columns=NAMES)
             state.remove()
             return
         actions = [row for pdf in batches for row in zip(*[pdf[c].tolist() for c in ROW])]
-        actions.sort(key=lambda row: row[:2])
-        for _, _, kind, op, skill, budget, right in () if done else actions:
+        actions.sort()
+        for _, _, act in () if done else actions:
             steps += 1
-            if kind == "submit":
-                done, correct = True, bool(right)
+            if act.startswith("!"):
+                done, correct = True, act == "!true"
                 break
-            if op:
-                advance(loaded, ever, budget, op, skill)
+            if act:
+                advance(loaded, ever, budget, OPS[act[0]], act[1:])
         state.update((loaded, ever, steps, done))
-        latest = int(actions[-1][0].timestamp() * 1000)
+        latest = actions[-1][0] // 1000
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
         if correct is not None:
-            yield pd.DataFrame([[*key, steps, loaded, ever, True, correct]], columns=NAMES)
+            yield pd.DataFrame([[*names, steps, loaded, ever, True, correct]], columns=NAMES)
 
     return follow
 
@@ -58,16 +61,17 @@ def stream_replay(actions: DataFrame, setting: DataFrame, idle_seconds: int = 36
     ``done = false`` once it has been idle for the given time.
     """
     rows = keyed_join(actions, setting, ["episode_id"])
-    skill = F.col("skill_id")
-    load = (F.col("kind") == "load") & F.array_contains("catalog", skill)
-    unload = F.col("kind") == "unload"
+    kind, skill = normalise(F.col("action_type")), F.col("skill_id")
     given = skill.isNotNull() & (skill != "")
-    op = F.when(given & load, LOAD).when(given & unload, UNLOAD).otherwise(0)
-    rows = rows.withColumn("kind", normalise(F.col("action_type"))).withColumn("op", op)
+    act = (
+        F.when(kind == "submit", F.concat(F.lit("!"), F.coalesce("correct", F.lit(False)).cast("string")))
+        .when(given & (kind == "load") & F.array_contains("catalog", skill), F.concat(F.lit("+"), skill))
+        .when(given & (kind == "unload"), F.concat(F.lit("-"), skill))
+        .otherwise("")
+    )
     rows = rows.select(
-        "episode_id", "task_id", "ts", "event_id", "kind", "op", "skill_id", "budget",
-        F.coalesce("correct", F.lit(False)).alias("correct"),
+        "episode_id", "task_id", "budget", "ts", F.unix_micros("ts").alias("micros"), "event_id", act.alias("act")
     )
-    return rows.groupBy("episode_id", "task_id").applyInPandasWithState(
+    return rows.groupBy("episode_id", "task_id", "budget").applyInPandasWithState(
         _follow(idle_seconds * 1000), OUTPUT, STATE, "append", "EventTimeTimeout"
     )
