@@ -14,35 +14,36 @@ def raw_hash(algo: str, data: Column) -> Column:
     return F.unhex(F.md5(data) if algo == "md5" else F.sha2(data, int(algo[3:])))
 
 
-def _words(algo: str, key: Column) -> Column:
-    """The key filled up to the block, as 8-byte words. A longer key is hashed first."""
-    block = BLOCK[algo]
-    short = F.when(F.octet_length(key) > block, raw_hash(algo, key)).otherwise(key)
-    text = F.rpad(F.hex(short), block * 2, "0")
-    return F.array(
-        *[F.conv(F.substring(text, at * 16 + 1, 16), 16, -10).cast("long") for at in range(block // 8)]
-    )
+def _word(key_hex: Column, at: int) -> Column:
+    return F.conv(F.substring(key_hex, at * 16 + 1, 16), 16, -10).cast("long")
 
 
-def _padded(words: Column, block: int, pad: int) -> Column:
+def _padded(pad: int) -> Column:
+    """Key XOR pad, eight bytes at a time; the second half only for the wide blocks."""
     mask = F.lit(int.from_bytes(bytes([pad]) * 8, "big", signed=True))
-    return F.unhex(
-        F.concat(*[F.lpad(F.hex(words[at].bitwiseXOR(mask)), 16, "0") for at in range(block // 8)])
-    )
-
-
-def _digest(algo: str, words: Column, message: Column) -> Column:
-    block = BLOCK[algo]
-    inner = raw_hash(algo, F.concat(_padded(words, block, INNER), message))
-    return raw_hash(algo, F.concat(_padded(words, block, OUTER), inner))
+    words = [F.lpad(F.hex(F.col("_words")[at].bitwiseXOR(mask)), 16, "0") for at in range(16)]
+    more = F.when(F.size("_words") > 8, F.concat(*words[8:])).otherwise("")
+    return F.unhex(F.concat(*words[:8], more))
 
 
 def with_hmac(df: DataFrame, name: str, algo: Column, key: Column, message: Column) -> DataFrame:
     """Add the HMAC of a string or binary message, with the hash named per row.
 
-    The words of the key are a column of their own, so each is worked out once.
+    A key longer than the block is hashed first. The words of the key and the two pads are
+    columns of their own, shared by all hashes, so each is worked out once.
     """
     key, message = key.cast("binary"), message.cast("binary")
-    words = F.coalesce(*[F.when(algo == a, _words(a, key)) for a in BLOCK])
-    digest = F.coalesce(*[F.when(algo == a, _digest(a, F.col("_words"), message)) for a in BLOCK])
-    return df.withColumn("_words", words).withColumn(name, digest).drop("_words")
+    long_key = [F.when((algo == a) & (F.octet_length(key) > b), raw_hash(a, key)) for a, b in BLOCK.items()]
+    key_hex = F.rpad(F.hex(F.coalesce(*long_key, key)), 256, "0")
+    half = [F.array(*[_word(F.col("_key"), at) for at in part]) for part in (range(8), range(8, 16))]
+    wide = algo.isin([a for a, block in BLOCK.items() if block == 128])
+    by_algo = [
+        F.when(algo == a, raw_hash(a, F.concat("_outer", raw_hash(a, F.concat("_inner", message))))) for a in BLOCK
+    ]
+    return (
+        df.withColumn("_key", key_hex)
+        .withColumn("_words", F.when(wide, F.concat(*half)).otherwise(half[0]))
+        .withColumns({"_inner": _padded(INNER), "_outer": _padded(OUTER)})
+        .withColumn(name, F.coalesce(*by_algo))
+        .drop("_key", "_words", "_inner", "_outer")
+    )
