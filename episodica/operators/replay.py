@@ -10,6 +10,7 @@ no task ever holds one whole giant episode.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -44,6 +45,17 @@ def settings(episodes: DataFrame, tasks: DataFrame) -> DataFrame:
     ).drop("context_budget")
 
 
+def rejected(actions: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Actions of episodes that were never started; ``stage`` leaves them out."""
+    return keyed_join(actions, episodes.select("episode_id").distinct(), ["episode_id"], "left_anti")
+
+
+def restarted(episodes: DataFrame) -> DataFrame:
+    """Episode ids that were started more than once; a new episode needs a new id."""
+    starts = episodes.groupBy("episode_id").agg(F.count(F.lit(1)).alias("starts"))
+    return starts.where(F.col("starts") > 1)
+
+
 class Staged:
     """Classified, numbered actions, still partitioned by episode (and slice).
 
@@ -81,7 +93,7 @@ def stage(
         .when((kind == "load") & F.col("_known").isNull(), "unknown_skill")
         .when((kind == "load") & ~F.array_contains("catalog", skill), "not_in_catalog"),
     )
-    sliced = slice_keys(rows.drop("_known", "catalog"), ["episode_id"], order, slice_rows)
+    sliced = slice_keys(rows.drop("_known", "catalog"), ["episode_id"], order, slice_rows, actions)
     submit = F.when(kind == "submit", 1).otherwise(0)
     rows = ordered(
         sliced, ["episode_id"], order, number="step", running={"_submits": submit}, keep_slice=True
@@ -164,6 +176,7 @@ def _native_steps(rows: DataFrame) -> DataFrame:
         F.struct(
             F.lit(0).cast("long").alias("step"),
             *[F.lit(None).cast("string").alias(c) for c in ("outcome", "action_type", "skill_id")],
+            F.lit(None).cast("boolean").alias("correct"),
             *_empty(),
         )
     )
@@ -178,12 +191,13 @@ def _native_steps(rows: DataFrame) -> DataFrame:
                 _outcome(state, act, budget).alias("outcome"),
                 act["action_type"].alias("action_type"),
                 act["skill_id"].alias("skill_id"),
+                act["correct"].alias("correct"),
                 _next_loaded(state, act, budget).alias("loaded"),
                 _next_ever(state, act, budget).alias("ever"),
             ),
         )
 
-    acts = F.array_sort(F.collect_list(F.struct("step", "op", "code", "action_type", "skill_id")))
+    acts = F.array_sort(F.collect_list(F.struct("step", "op", "code", "action_type", "skill_id", "correct")))
     return (
         rows.groupBy("episode_id")
         .agg(F.first("task_id").alias("task_id"), F.first("budget").alias("budget"), acts.alias("acts"))
@@ -196,7 +210,7 @@ def _native_steps(rows: DataFrame) -> DataFrame:
 
 STEP_SCHEMA = (
     "episode_id string, task_id string, budget int, step long, outcome string, "
-    f"action_type string, skill_id string, loaded {IDS}, ever {IDS}"
+    f"action_type string, skill_id string, correct boolean, loaded {IDS}, ever {IDS}"
 )
 
 
@@ -220,7 +234,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _walked(rows: DataFrame) -> DataFrame:
     runs = rows.repartition("episode_id", SLICE).sortWithinPartitions("episode_id", SLICE, "step")
-    need = ["task_id", "step", "action_type", "episode_id", SLICE, "op", "code", "skill_id", "budget", "loaded0", "ever0"]
+    need = ["task_id", "step", "action_type", "correct", "episode_id", SLICE, "op", "code", "skill_id", "budget", "loaded0", "ever0"]
     return runs.select(*need).mapInPandas(_walk, STEP_SCHEMA)
 
 
@@ -375,7 +389,7 @@ def _by_size(staged: Staged, fold_rows: int):
         return staged.rows, None, None
     size = F.count(F.lit(1)).over(Window.partitionBy("episode_id", SLICE))
     rows = staged.rows.withColumn("_size", size)
-    short = rows.where((F.col(SLICE) == 0) & (F.col("_size") <= fold_rows)).drop("_size")
+    short = rows.where((F.col(SLICE) == 0) & (F.col("_size") <= fold_rows)).drop("_size") if fold_rows else None
     long = rows.where((F.col(SLICE) == 0) & (F.col("_size") > fold_rows)).drop("_size")
     giant = rows.where(F.col(SLICE) > 0).drop("_size") if staged.split else None
     return short, long, giant
@@ -384,16 +398,16 @@ def _by_size(staged: Staged, fold_rows: int):
 def replay_state(staged: Staged, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """One row per episode: state after its last action, and whether it was submitted."""
     short, long, giant = _by_size(staged, fold_rows)
-    state = _native_state(short)
+    parts = [] if short is None else [_native_state(short)]
     if long is not None:
         ends = _from_empty(long).groupBy("episode_id", SLICE).applyInPandas(_end_of_group, END_SCHEMA)
-        state = state.unionByName(_with_summary(long, ends))
+        parts.append(_with_summary(long, ends))
     if giant is not None:
         chain = slice_chain(giant, staged.setting)
         final = chain.groupBy("episode_id").agg(F.max_by(F.struct("loaded", "ever"), SLICE).alias("s"))
-        state = state.unionByName(_with_summary(giant, final.select("episode_id", "s.*")))
+        parts.append(_with_summary(giant, final.select("episode_id", "s.*")))
     used = F.size("loaded")
-    return state.withColumns({"used": used, "remaining": F.col("budget") - used})
+    return reduce(DataFrame.unionByName, parts).withColumns({"used": used, "remaining": F.col("budget") - used})
 
 
 def _with_summary(rows: DataFrame, ends: DataFrame) -> DataFrame:
@@ -404,14 +418,14 @@ def _with_summary(rows: DataFrame, ends: DataFrame) -> DataFrame:
 def replay_steps(staged: Staged, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """One row per action: outcome, and both lists after it."""
     short, long, giant = _by_size(staged, fold_rows)
-    steps = _native_steps(short)
+    parts = [] if short is None else [_native_steps(short)]
     if long is not None:
-        steps = steps.unionByName(replay_pandas(long))
+        parts.append(replay_pandas(long))
     if giant is not None:
         chain = slice_chain(giant, staged.setting).select("episode_id", SLICE, "loaded0", "ever0")
         started = giant.join(F.broadcast(chain), ["episode_id", SLICE])
-        steps = steps.unionByName(_walked(started))
-    return steps.withColumn("used", F.size("loaded"))
+        parts.append(_walked(started))
+    return reduce(DataFrame.unionByName, parts).withColumn("used", F.size("loaded"))
 
 
 def replay_pandas(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from episodica.operators import catalog, generate
 from episodica.plans.episode_queries import FOLD, TASKS, joined, states
 from episodica.plans.registry import query
-from episodica.session import fresh_dir
+from episodica.session import durable, fresh_dir
 from episodica.sources import bindings, files
 from episodica.sources.tables import table
 
@@ -123,7 +123,7 @@ def bank_union(spark, folder):
 def loaded_contents(spark, folder):
     """Contents of the loaded skills; ids the skill table lacks are left out."""
     known = bindings.skills(spark, folder).where("skill_id <> 's7'")
-    out = catalog.contents_of(states(spark, folder), known)
+    out = catalog.contents_of(durable(states(spark, folder).select("episode_id", "loaded")), known)
     pairs = F.map_entries("loaded_skill_contents")
     text = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return out.select(

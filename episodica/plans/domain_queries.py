@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from episodica.operators import dialogue, grading, hpfilter, levels, temporal
 from episodica.plans.registry import query
 from episodica.plans.skew import salted_join
-from episodica.session import fresh_dir
+from episodica.session import durable, fresh_dir
 from episodica.sources import bindings, codecs, files
 from episodica.sources.tables import table
 
@@ -188,16 +188,17 @@ def hp_filter(spark, folder):
     "hp_correlation",
     _sql_filter("ln(value)", "14400")
     + """SELECT a.series_id AS series_a, b.series_id AS series_b, round(corr(a.cycle, b.cycle), 5) AS correlation,
-           count(*) AS points FROM h a JOIN h b USING (t)
-         WHERE a.series_id = '1-URGENT' AND b.series_id <> '1-URGENT' GROUP BY ALL""",
+           count(*) AS points FROM h a JOIN h b ON a.t = b.t
+             AND CAST(left(a.series_id, 1) AS INTEGER) + 1 = CAST(left(b.series_id, 1) AS INTEGER) GROUP BY ALL""",
 )
 def hp_correlation(spark, folder):
-    """Cycle of every priority against that of the most urgent one."""
-    series = bindings.priority_series(spark, folder)
-    pairs = (
-        series.select(F.col("series_id").alias("series_b")).distinct()
-        .where("series_b <> '1-URGENT'").withColumn("series_a", F.lit("1-URGENT"))
-    )
+    """Cycle of every priority against that of the next lower one."""
+    series = durable(bindings.priority_series(spark, folder))
+    rank = F.left("series_id", F.lit(1)).cast("int")
+    ids = series.select("series_id", rank.alias("rank")).distinct()
+    pairs = ids.select(F.col("series_id").alias("series_a"), (F.col("rank") + 1).alias("rank")).join(
+        ids.select(F.col("series_id").alias("series_b"), "rank"), "rank"
+    ).drop("rank")
     return hpfilter.cycle_correlation(series, pairs, hpfilter.lambda_of(F.lit("monthly")))
 
 
@@ -237,7 +238,8 @@ def _scenes(spark, folder):
 
 
 def _graph(spark, folder):
-    scenes = _scenes(spark, folder)
+    """Nodes and edges; both read the scene lines, which are worked out once."""
+    scenes = durable(_scenes(spark, folder))
     return dialogue.dialogue_nodes(scenes, ORDER), dialogue.dialogue_edges(scenes, ORDER)
 
 
@@ -254,7 +256,7 @@ def dialogue_lines(spark, folder):
 
 @query("dialogue_nodes", f"WITH {SCRIPTS} SELECT * FROM nodes")
 def dialogue_nodes(spark, folder):
-    return _graph(spark, folder)[0].drop("scene_at")
+    return dialogue.dialogue_nodes(_scenes(spark, folder), ORDER).drop("scene_at")
 
 
 @query("dialogue_edges", f"WITH {SCRIPTS} SELECT * FROM edges")

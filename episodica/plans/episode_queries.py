@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from episodica.operators import render, replay, reward
 from episodica.plans.registry import query
 from episodica.plans.skew import keyed_join
+from episodica.session import durable
 from episodica.sources import bindings
 
 ACTIONS = """
@@ -264,7 +265,8 @@ def reward_rollup(spark, folder):
               round((reward - m) / nullif(s, 0), 6) AS advantage FROM rewards JOIN g USING (task_id)""",
 )
 def group_advantage(spark, folder):
-    out = reward.group_advantage(rewards(spark, folder), ["task_id"])
+    scored = durable(rewards(spark, folder).select("episode_id", "task_id", "reward"))
+    out = reward.group_advantage(scored, ["task_id"])
     return out.select(
         "episode_id", "task_id",
         *[F.round(c, 6).alias(c) for c in ("group_mean", "group_std", "advantage")],
@@ -300,11 +302,22 @@ def verification_message(spark, folder):
          FROM r LEFT JOIN rewards USING (episode_id) WHERE r.step > 0""",
 )
 def step_message(spark, folder):
-    """One message per action; the submit line carries the reward of its episode."""
-    stage = staged(spark, folder)
-    scored = reward.with_reward(with_relevant(replay.replay_state(stage).where("done"), spark, folder))
-    verdicts = scored.select("episode_id", reward.verification_message(F.col("correct")).alias("verdict"))
-    steps = render.with_names(replay.replay_steps(stage), bindings.skills(spark, folder))
-    submits = steps.where(F.col("outcome") == "submitted").join(verdicts, "episode_id")
-    others = steps.where(F.col("outcome") != "submitted").withColumn("verdict", F.lit(None).cast("string"))
-    return submits.unionByName(others).select("episode_id", "step", render.step_message().alias("message"))
+    """One message per action; the submit line carries the reward of its episode.
+
+    The lists after a submit are the lists at the submit, so one replay serves both.
+    """
+    steps = with_relevant(replay.replay_steps(staged(spark, folder)), spark, folder)
+    verdict = reward.verification_message(F.col("correct"))
+    scored = reward.with_reward(render.with_names(steps, bindings.skills(spark, folder))).withColumn("verdict", verdict)
+    return scored.select("episode_id", "step", render.step_message().alias("message"))
+
+
+@query(
+    "replay_rejects",
+    f"""WITH {ACTIONS} SELECT event_id, episode_id, action_type FROM a WHERE episode_id NOT IN (
+          SELECT episode_id FROM a WHERE action_type = 'signup')""",
+)
+def replay_rejects(spark, folder):
+    """Actions of episodes without a sign-up, read as episodes that were never started."""
+    rows = bindings.actions(spark, folder).select("event_id", "episode_id", "action_type")
+    return replay.rejected(rows, rows.where("action_type = 'signup'"))

@@ -9,7 +9,7 @@ from episodica.plans.domain_queries import sql_stamp, stamp
 from episodica.plans.episode_queries import ACTIONS, FOLD, VERIFICATION, joined, labelled_rewards, staged
 from episodica.plans.registry import query
 from episodica.plans.skew import keyed_join
-from episodica.session import fresh_dir
+from episodica.session import durable, fresh_dir
 from episodica.sources import bindings, codecs, files
 from episodica.sources.bindings import payload_number
 from episodica.sources.tables import table
@@ -299,7 +299,7 @@ def render_observation(spark, folder):
     known = bindings.skills(spark, folder).where("skill_id <> 's7'")
     tasks = bindings.tasks(spark, folder).select("task_id", "relevant", F.concat("relevant", "distractors").alias("ids"))
     states = replay.replay_state(staged(spark, folder)).where("done")
-    rows = catalog.contents_of(reward.with_reward(keyed_join(states, tasks, ["task_id"])), known)
+    rows = catalog.contents_of(durable(reward.with_reward(keyed_join(states, tasks, ["task_id"]))), known)
     entry = F.transform(
         "ids",
         lambda s: F.struct(

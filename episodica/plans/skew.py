@@ -120,14 +120,18 @@ class Sliced:
 
 
 def slice_keys(
-    df: DataFrame, keys: list[str], order: list[str], slice_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list[str], slice_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> Sliced:
     """Cut every key above ``slice_rows`` into ordered slices of about that size.
 
+    ``counted`` may name a cheaper table with the same keys and no fewer rows, such as the
+    input of a join, to count instead.
+
     The slices are range partitions on key and order, so ties and bursts do not matter.
     They are written to the shared folder: a recomputed task must not move a boundary.
     """
-    counts, largest, total = key_sizes(df, keys)
+    counts, largest, total = key_sizes(df if counted is None else counted, keys)
     if largest <= slice_rows:
         return Sliced(df.withColumn(SLICE, F.lit(0)), keys, order, largest, False)
     limit = _hot_limit(slice_rows, total)

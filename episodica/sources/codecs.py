@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from episodica.plans.skew import key_sizes
 from episodica.sources import schemas
 
 
@@ -93,13 +94,14 @@ def graph_json(nodes: DataFrame, edges: DataFrame, part_rows: int = GRAPH_PART_R
         edges.select("script_id", F.lit(None).alias("node"), edge.alias("edge"))
     )
     rows = rows.withColumn("_spread", F.xxhash64("node", "edge"))
-    sizes = rows.groupBy("script_id").agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > part_rows).select(
-        "script_id", F.ceil(F.col("_n") / F.lit(part_rows)).alias("_parts")
-    )
-    # Only graphs above part_rows are listed: at most rows / part_rows of them.
-    rows = rows.join(F.broadcast(large), "script_id", "left")
-    part = F.pmod("_spread", F.coalesce("_parts", F.lit(1))).cast("int")
+    counts, largest, _ = key_sizes(rows, ["script_id"])
+    part = F.lit(0)
+    if largest > part_rows:
+        # Only graphs above part_rows are listed: at most rows / part_rows of them.
+        parts = F.ceil(F.col("_n") / F.lit(part_rows)).alias("_parts")
+        large = counts.where(F.col("_n") > part_rows).select("script_id", parts)
+        rows = rows.join(F.broadcast(large), "script_id", "left")
+        part = F.pmod("_spread", F.coalesce("_parts", F.lit(1))).cast("int")
     return (
         rows.groupBy("script_id", part.alias("part"))
         .agg(F.collect_list("node").alias("nodes"), F.collect_list("edge").alias("edges"))
