@@ -26,3 +26,11 @@ def seeded_order(ids: Column, *parts: Column | str) -> Column:
     """The ids of a row in a seeded random order."""
     ranked = F.array_sort(F.transform(ids, lambda i: F.struct(digest(*parts, i).alias("r"), i.alias("i"))))
     return F.transform(ranked, lambda pair: pair["i"])
+
+
+def identifier(given: Column, *keys: Column | str) -> Column:
+    """The given id, or one made from the keys where none (or an empty one) is given.
+
+    A random id would differ when a lost task runs again.
+    """
+    return F.coalesce(F.nullif(given, F.lit("")), digest(*keys))

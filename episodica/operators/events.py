@@ -52,35 +52,35 @@ def dedup_within(
     return before.where(F.col("_before").isNull() | (gap > seconds * 1_000_000)).drop("_before")
 
 
+def error_rate(is_error: Column) -> list[Column]:
+    """Aggregates: number of events, and the share that are errors."""
+    return [F.count(F.lit(1)).alias("events"), F.avg(F.when(is_error, 1.0).otherwise(0.0)).alias("error_rate")]
+
+
 def exact_percentiles(
     rows: DataFrame, keys: list[str], value: str, tie: str, shares: dict[str, float],
-    slice_rows: int = HOT_ROWS,
+    others: list[Column] = (), slice_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Nearest-rank percentiles per key by rank, so a key of any size is exact."""
+    """Nearest-rank percentiles per key by rank, so a key of any size is exact.
+
+    ``others`` are further aggregates over the same rows, taken in the same pass.
+    """
     placed = ordered(rows, keys, [value, tie], number="_rank", total="_total", slice_rows=slice_rows)
     picked = [
         F.max(F.when(F.col("_rank") == F.ceil(F.col("_total") * F.lit(share)), F.col(value))).alias(name)
         for name, share in shares.items()
     ]
-    return placed.groupBy(*keys).agg(*picked)
-
-
-def error_rates(rows: DataFrame, keys: list[str], is_error: Column) -> DataFrame:
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("events"),
-        F.avg(F.when(is_error, 1.0).otherwise(0.0)).alias("error_rate"),
-    )
+    return placed.groupBy(*keys).agg(*others, *picked)
 
 
 def error_rate_window(
     rows: DataFrame, ts: str, width: str, value: str, tie: str, is_error: Column, keys: list[str] = (),
     slice_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Error rate and latency percentiles per window."""
+    """Error rate and latency percentiles per window, in one pass."""
     rows = rows.withColumn("window_start", F.window(ts, width)["start"])
-    by = ["window_start", *keys]
-    spread = exact_percentiles(rows, by, value, tie, {"p50": 0.5, "p99": 0.99}, slice_rows)
-    return error_rates(rows, by, is_error).join(spread, by)
+    shares = {"p50": 0.5, "p99": 0.99}
+    return exact_percentiles(rows, ["window_start", *keys], value, tie, shares, error_rate(is_error), slice_rows)
 
 
 def gate_limits(phases: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodica.plans.skew import HOT_ROWS, keyed_join, ordered, slice_keys
+from episodica.session import durable
 
 # Lambda per data frequency.
 LAMBDA = {"annual": 100, "quarterly": 1600, "monthly": 14400}
@@ -99,7 +100,7 @@ def cycle_correlation(
 ) -> DataFrame:
     """Correlation of the log cycles of each pair (series_a, series_b), aligned on ``t``."""
     logs = series.withColumn("value", F.ln("value"))
-    cycles = hp_filter(logs, lamb, **sizes).select("series_id", "t", "cycle")
+    cycles = durable(hp_filter(logs, lamb, **sizes).select("series_id", "t", "cycle"))
     left = keyed_join(
         cycles.select(F.col("series_id").alias("series_a"), "t", F.col("cycle").alias("a")), pairs, ["series_a"]
     )

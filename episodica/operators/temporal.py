@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodica.plans.skew import HOT_ROWS, keyed_join, ordered
@@ -74,15 +74,16 @@ def temporal_join_asof(
 def temporal_agg(df: DataFrame, key: str, ts: str, value: str, amount: str) -> DataFrame:
     """Daily average of one column beside the weekly maximum and minimum of another.
 
-    The weekly figures come from the daily ones, so the rows are scanned once.
+    The weekly figures are taken over the daily rows, of which a key has at most seven in
+    a week, so that window stays small whatever the key.
     """
     daily = df.groupBy(key, F.window(ts, "1 day").alias("day")).agg(
         F.avg(value).alias("avg_daily"), F.max(amount).alias("_max"), F.min(amount).alias("_min")
     )
-    daily = daily.withColumn("week", F.window("day.start", "1 week"))
-    weekly = daily.groupBy(key, "week").agg(
-        F.max("_max").alias("max_weekly"), F.min("_min").alias("min_weekly")
+    daily = daily.select(key, F.col("day.start").alias("day"), "avg_daily", "_max", "_min")
+    week = Window.partitionBy(key, "_week")
+    return (
+        daily.withColumn("_week", F.window("day", "1 week")["start"])
+        .withColumns({"max_weekly": F.max("_max").over(week), "min_weekly": F.min("_min").over(week)})
+        .drop("_week", "_max", "_min")
     )
-    out = keyed_join(daily.withColumn("week_start", F.col("week.start")).drop("week"),
-                     weekly.withColumn("week_start", F.col("week.start")).drop("week"), [key, "week_start"])
-    return out.select(key, F.col("day.start").alias("day"), "avg_daily", "max_weekly", "min_weekly")

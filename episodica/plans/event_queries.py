@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from episodica.operators import catalog, events, render, replay, reward
+from episodica.operators import events, observe, render, replay
 from episodica.plans.domain_queries import sql_stamp, stamp
 from episodica.plans.episode_queries import ACTIONS, FOLD, VERIFICATION, joined, labelled_rewards, staged
 from episodica.plans.registry import query
 from episodica.plans.skew import keyed_join
-from episodica.session import durable, fresh_dir
+from episodica.session import fresh_dir
 from episodica.sources import bindings, codecs, files
 from episodica.sources.bindings import payload_number
 from episodica.sources.tables import table
@@ -135,10 +135,10 @@ def canary_gate(spark, folder):
     phase_no = F.least(F.floor((F.day("ts") - 1) / 6), F.lit(4)).cast("int")
     names = F.array(*map(F.lit, PHASES))
     rows = _events(spark, folder).withColumn("phase", F.element_at(names, phase_no + 1))
-    rates = events.error_rates(rows, ["user_id", "phase"], F.col("event_type") == "error")
-    spread = events.exact_percentiles(rows, ["user_id", "phase"], "value", "event_id", {"p99": 0.99})
+    rate = events.error_rate(F.col("event_type") == "error")
+    metrics = events.exact_percentiles(rows, ["user_id", "phase"], "value", "event_id", {"p99": 0.99}, rate)
     gates = spark.createDataFrame(list(PHASES.items()), "phase string, metrics_gate string")
-    out = events.canary_gate(rates.join(spread, ["user_id", "phase"]), gates)
+    out = events.canary_gate(metrics, gates)
     return out.select("user_id", "phase", F.round("error_rate", 6).alias("error_rate"), "p99", "gate_ok")
 
 
@@ -285,7 +285,7 @@ def state_from_json(spark, folder):
                  CASE WHEN len(loaded) > 0 AND loaded[-1] <> 's7' THEN loaded[-1] END AS just FROM rewards),
           p AS (SELECT *, [x FOR x IN loaded IF x <> 's7' AND x IS DISTINCT FROM just] AS others FROM o)
        SELECT episode_id, 'TASK: Task of user ' || task_id || chr(10) || chr(10) || 'SKILL CATALOG:' || chr(10)
-         || array_to_string(['- [' || x || '] Skill ' || x || ': About ' || x FOR x IN catalog], chr(10))
+         || array_to_string(['- [' || x || '] Skill ' || x || ': About ' || x FOR x IN catalog IF x <> 's7'], chr(10))
          || CASE WHEN len(loaded) > 0 THEN chr(10) || chr(10) || 'CURRENTLY LOADED SKILLS: ' || array_to_string(loaded, ', ') ELSE '' END
          || CASE WHEN just IS NOT NULL THEN chr(10) || chr(10) || 'JUST LOADED SKILL CONTENT:' || chr(10) || 'Content of ' || just ELSE '' END
          || CASE WHEN len(others) > 0 THEN chr(10) || chr(10) || 'OTHER LOADED SKILL CONTENTS:' || chr(10)
@@ -296,27 +296,43 @@ def state_from_json(spark, folder):
 )
 def render_observation(spark, folder):
     """Observation at submit, as if the last loaded skill had just been shown."""
-    known = bindings.skills(spark, folder).where("skill_id <> 's7'")
-    tasks = bindings.tasks(spark, folder).select("task_id", "relevant", F.concat("relevant", "distractors").alias("ids"))
-    states = replay.replay_state(staged(spark, folder)).where("done")
-    rows = catalog.contents_of(durable(reward.with_reward(keyed_join(states, tasks, ["task_id"]))), known)
-    entry = F.transform(
-        "ids",
-        lambda s: F.struct(
-            s.alias("id"), F.concat(F.lit("Skill "), s).alias("name"), F.concat(F.lit("About "), s).alias("description")
-        ),
+    seen = _observed(spark, folder).where("outcome = 'submitted'")
+    shown = F.try_element_at("loaded_skill_contents", F.try_element_at("loaded_skills", F.lit(-1)))
+    seen = seen.withColumns({"skill_content": shown, "messages": F.array(F.lit("Episode started."), "message")})
+    return seen.select("episode_id", render.observation_text().alias("text"))
+
+
+def _observed(spark, folder):
+    book = observe.task_book(
+        bindings.tasks(spark, folder), bindings.skills(spark, folder).where("skill_id <> 's7'")
     )
-    contents = F.coalesce("loaded_skill_contents", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    verdict = reward.verification_message(F.col("correct"))
-    shown = F.try_element_at(contents, F.try_element_at("loaded", F.lit(-1)))
-    observed = rows.select(
-        "episode_id", F.concat(F.lit("Task of user "), "task_id").alias("task_description"), entry.alias("skill_catalog"),
-        F.col("loaded").alias("loaded_skills"), contents.alias("loaded_skill_contents"), shown.alias("skill_content"),
-        verdict.alias("verification_result"),
-        F.array(F.lit("Episode started."), F.concat(F.lit("Submitted answer. "), verdict)).alias("messages"),
-        F.col("used").alias("context_budget_used"), F.col("budget").alias("context_budget_total"),
+    return observe.observations(replay.replay_steps(staged(spark, folder)), book)
+
+
+@query(
+    "observations",
+    FOLD
+    + f"""SELECT r.episode_id, r.step, 'Task of user ' || t.task_id AS task_description, t.difficulty,
+            CAST(8 - 1 AS INTEGER) AS catalog_size, array_to_string(r.loaded, ',') AS loaded_skills,
+            array_to_string([x || '=Content of ' || x FOR x IN r.loaded IF x <> 's7'], ';') AS contents,
+            CAST(len(r.loaded) AS INTEGER) AS context_budget_used, CAST(5 - len(r.loaded) AS INTEGER) AS remaining_invocations,
+            CASE WHEN r.outcome IN ('loaded', 'already_loaded') AND r.skill_id <> 's7' THEN 'Content of ' || r.skill_id END AS skill_content,
+            CASE r.outcome WHEN 'submitted' THEN {VERIFICATION} WHEN 'after_done' THEN 'Episode already finished.' END AS verification_result,
+            array_to_string(r.ever, ',') AS skills_invoked, r.outcome IN ('submitted', 'after_done') AS done,
+            CASE WHEN r.outcome = 'submitted' THEN round(reward, 9) ELSE 0.0 END AS reward
+          FROM r JOIN t ON t.task_id = split_part(r.episode_id, '-', 1) LEFT JOIN rewards ON rewards.episode_id = r.episode_id
+          WHERE r.step > 0""",
+)
+def observations(spark, folder):
+    """Every observation of every episode; one catalog skill has no row and is skipped."""
+    seen = _observed(spark, folder)
+    pairs = F.transform("loaded_skills", lambda s: F.concat(s, F.lit("="), F.try_element_at("loaded_skill_contents", s)))
+    return seen.select(
+        "episode_id", "step", "task_description", "difficulty", F.size("skill_catalog").alias("catalog_size"),
+        joined("loaded_skills").alias("loaded_skills"), F.array_join(pairs, ";").alias("contents"), "context_budget_used",
+        "remaining_invocations", "skill_content", "verification_result", joined("skills_invoked").alias("skills_invoked"),
+        "done", F.round("reward", 9).alias("reward"),
     )
-    return observed.select("episode_id", render.observation_text().alias("text"))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from episodica.functions.binary import pack, unpack
+from episodica.functions.draws import identifier
 from episodica.operators import generate, records
 from episodica.plans.episode_queries import joined
 from episodica.plans.registry import query
@@ -187,6 +188,20 @@ def prompt_dataset(spark, folder):
     return out.select("prompt_id", F.array_join(said, " | ").alias("prompt"))
 
 
+@query(
+    "fill_ids",
+    """SELECT event_id, CASE event_type WHEN 'view' THEN 'e' || user_id ELSE md5('episode:' || event_id) END AS episode_id
+       FROM events""",
+)
+def fill_ids(spark, folder):
+    """Events of one type bring an episode id; the others get one, empty ids included."""
+    kind = F.col("event_type")
+    given = F.when(kind == "view", F.concat(F.lit("e"), "user_id")).when(kind == "click", "")
+    return table(spark, folder, "events").select(
+        "event_id", identifier(given, "episode", F.col("event_id")).alias("episode_id")
+    )
+
+
 CRC_STEP = "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END"
 
 HEADERS = f"""

@@ -26,8 +26,17 @@ SLICE = "_slice"
 
 
 def measured_bytes(df: DataFrame) -> int:
-    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long"))
-    return df.agg(size).first()[0] or 0
+    """Size of a table: text and binary by length, nested values by their JSON, others 8 bytes."""
+    def width(field) -> Column:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            return F.octet_length(field.name)
+        if kind in ("array", "map", "struct"):
+            return F.octet_length(F.to_json(field.name))
+        return F.lit(8)
+
+    row = reduce(lambda a, b: a + b, [F.coalesce(width(f), F.lit(0)) for f in df.schema], F.lit(8))
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:

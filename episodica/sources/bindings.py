@@ -69,6 +69,7 @@ def tasks(spark: SparkSession, folder: str) -> DataFrame:
         user.cast("string").alias("task_id"),
         level.alias("difficulty"),
         F.when(user % 2 == 0, "bank").otherwise("generated").alias("source"),
+        F.concat(F.lit("Task of user "), user.cast("string")).alias("description"),
         relevant.alias("relevant"),
         F.array_except(F.array(*map(F.lit, CATALOG)), relevant).alias("distractors"),
     )

@@ -292,7 +292,7 @@ def test_exact_percentiles_of_a_hot_window(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise("cold").alias("k"), ((F.col("id") * 37) % 997).cast("double").alias("v"), "id")
     values = {"hot": sorted((i * 37) % 997 for i in range(900)), "cold": sorted((i * 37) % 997 for i in range(900, 1000))}
     for slice_rows in (50, 10_000):
-        out = events.exact_percentiles(df, ["k"], "v", "id", {"p50": 0.5, "p99": 0.99}, slice_rows)
+        out = events.exact_percentiles(df, ["k"], "v", "id", {"p50": 0.5, "p99": 0.99}, slice_rows=slice_rows)
         for row in out.collect():
             xs = values[row.k]
             assert (row.p50, row.p99) == (xs[-(-len(xs) // 2) - 1], xs[-(-len(xs) * 99 // 100) - 1])

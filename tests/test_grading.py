@@ -141,3 +141,6 @@ def test_golden_cases(spark):
     )
     rows = grading.grade_cases(subs, results, cases).orderBy("submission_id").collect()
     assert [r.correct for r in rows] == [True, False, False, False, False, False, True]
+    hooks = {"t": lambda value, expected: value.isNotNull()}
+    rows = grading.grade_cases(subs, results, cases, hooks).orderBy("submission_id").collect()
+    assert [r.correct for r in rows] == [True, True, False, False, False, False, True]
