@@ -25,7 +25,7 @@ def actions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def actions_of(events: DataFrame) -> DataFrame:
-    kind, value, k = F.col("event_type"), F.col("value"), payload_number(F.col("props"))
+    kind, value = F.col("event_type"), F.col("value")
     action = (
         F.when(kind == "view", "load")
         .when(kind == "click", "invoke")
@@ -35,14 +35,14 @@ def actions_of(events: DataFrame) -> DataFrame:
         .when(value < 10, "unload")
         .otherwise("load")
     )
-    skill = F.when(k < 97, F.concat(F.lit("s"), (k % 9).cast("string")))
-    return events.select(
+    rows = events.select(
         episode_of(F.col("user_id"), F.col("ts")).alias("episode_id"),
-        "user_id", "ts", "event_id",
-        action.alias("action_type"),
-        F.when(action != "submit", skill).alias("skill_id"),
-        F.when(action == "submit", value > 100).alias("correct"),
+        "user_id", "ts", "event_id", action.alias("action_type"), "value",
+        payload_number(F.col("props")).alias("k"),
     )
+    submit, k = F.col("action_type") == "submit", F.col("k")
+    skill = F.when(~submit & (k < 97), F.concat(F.lit("s"), (k % 9).cast("string")))
+    return rows.withColumns({"skill_id": skill, "correct": F.when(submit, value > 100)}).drop("value", "k")
 
 
 def episodes(spark: SparkSession, folder: str) -> DataFrame:

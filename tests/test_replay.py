@@ -50,6 +50,34 @@ def test_unknown_skill_comes_before_catalog(spark):
     assert steps.where("step = 4").first().outcome == "unknown_skill"
 
 
+def test_random_episodes_against_a_plain_loop(spark):
+    """600 random episodes over a wide catalog, folded natively and by a plain loop."""
+    import random
+
+    prepare(spark)
+    rng = random.Random(5)
+    ids = [f"x{i}" for i in range(12)]
+    rows, want = [], {}
+    for number in range(600):
+        budget, loaded, ever = number % 6, [], []
+        for at in range(rng.randrange(1, 40)):
+            kind, skill = rng.choice(["load", "invoke", "unload", "noop"]), rng.choice(ids)
+            rows.append((f"e{number}", at, kind, skill, None))
+            if kind in ("load", "invoke") and skill in ids[:10] and skill not in loaded and len(loaded) < budget:
+                loaded.append(skill)
+                ever += [skill] if skill not in ever else []
+            elif kind == "unload" and skill in loaded:
+                loaded.remove(skill)
+        want[f"e{number}"] = (loaded, ever)
+    actions = spark.createDataFrame(rows, "episode_id string, at int, action_type string, skill_id string, correct boolean")
+    episodes = spark.createDataFrame([(f"e{n}", "t", n % 6) for n in range(600)], "episode_id string, task_id string, context_budget int")
+    tasks = spark.createDataFrame([("t", ids[:2], ids[2:10])], "task_id string, relevant array<string>, distractors array<string>")
+    staged = replay.stage(actions, replay.settings(episodes, tasks), ["at"])
+    assert {r.episode_id: (r.loaded, r.ever) for r in replay.replay_state(staged).collect()} == want
+    last = replay.replay_steps(staged).groupBy("episode_id").agg(F.max_by(F.struct("loaded", "ever"), "step").alias("s"))
+    assert {r.episode_id: (r.s.loaded, r.s.ever) for r in last.collect()} == want
+
+
 def _bag(df):
     return sorted(map(str, df.select(*sorted(df.columns)).collect()))
 
