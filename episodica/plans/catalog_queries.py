@@ -28,7 +28,7 @@ def _placed(spark, folder):
 @query(
     "scan_skills",
     """SELECT CAST(p_partkey AS VARCHAR) AS skill_id, p_name AS name, p_brand || ' ' || p_type AS short_description,
-       CAST(length(p_name || chr(10) || p_brand || chr(10) || p_type) AS INTEGER) AS head_length, CAST(NULL AS BIGINT) AS seed
+       CAST(length(p_name || chr(10) || p_brand || chr(10) || p_type) AS INTEGER) AS head_length, false AS seeded
        FROM part WHERE p_size < 48""",
 )
 def scan_skills(spark, folder):
@@ -37,7 +37,7 @@ def scan_skills(spark, folder):
     bindings.bank_skills(spark, folder).write.json(path)
     head = F.substring_index("full_content", "\n", 3)
     return files.read_skills(spark, path, "json").select(
-        "skill_id", "name", "short_description", F.length(head).alias("head_length"), "seed"
+        "skill_id", "name", "short_description", F.length(head).alias("head_length"), F.col("seed").isNotNull().alias("seeded"),
     )
 
 

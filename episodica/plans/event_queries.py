@@ -198,13 +198,13 @@ def json_validate(spark, folder):
 @query(
     "dead_letter_split",
     """SELECT event_id, event_type IN ('error', 'click') AS dead,
-         CASE WHEN event_type IN ('signup', 'purchase') THEN CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) END AS k FROM events""",
+         CASE WHEN event_type IN ('signup', 'purchase') THEN CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) ELSE -1 END AS k FROM events""",
 )
 def dead_letter_split(spark, folder):
     """Decoded rows and dead letters, side by side."""
     good, dead = files.dead_letters(_payloads(spark, folder), "payload", "k INT")
-    good = good.select("event_id", F.lit(False).alias("dead"), F.col("parsed.k").alias("k"))
-    return good.unionByName(dead.select("event_id", F.lit(True).alias("dead"), F.lit(None).cast("int").alias("k")))
+    good = good.select("event_id", F.lit(False).alias("dead"), F.coalesce("parsed.k", F.lit(-1)).alias("k"))
+    return good.unionByName(dead.select("event_id", F.lit(True).alias("dead"), F.lit(-1).alias("k")))
 
 
 @query(

@@ -265,13 +265,13 @@ def encode_records(spark, folder):
 
 @query(
     "decode_records",
-    """SELECT c_custkey AS record_id, 0 AS field_no, 'nation' AS name, 'int32' AS type, c_nationkey AS int_value,
-         NULL::DOUBLE AS float_value, NULL::VARCHAR AS string_value, NULL::BOOLEAN AS bool_value,
-         CAST(19 AS BIGINT) AS next_offset, NULL::VARCHAR AS error FROM customer WHERE c_custkey % 10 <> 9
-       UNION ALL SELECT c_custkey, 1, 'balance', 'float64', NULL, c_acctbal, NULL, NULL, 41, NULL FROM customer WHERE c_custkey % 10 <> 9
-       UNION ALL SELECT c_custkey, 2, 'name', 'string', NULL, NULL, c_name, NULL, 52 + strlen(c_name), NULL FROM customer WHERE c_custkey % 10 <> 9
-       UNION ALL SELECT c_custkey, 3, 'rich', 'bool', NULL, NULL, NULL, c_acctbal > 5000, 64 + strlen(c_name), NULL FROM customer WHERE c_custkey % 10 <> 9
-       UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'record ends at byte 30, 33 needed' FROM customer WHERE c_custkey % 10 = 9""",
+    """WITH c AS (SELECT *, c_custkey % 10 = 9 AS cut FROM customer)
+       SELECT c_custkey AS record_id, 0 AS field_no, 'nation' AS name, 'int32' AS type, CAST(c_nationkey AS VARCHAR) AS value,
+         NULL::DOUBLE AS float_value, CAST(19 AS BIGINT) AS next_offset, '' AS error FROM c WHERE NOT cut
+       UNION ALL SELECT c_custkey, 1, 'balance', 'float64', NULL, c_acctbal, 41, '' FROM c WHERE NOT cut
+       UNION ALL SELECT c_custkey, 2, 'name', 'string', c_name, NULL, 52 + strlen(c_name), '' FROM c WHERE NOT cut
+       UNION ALL SELECT c_custkey, 3, 'rich', 'bool', CAST(c_acctbal > 5000 AS VARCHAR), NULL, 64 + strlen(c_name), '' FROM c WHERE NOT cut
+       UNION ALL SELECT c_custkey, -1, NULL, NULL, NULL, NULL, -1, 'record ends at byte 30, 33 needed' FROM c WHERE cut""",
 )
 def decode_records(spark, folder):
     """Customers as records of all four field types, read back; some are cut short first."""
@@ -289,4 +289,8 @@ def decode_records(spark, folder):
         F.when(key % 10 == 9, F.substring(data, 1, 30)).otherwise(data).alias("data"),
         F.lit(0).alias("offset"),
     )
-    return records.decode_records(rows)
+    value = F.coalesce("string_value", F.col("int_value").cast("string"), F.col("bool_value").cast("string"))
+    return records.decode_records(rows).select(
+        "record_id", F.coalesce("field_no", F.lit(-1)).alias("field_no"), "name", "type", value.alias("value"), "float_value",
+        F.coalesce("next_offset", F.lit(-1)).alias("next_offset"), F.coalesce("error", F.lit("")).alias("error"),
+    )
