@@ -86,8 +86,11 @@ def salted_join(
 
     Keys with at most ``hot_rows`` fact rows are not salted, and without any larger key
     this is a plain join. The lookup rows of a hot key are copied once per salt. Fact rows
-    with a null key match nothing and are spread evenly.
+    with a null key match nothing and are spread evenly. A stream cannot be counted
+    beforehand; its micro-batches are joined plainly.
     """
+    if fact.isStreaming:
+        return fact.join(dim, on, how)
     counts, largest, total = key_sizes(fact, on)
     if largest <= hot_rows:
         return fact.join(dim, on, how)

@@ -101,3 +101,14 @@ def test_join_within_edges(spark):
     right = spark.createDataFrame([("k", 10, at(0)), ("k", 11, at(60)), ("k", 12, at(61)), ("k", 13, at(119))], "k string, r int, rt timestamp")
     got = {(r.l, r.r) for r in events.join_within(left, right, "k", "lt", "rt", 60).collect()}
     assert got == {(1, 10), (1, 11), (2, 11), (2, 12), (2, 13)}
+
+
+def test_stream_joins_a_lookup_too_large_to_broadcast(spark):
+    from episodica.plans.skew import keyed_join
+
+    prepare(spark)
+    folder = fresh_dir(spark, "feed")
+    feed(spark, folder, [(1, 0, 7, "a", 1.0), (2, 5, 8, "a", 1.0)], 1)
+    users = spark.createDataFrame([(7, "x")], "user_id long, name string")
+    rows = keyed_join(jobs.event_source(spark, f"{folder}/*"), users, ["user_id"], broadcast_bytes=0)
+    assert [(r.event_id, r.name) for r in jobs.drain(rows).collect()] == [(1, "x")]
