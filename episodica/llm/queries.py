@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm import jaccard, mixing, packing, quality, sharding, tokens, toxicity
+from episodica.llm import jaccard, mixing, neighbours, packing, quality, sharding, tokens, toxicity, warc
 from episodica.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,16 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Block, slot and place of all documents in a mix by the square root of source sizes."""
     return mixing.mix(table(spark, folder, "documents").select("doc_id", "source"))
+
+
+@query("op5_warc")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to WARC archives and read back from them."""
+    index, archives = warc.write(table(spark, folder, "pages"))
+    return warc.read(index, archives).drop("url")
+
+
+@query("op9_neighbours")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest vectors of every 100th one."""
+    return neighbours.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
