@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm import jaccard, mixing, neighbours, packing, quality, sharding, tokens, toxicity, warc
+from episodica.llm import jaccard, licences, mixing, neighbours, packing, quality, sharding, tokens, toxicity, warc
 from episodica.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """The 10 nearest vectors of every 100th one."""
     return neighbours.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op6_licences")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence families that the lines of every document name."""
+    return licences.licences(table(spark, folder, "documents"))
