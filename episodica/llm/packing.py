@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from episodica.llm.tokenizing import Coder
+from episodica.llm.tokenizing import coder
 
 LENGTH = 4096
 WINDOW = 256  # sequences packed at a time
@@ -87,7 +87,7 @@ class _Packer:
 
 def _run(path: str, end: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, close = Coder(path), np.array([end], dtype="<u4").tobytes()
+        code, close = coder(path), np.array([end], dtype="<u4").tobytes()
         packer = _Packer(TaskContext.get().partitionId() << 40, length)
 
         def out(rows: list[tuple]) -> pa.RecordBatch:

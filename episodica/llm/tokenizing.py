@@ -20,7 +20,9 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNSURE = re.compile("[\x1c-\x1f\u180e\u200b\u2060\ufeff]")
 # A word with the space before it; white space but for its last character; one such character.
 PIECE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
-KEPT_PIECES = 600_000
+# Letters after which a full stop or comma always starts a new token.
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZßàáâäçèéêëìíîïñòóôöùúûüÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ")
+KEPT_PIECES = 1_000_000
 KEPT_LENGTH = 48
 TOGETHER = 2000
 SLAB = 1 << 20
@@ -36,14 +38,14 @@ def kind(path: str) -> str:
     """How texts may be cut for this tokenizer.
 
     ``bytes``: byte-level pre-tokenizer with its own pattern, no normalizer: cuts at PIECE.
-    ``words``: white space is only ever dropped between words: cuts at any space or line feed.
+    ``words``: white space is dropped, letters are in lower case and words are runs of letters: see word_pieces.
     ``whole``: nothing is known, texts are encoded whole.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     if spec.get("truncation") or spec.get("padding") or spec.get("post_processor"):
         return "whole"
-    if any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+    if any(re.search(r"\s", t["content"]) or not t["content"].startswith("<|") or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
         return "whole"
     cut, normal = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
     if not normal and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space"):
@@ -54,7 +56,9 @@ def kind(path: str) -> str:
     drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
     joins = all(s.get("type") == "ByteLevel" and not s.get("use_regex") and not s.get("add_prefix_space") for s in steps[1:])
     pattern = (first.get("pattern") or {}).get("Regex", "")
-    if plain and drops and joins and not re.search(r"\\s(?![^\[]*\])|[ ]", pattern):
+    lowers = any(n["type"] == "Lowercase" for n in (normal or {}).get("normalizers", []))
+    letters = "[\\p{L}]+" in pattern and "[^\\s\\p{L}\\p{N}]+" in pattern
+    if plain and lowers and letters and drops and joins and not re.search(r"\\s(?![^\[]*\])|[ ]", pattern):
         return "words"
     return "whole"
 
@@ -74,7 +78,13 @@ class Pieces:
         need = set().union(*lists).difference(self.kept)
         if not need:
             return self.kept
-        found = self._encode(list(need))
+        # A word with a stop is the word and the stop, so it needs no encoding of its own.
+        stopped = {p for p in need if p[-1:] in {",", "."} and p[-2:-1] in LETTERS}
+        own = {p[:-1] for p in stopped} | ({p[-1] for p in stopped})
+        found = self._encode(list((need - stopped) | own.difference(self.kept)))
+        both = _Both(found, self.kept)
+        for p in stopped:
+            found[p] = both[p[:-1]] + both[p[-1]]
         room = KEPT_PIECES - len(self.kept)
         if room >= len(found) and all(len(p) <= KEPT_LENGTH for p in found):
             self.kept.update(found)
@@ -103,15 +113,14 @@ class Pieces:
         return found
 
 
-class _Both(dict):
+class _Both:
     """The pieces of one batch; others are looked up in what is kept."""
 
     def __init__(self, own: dict, kept: dict):
-        super().__init__(own)
-        self.rest = kept
+        self.own, self.rest = own, kept
 
-    def __missing__(self, piece: str):
-        return self.rest[piece]
+    def __getitem__(self, piece: str):
+        return self.own[piece] if piece in self.own else self.rest[piece]
 
 
 def slabs(text: str):
@@ -126,6 +135,17 @@ def slabs(text: str):
     yield text[at:]
 
 
+def word_pieces(slab: str) -> list[str]:
+    """Pieces of a text for a tokenizer of kind ``words``.
+
+    It puts A-Z in lower case itself (but finds special strings before that) and drops white
+    space, so both can be done here for fewer distinct pieces.
+    """
+    if "<|" not in slab:
+        slab = slab.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    return slab.replace("\n", " ").split(" ")
+
+
 class Counter:
     """Token counts of a list of texts."""
 
@@ -141,8 +161,7 @@ class Counter:
                 counts[i] = len(self.tokenizer.encode(text, add_special_tokens=False).ids)
                 continue
             for slab in slabs(text):
-                parts = PIECE.findall(slab) if self.way == "bytes" else slab.replace("\n", " ").split(" ")
-                lists.append((i, parts))
+                lists.append((i, PIECE.findall(slab) if self.way == "bytes" else word_pieces(slab)))
         known = self.pieces.known([p for _, p in lists])
         for i, parts in lists:
             counts[i] += sum(map(known.__getitem__, parts))
@@ -165,8 +184,19 @@ class Coder:
                 out[i].append(self.pieces.value(self.tokenizer.encode(text, add_special_tokens=False).ids))
                 continue
             for slab in slabs(text):
-                lists.append((i, PIECE.findall(slab) if self.way == "bytes" else slab.replace("\n", " ").split(" ")))
+                lists.append((i, PIECE.findall(slab) if self.way == "bytes" else word_pieces(slab)))
         known = self.pieces.known([p for _, p in lists])
         for i, parts in lists:
             out[i].append(b"".join(map(known.__getitem__, parts)))
         return [b"".join(x) for x in out]
+
+
+@lru_cache(maxsize=4)
+def counter(path: str) -> Counter:
+    """One for each worker process, so that its later tasks find the pieces of earlier ones."""
+    return Counter(path)
+
+
+@lru_cache(maxsize=4)
+def coder(path: str) -> Coder:
+    return Coder(path)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodica.llm.common import per_text
-from episodica.llm.tokenizing import UNSURE, Counter, kind, load, longest_special
+from episodica.llm.tokenizing import UNSURE, counter, kind, load, longest_special
 from episodica.session import durable
 
 CHUNK = 32_768
@@ -42,7 +42,7 @@ def count_column(path: str):
     """Column function: tokens of a text, 0 for null."""
 
     def make():
-        count = Counter(path)
+        count = counter(path)
         return lambda texts: pa.array(count(texts), pa.int64())
 
     return per_text(make, "long")
