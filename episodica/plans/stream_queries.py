@@ -16,8 +16,15 @@ from episodica.streaming import jobs
 from episodica.streaming.replay import stream_replay
 
 
+# A micro-batch of the feed is bounded, however long the backlog is.
+PER_TRIGGER = {"maxBytesPerTrigger": str(16 << 30)}
+# An episode lasts a week at most, so after two weeks nothing of it is to come.
+IDLE_SECONDS = 14 * 86_400
+
+
 def _feed(spark, folder, delay="10 seconds"):
-    return jobs.event_source(spark, folder, pattern="events.parquet", delay=delay)
+    """The event table as a stream: one file, or a folder of part files."""
+    return jobs.event_source(spark, f"{folder}/events.parquet*", delay=delay, per_trigger=PER_TRIGGER)
 
 
 def _kept(spark, folder):
@@ -76,12 +83,13 @@ def stream_late(spark, folder):
 
 @query(
     "stream_dedup",
-    """WITH p AS (SELECT event_id, user_id, event_type FROM events) SELECT DISTINCT user_id, event_type FROM p""",
+    """SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events""",
 )
 def stream_dedup(spark, folder):
-    """Repeats of a user and type within a delay longer than the feed: the first one stays."""
-    out = jobs.drain(jobs.dedup(_feed(spark, folder, "365 days"), ["user_id", "event_type"]))
-    return out.select("user_id", "event_type")
+    """The first event of a user, type and day; a day's keys go once it lies a day back."""
+    rows = _feed(spark, folder, "1 day").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    out = jobs.drain(jobs.dedup(rows, ["user_id", "event_type", "day"]))
+    return out.select("user_id", "event_type", "day")
 
 
 JOINED = """SELECT l.event_id AS view_id, r.event_id AS purchase_id, l.user_id FROM events l JOIN events r
@@ -118,7 +126,7 @@ def stream_replay_query(spark, folder):
     """Rewards of submitted episodes from a stream of actions."""
     actions = bindings.actions_of(_feed(spark, folder))
     setting = replay.settings(bindings.episodes(spark, folder), bindings.tasks(spark, folder))
-    out = jobs.drain(stream_replay(actions, setting)).where("done")
+    out = jobs.drain(stream_replay(actions, setting, IDLE_SECONDS)).where("status = 'done'")
     return reward.with_reward(with_relevant(out, spark, folder)).select(
         "episode_id", "task_id", joined("loaded").alias("loaded"), joined("ever").alias("ever"), "steps",
         F.round("reward", 9).alias("reward"),
@@ -138,7 +146,7 @@ def stream_branch(spark, folder):
     rows = jobs.tumbling(_kept(spark, folder), ["user_id"], "5 minutes")
     jobs.drain_batches(rows, files.branch_writer({"high_value": F.col("total_value") > 100.0}, sinks))
     fields = "user_id long, action_count long, total_value double, batch int, route string"
-    return spark.read.schema(fields).parquet(sinks).select("route", "user_id", "action_count", "total_value")
+    return files.read_sink(spark, sinks, fields).select("route", "user_id", "action_count", "total_value")
 
 
 @query(
@@ -155,5 +163,5 @@ def alert_stream(spark, folder):
     rates = jobs.error_rates(_feed(spark, folder), "1 minute", F.col("event_type") == "error")
     jobs.drain_batches(rates, files.branch_writer({"alert": F.col("error_rate") > 0.01}, sinks))
     fields = "window_start timestamp, events long, error_rate double, latency array<double>, batch int, route string"
-    alerts = spark.read.schema(fields).parquet(sinks).where("route = 'alert'")
+    alerts = files.read_sink(spark, sinks, fields).where("route = 'alert'")
     return _ntz(alerts.select("window_start", "events", F.round("error_rate", 6).alias("error_rate")), "window_start")

@@ -82,6 +82,14 @@ def branch_writer(
     return write
 
 
+def read_sink(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """What ``branch_writer`` wrote; a stream that had no rows has written no folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.read.schema(schema).parquet(folder)
+    return spark.createDataFrame([], schema)
+
+
 def decoded(df: DataFrame, text: str, schema: str) -> DataFrame:
     """Parse JSON text; undecodable rows keep their text in ``bad``."""
     fields = f"{schema}, bad STRING"

@@ -1,4 +1,4 @@
-"""Live replay: one row per episode, emitted at its submit or when it is abandoned."""
+"""Live replay: one row per episode, emitted at its submit or when it is abandoned; rows for what comes later."""
 
 from __future__ import annotations
 
@@ -12,10 +12,10 @@ from episodica.functions.episode import LOAD, UNLOAD, advance
 from episodica.operators.replay import IDS, normalise
 from episodica.plans.skew import keyed_join
 
-STATE = f"loaded {IDS}, ever {IDS}, steps long, done boolean"
+STATE = f"loaded {IDS}, ever {IDS}, steps long, status string, seen_ms long"
 OUTPUT = (
     f"episode_id string, task_id string, steps long, loaded {IDS}, ever {IDS}, "
-    "done boolean, correct boolean"
+    "done boolean, correct boolean, status string"
 )
 
 
@@ -28,37 +28,54 @@ OPS = {"+": LOAD, "-": UNLOAD}
 def _follow(idle_ms: int):
     def follow(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         *names, budget = key
-        loaded, ever, steps, done = state.get if state.exists else ([], [], 0, False)
+        loaded, ever, steps, status, seen = state.get if state.exists else ([], [], 0, "open", 0)
         loaded, ever, correct = list(loaded), list(ever), None
+
+        def row(kind: str, count: int) -> pd.DataFrame:
+            return pd.DataFrame([[*names, count, loaded, ever, kind == "done", correct, kind]], columns=NAMES)
+
         if state.hasTimedOut:
-            if not done:
-                yield pd.DataFrame([[*names, steps, loaded, ever, False, None]], columns=NAMES)
-            state.remove()
+            if status != "open":
+                state.remove()
+                return
+            yield row("abandoned", steps)
+            # A closed marker stays as long again, so that late actions open no new episode.
+            state.update(([], [], steps, "abandoned", seen))
+            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + idle_ms)
             return
-        actions = [row for pdf in batches for row in zip(*[pdf[c].tolist() for c in ROW])]
+        actions = [x for pdf in batches for x in zip(*[pdf[c].tolist() for c in ROW])]
         actions.sort()
-        for _, _, act in () if done else actions:
-            steps += 1
-            if act.startswith("!"):
-                done, correct = True, act == "!true"
-                break
-            if act:
-                advance(loaded, ever, budget, OPS[act[0]], act[1:])
-        state.update((loaded, ever, steps, done))
-        latest = actions[-1][0] // 1000
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
-        if correct is not None:
-            yield pd.DataFrame([[*names, steps, loaded, ever, True, correct]], columns=NAMES)
+        closed = status != "open"
+        if not closed:
+            for _, _, act in actions:
+                steps += 1
+                if act.startswith("!"):
+                    status, correct = "done", act == "!true"
+                    break
+                if act:
+                    advance(loaded, ever, budget, OPS[act[0]], act[1:])
+        seen = max(seen, actions[-1][0] // 1000)
+        kept = (loaded, ever) if status == "open" else ([], [])
+        state.update((*kept, steps, status, seen))
+        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + idle_ms)
+        if closed:
+            loaded, ever = [], []
+            yield row("late", len(actions))
+        elif status == "done":
+            yield row("done", steps)
 
     return follow
 
 
-def stream_replay(actions: DataFrame, setting: DataFrame, idle_seconds: int = 3600) -> DataFrame:
+def stream_replay(actions: DataFrame, setting: DataFrame, idle_seconds: int) -> DataFrame:
     """Replay a watermarked stream of actions, in order of (ts, event_id) per micro-batch.
 
-    The state of an episode is its two lists, so it stays as small as a catalog. Actions
-    after the submit change nothing. An episode without a submit comes out with
-    ``done = false`` once it has been idle for the given time.
+    ``status`` of an output row: ``done`` at the submit; ``abandoned`` once the episode has
+    been idle for ``idle_seconds`` of event time without one; ``late`` for a batch of
+    actions that came after either, with their number as ``steps``: they change nothing.
+    Choose ``idle_seconds`` above the longest pause of an episode. A closed episode leaves
+    a small marker, which goes after the same time. The state of an open one is its two
+    lists, so it stays as small as a catalog.
     """
     rows = keyed_join(actions, setting, ["episode_id"])
     kind, skill = normalise(F.col("action_type")), F.col("skill_id")
