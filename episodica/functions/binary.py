@@ -24,10 +24,12 @@ def unpack(data: Column, offset: int, size: int, order: Column | str = "big") ->
 
 
 def pack(value: Column, size: int, order: Column | str = "big") -> Column:
-    """The low ``size`` bytes of a whole number (negative ones in two's complement)."""
-    word = F.lpad(F.hex(value.cast("long")), 16, "0")
+    """A whole number in ``size`` bytes (negative ones in two's complement); null if it does not fit."""
+    value = value.cast("long")
+    word = F.lpad(F.hex(value), 16, "0")
     cut = F.unhex(F.substring(word, 17 - 2 * size, 2 * size))
-    return F.when(_little(order), _reversed(cut, size)).otherwise(cut)
+    cut = F.when(_little(order), _reversed(cut, size)).otherwise(cut)
+    return cut if size >= 8 else F.when(value.between(-(1 << 8 * size - 1), (1 << 8 * size) - 1), cut)
 
 
 def flags_to_number(flags: Column) -> Column:

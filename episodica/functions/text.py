@@ -46,13 +46,18 @@ def in_order(text: Column, parts: list[str]) -> Column:
 
 
 def two_places(value: Column) -> Column:
-    """Two decimals, rounded half to even on the exact binary value (|value| < 8).
+    """Two decimals, rounded half to even on the exact binary value; negative zero keeps its sign.
 
-    The value is scaled by 2**60 and rounded with integer shifts; negative zero keeps
-    its sign.
+    The fraction of a double is exact, so it is scaled by 2**60 and rounded with integer
+    shifts (digits below 2**-60 only matter to a fraction that is far from a tie). From
+    2**53 on a double has no fraction. Infinities and NaN are written as such.
     """
+    size = F.abs(value)
+    ordinary = size < float(1 << 53)  # NaN is larger than any number here
+    safe = F.when(ordinary, size).otherwise(0.0)
+    units = F.floor(safe).cast("long")
     low30 = F.lit((1 << 30) - 1)
-    scaled = (F.abs(value) * F.lit(float(1 << 60))).cast("long")
+    scaled = ((safe - units) * F.lit(float(1 << 60))).cast("long")
     low = scaled.bitwiseAND(low30) * 100
     high = F.shiftright(scaled, 30) * 100 + F.shiftright(low, 30)
     whole, rest = F.shiftright(high, 30), high.bitwiseAND(low30)
@@ -60,4 +65,6 @@ def two_places(value: Column) -> Column:
     up = (rest > half) | ((rest == half) & ((tail > 0) | (whole % 2 == 1)))
     cents = whole + F.when(up, 1).otherwise(0)
     sign = F.when(F.startswith(value.cast("string"), F.lit("-")), "-").otherwise("")
-    return F.format_string("%s%d.%02d", sign, F.floor(cents / 100).cast("long"), cents % 100)
+    number = F.format_string("%s%d.%02d", sign, units + F.floor(cents / 100).cast("long"), cents % 100)
+    large = F.when(size <= 1.7976931348623157e308, F.format_string("%.2f", value)).otherwise(F.lower(value.cast("string")))
+    return F.when(ordinary, number).otherwise(large)

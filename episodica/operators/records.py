@@ -10,8 +10,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -19,6 +18,8 @@ from pyspark.sql.types import BinaryType
 from episodica.functions.binary import flags_to_number, pack, unpack
 
 HEADER_BYTES = 16
+MOST_FIELDS = 65_535
+DECODED_ROWS = 10_000  # handed on at a time
 # Type tags of record fields.
 TAGS = {"int32": 1, "float64": 2, "string": 3, "bool": 4}
 
@@ -26,7 +27,7 @@ TAGS = {"int32": 1, "float64": 2, "string": 3, "bool": 4}
 def encode_header(
     magic: Column, version: Column, count: Column, flags: Column, order: Column | str = "big"
 ) -> Column:
-    """``flags`` is an array of booleans, bit 0 first."""
+    """``flags`` is an array of booleans, bit 0 first. A number above its field gives null, not other bytes."""
     body = F.concat(
         magic.cast("binary"), pack(version, 2, order), pack(count, 4, order),
         pack(flags_to_number(flags), 2, order),
@@ -57,15 +58,16 @@ def decode_header(
     )
 
 
-@F.pandas_udf(BinaryType())
-def float64_bytes(values: pd.Series) -> pd.Series:
-    """Big-endian IEEE 754 bytes; Spark has no built-in for them."""
-    raw = values.to_numpy(dtype=">f8").tobytes()
-    return pd.Series([raw[i : i + 8] for i in range(0, len(raw), 8)])
+@F.arrow_udf(BinaryType())
+def float64_bytes(values: pa.Array) -> pa.Array:
+    """Big-endian IEEE 754 bytes, null for null; Spark has no built-in for them."""
+    raw = values.fill_null(0.0).to_numpy(zero_copy_only=False).astype(">f8").tobytes()
+    known = values.is_valid().to_pylist()
+    return pa.array([raw[8 * i : 8 * i + 8] if ok else None for i, ok in enumerate(known)], pa.binary())
 
 
 def int32_field(name: str | Column, value: Column) -> Column:
-    return _field("int32", name, pack(value, 4))
+    return _field("int32", name, F.when(value.between(-(1 << 31), (1 << 31) - 1), pack(value, 4)))
 
 
 def float64_field(name: str | Column, value: Column) -> Column:
@@ -96,13 +98,15 @@ def encode_record(fields: list[Column]) -> Column:
 def encode_records(rows: DataFrame) -> DataFrame:
     """Records from a long table (record_id, field_no, field BINARY).
 
-    The format allows 65,535 fields in a record, which bounds each list.
+    The format allows 65,535 fields in a record, which bounds each list. ``data`` is null and
+    ``error`` says why where a record has more, or a field that could not be encoded.
     """
     listed = F.array_sort(F.collect_list(F.struct("field_no", "field")))
     fields = F.transform(listed, lambda f: F.hex(f["field"]))
-    return rows.groupBy("record_id").agg(
-        F.concat(pack(F.count(F.lit(1)), 2), F.unhex(F.array_join(fields, ""))).alias("data")
-    )
+    lost, count = F.count_if(F.col("field").isNull()), F.count(F.lit(1))
+    error = F.when(count > MOST_FIELDS, F.lit("too many fields")).when(lost > 0, F.lit("a value does not fit its field"))
+    data = F.concat(pack(count, 2), F.unhex(F.array_join(fields, "")))
+    return rows.groupBy("record_id").agg(F.when(error.isNull(), data).alias("data"), error.alias("error"))
 
 
 RECORD_SCHEMA = (
@@ -138,18 +142,32 @@ def _fields(data: bytes, at: int):
         yield {"field_no": number, "name": name.decode(), "type": kind, column: parsed, "next_offset": at}
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [part.split()[0] for part in RECORD_SCHEMA.split(", ")]
+_COLUMNS = {
+    "record_id": pa.int64(), "field_no": pa.int32(), "name": pa.string(), "type": pa.string(), "int_value": pa.int32(),
+    "float_value": pa.float64(), "string_value": pa.string(), "bool_value": pa.bool_(), "next_offset": pa.int64(), "error": pa.string(),
+}
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in _COLUMNS.items()], list(_COLUMNS))
+
+    rows: list[dict] = []
     for batch in batches:
-        rows = []
-        for record, data, offset in zip(batch["record_id"], batch["data"], batch["offset"]):
+        for record, data, offset in zip(*(batch[c].to_pylist() for c in ("record_id", "data", "offset"))):
             try:
+                if data is None or offset is None:
+                    raise ValueError("no data")
                 rows += [{"record_id": record, **field} for field in list(_fields(data, offset))]
             except (ValueError, struct.error, IndexError) as error:
                 rows.append({"record_id": record, "error": str(error)})
-        yield pd.DataFrame(rows, columns=names).astype(object).replace({np.nan: None})
+            if len(rows) >= DECODED_ROWS:
+                yield out(rows)
+                rows = []
+    if rows:
+        yield out(rows)
 
 
 def decode_records(df: DataFrame) -> DataFrame:
     """One row per field from (record_id, data, offset); a bad record gives one error row."""
-    return df.select("record_id", "data", "offset").mapInPandas(_decode, RECORD_SCHEMA)
+    return df.select("record_id", "data", "offset").mapInArrow(_decode, RECORD_SCHEMA)

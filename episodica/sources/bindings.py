@@ -12,7 +12,8 @@ CATALOG = [f"s{i}" for i in range(8)]
 
 
 def payload_number(props: Column) -> Column:
-    return F.get_json_object(props, "$.k").cast("int")
+    """The number of a payload; null where it has none or no valid one."""
+    return F.get_json_object(props, "$.k").try_cast("int")
 
 
 def episode_of(user: Column, ts: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.plans.skew import key_sizes
 from episodica.sources import schemas
 
 
@@ -75,43 +74,38 @@ def with_violations(df: DataFrame, payload: str, required: dict[str, str]) -> Da
     return df.withColumn("violations", F.array_compact(F.array(*checks))).drop("_parsed")
 
 
-GRAPH_PART_ROWS = 50_000
+GRAPH_ROWS = 1_000_000  # nodes and edges of one document, at most
 GRAPH = (
     "nodes ARRAY<STRUCT<id: STRING, text: STRING, speaker: STRING, type: STRING>>, "
     "edges ARRAY<STRUCT<`from`: STRING, `to`: STRING, text: STRING>>"
 )
 
 
-def graph_json(nodes: DataFrame, edges: DataFrame, part_rows: int = GRAPH_PART_ROWS) -> DataFrame:
-    """Graphs as JSON documents; a graph above ``part_rows`` rows becomes several parts.
+def graph_json(nodes: DataFrame, edges: DataFrame, most: int = GRAPH_ROWS) -> DataFrame:
+    """One JSON document per graph: (script_id, document, error).
 
-    The number of parts follows from the size of the graph, and a row's part from its
-    hash, so no document and no task has to hold one giant graph.
+    A graph of more than ``most`` nodes and edges has no document but an error that says so:
+    a document is read and written whole. Rows are counted first, with partial sums, so
+    nothing larger is ever collected.
     """
     node = F.struct(F.col("node_id").alias("id"), "text", "speaker", "type")
     edge = F.struct(F.col("from_id").alias("from"), F.col("to_id").alias("to"), "text")
     rows = nodes.select("script_id", node.alias("node"), F.lit(None).alias("edge")).unionByName(
         edges.select("script_id", F.lit(None).alias("node"), edge.alias("edge"))
     )
-    rows = rows.withColumn("_spread", F.xxhash64("node", "edge"))
-    counts, largest, _ = key_sizes(rows, ["script_id"])
-    part = F.lit(0)
-    if largest > part_rows:
-        # Only graphs above part_rows are listed: at most rows / part_rows of them.
-        parts = F.ceil(F.col("_n") / F.lit(part_rows)).alias("_parts")
-        large = counts.where(F.col("_n") > part_rows).select("script_id", parts)
-        rows = rows.join(F.broadcast(large), "script_id", "left")
-        part = F.pmod("_spread", F.coalesce("_parts", F.lit(1))).cast("int")
-    return (
-        rows.groupBy("script_id", part.alias("part"))
+    large = rows.groupBy("script_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    documents = (
+        rows.join(large, "script_id", "left_anti").groupBy("script_id")
         .agg(F.collect_list("node").alias("nodes"), F.collect_list("edge").alias("edges"))
-        .select("script_id", "part", F.to_json(F.struct("nodes", "edges")).alias("document"))
+        .select("script_id", F.to_json(F.struct("nodes", "edges")).alias("document"), F.lit(None).cast("string").alias("error"))
     )
+    why = F.format_string("%d nodes and edges, a document holds %d", "n", F.lit(most))
+    return documents.unionByName(large.select("script_id", F.lit(None).cast("string").alias("document"), why.alias("error")))
 
 
 def graph_tables(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node and edge tables back from JSON documents."""
-    parsed = documents.select("script_id", F.from_json("document", GRAPH).alias("g"))
+    parsed = documents.where("document is not null").select("script_id", F.from_json("document", GRAPH).alias("g"))
     nodes = parsed.select("script_id", F.inline("g.nodes")).withColumnRenamed("id", "node_id")
     edges = parsed.select("script_id", F.inline("g.edges"))
     return nodes, edges.withColumnsRenamed({"from": "from_id", "to": "to_id"})

@@ -138,10 +138,11 @@ def test_dialogue(spark, slice_rows):
     assert sorted(r.message for r in without.collect()) == [
         "Edge 'KnightPath'->'End' points to missing node 'End'", "Edge 'TravelerPath'->'End' points to missing node 'End'",
     ]
-    for part_rows in (3, 1000):
-        back_nodes, back_edges = codecs.graph_tables(codecs.graph_json(nodes, edges, part_rows))
-        assert {(r.node_id, r.type) for r in back_nodes.collect()} == {(k, v[0]) for k, v in got.items()}
-        assert back_edges.count() == 5
+    back_nodes, back_edges = codecs.graph_tables(codecs.graph_json(nodes, edges))
+    assert {(r.node_id, r.type) for r in back_nodes.collect()} == {(k, v[0]) for k, v in got.items()}
+    assert back_edges.count() == 5
+    refused = codecs.graph_json(nodes, edges, most=3).collect()
+    assert [(r.document, r.error) for r in refused] == [(None, f"{len(got) + 5} nodes and edges, a document holds 3")]
 
 
 def test_last_line_wins_and_scene_names_may_repeat(spark):
@@ -307,3 +308,43 @@ def test_canary_gate_limits(spark):
         spark.createDataFrame(gates, "phase string, metrics_gate string"),
     ).collect()
     assert sorted((r.phase, r.gate_ok) for r in out) == [("a", False), ("a", True), ("b", False), ("b", True), ("c", True)]
+
+
+def test_pack_refuses_what_does_not_fit(spark):
+    from episodica.functions.binary import pack
+
+    prepare(spark)
+    cases = [(0, 2, "0000"), (65535, 2, "FFFF"), (65536, 2, None), (-1, 2, "FFFF"), (-32768, 2, "8000"), (-32769, 2, None), (2**32 + 5, 4, None), (2**40, 8, "0000010000000000"), (None, 2, None)]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, v long")
+    for i, (_, size, want) in enumerate(cases):
+        assert df.where(F.col("i") == i).select(F.hex(pack(F.col("v"), size))).first()[0] == want
+
+
+def test_records_keep_nan_null_and_errors(spark):
+    from episodica.operators import records
+
+    prepare(spark)
+    df = spark.createDataFrame([(1, float("nan")), (2, None), (3, 1.5)], "record_id long, v double").coalesce(1)
+    made = df.select("record_id", F.lit(0).alias("field_no"), records.float64_field("f", F.col("v")).alias("field"))
+    encoded = records.encode_records(made)
+    errors = {r.record_id: r.error for r in encoded.collect()}
+    assert errors == {1: None, 2: "a value does not fit its field", 3: None}
+    extra = spark.createDataFrame([(4, bytearray(b"\x00"))], "record_id long, data binary")
+    back = records.decode_records(encoded.select("record_id", "data").unionByName(extra).withColumn("offset", F.lit(0)))
+    got = {r.record_id: r for r in back.collect()}
+    assert got[1].float_value != got[1].float_value and got[3].float_value == 1.5
+    assert got[2].error == "no data" and got[4].error.startswith("record ends")
+
+
+def test_two_places_for_any_double(spark):
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    from episodica.functions.text import two_places
+
+    prepare(spark)
+    values = [0.125, 0.375, -0.125, 8.1, -8.05, 7.995, 12345.675, 2.5e15 + 0.5, 0.005, 0.015, -0.001, -0.0, 99.995, 1e9 + 0.125, 4503599627370495.5, 9.007199254740993e15, -1e18]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r[0] for r in df.orderBy("i").select(two_places(F.col("v"))).collect()]
+    assert got == [f"{Decimal(v).quantize(Decimal('0.01'), ROUND_HALF_EVEN):.2f}" if v or str(v) == "0.0" else "-0.00" for v in values]
+    odd = spark.createDataFrame([(float("inf"),), (float("nan"),), (None,)], "v double")
+    assert [r[0] for r in odd.select(two_places(F.col("v"))).collect()] == ["infinity", "nan", None]
