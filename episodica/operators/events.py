@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.plans.skew import HOT_ROWS, keyed_join, ordered, salted_join
+from episodica.plans.skew import HOT_ROWS, keyed_join, ordered
+
+BUCKETS = 8
 
 MONEY = "decimal(18,2)"
 
@@ -117,15 +119,14 @@ def clean_numeric(rows: DataFrame, column: str, fill: float | None = None) -> Da
 def join_within(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, seconds: int) -> DataFrame:
     """Pairs of one key whose right row follows within the span, by time buckets.
 
-    Both sides meet on (key, bucket); a right row can only match its own bucket or the one
-    before, so it is sent to two.
+    A bucket is a BUCKETS-th of the span. A right row can match left rows of its own bucket
+    and of the BUCKETS before, and is sent to these; so of the pairs that meet, all but
+    about one in BUCKETS match, however hot a key is.
     """
-    def bucket(column: str) -> Column:
-        return F.floor(F.unix_seconds(F.col(column).cast("timestamp")) / F.lit(seconds))
-
-    lent = F.explode(F.array(bucket(right_ts), bucket(right_ts) - 1))
-    near = right.withColumn("_bucket", lent)
-    placed = left.withColumn("_bucket", bucket(left_ts))
-    pairs = salted_join(placed, near, [key, "_bucket"], hot_rows=100_000).drop("_bucket")
-    gap = F.unix_micros(F.col(right_ts).cast("timestamp")) - F.unix_micros(F.col(left_ts).cast("timestamp"))
+    micros = lambda column: F.unix_micros(F.col(column).cast("timestamp"))
+    width = F.lit(-(-seconds * 1_000_000 // BUCKETS))
+    bucket = lambda column: F.floor(micros(column) / width)
+    near = right.withColumn("_bucket", F.explode(F.sequence(bucket(right_ts) - BUCKETS, bucket(right_ts))))
+    pairs = left.withColumn("_bucket", bucket(left_ts)).join(near, [key, "_bucket"]).drop("_bucket")
+    gap = micros(right_ts) - micros(left_ts)
     return pairs.where((gap >= 0) & (gap <= seconds * 1_000_000))

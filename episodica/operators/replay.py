@@ -93,7 +93,7 @@ def stage(
         .when((kind == "load") & F.col("_known").isNull(), "unknown_skill")
         .when((kind == "load") & ~F.array_contains("catalog", skill), "not_in_catalog"),
     )
-    sliced = slice_keys(rows.drop("_known", "catalog"), ["episode_id"], order, slice_rows, actions)
+    sliced = slice_keys(rows.drop("_known", "catalog"), ["episode_id"], order, slice_rows, actions, need_largest=True)
     submit = F.when(kind == "submit", 1).otherwise(0)
     rows = ordered(
         sliced, ["episode_id"], order, number="step", running={"_submits": submit}, keep_slice=True
@@ -358,7 +358,7 @@ def _chain_by_rounds(giant: DataFrame) -> DataFrame:
         now = turns.where(F.col("_turn") == number).select("episode_id", SLICE)
         now = durable(now.join(state, "episode_id"))
         ends = (
-            giant.join(F.broadcast(now), ["episode_id", SLICE])
+            giant.join(now, ["episode_id", SLICE])
             .groupBy("episode_id", SLICE)
             .applyInPandas(_end_of_group, END_SCHEMA)
         )
@@ -423,7 +423,7 @@ def replay_steps(staged: Staged, fold_rows: int = FOLD_ROWS) -> DataFrame:
         parts.append(replay_pandas(long))
     if giant is not None:
         chain = slice_chain(giant, staged.setting).select("episode_id", SLICE, "loaded0", "ever0")
-        started = giant.join(F.broadcast(chain), ["episode_id", SLICE])
+        started = giant.join(chain, ["episode_id", SLICE])
         parts.append(_walked(started))
     return reduce(DataFrame.unionByName, parts).withColumn("used", F.size("loaded"))
 

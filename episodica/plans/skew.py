@@ -1,9 +1,7 @@
 """Joins and ordered windows that stay balanced when one key holds most rows.
 
-Two devices carry the package:
-
-* ``keyed_join`` broadcasts the lookup side only after measuring it, and otherwise
-  salts the hot keys of the fact side.
+* ``keyed_join`` leaves the strategy to Spark: the plan's statistics or the sizes seen at run
+  time decide on a broadcast, and adaptive execution splits the partitions of hot keys.
 * ``ordered`` computes running values per key. Keys above ``slice_rows`` are cut into
   ordered slices of about that many rows; each slice is computed on its own and the
   small per-slice totals are carried forward. Keys below it get a plain window.
@@ -19,43 +17,25 @@ from pyspark.sql import functions as F
 
 from episodica.session import durable
 
-BROADCAST_BYTES = 64 * 1024 * 1024
+# A table that is planned to be smaller needs no look for hot keys: one task can sort it.
+SMALL_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 1_000_000
 HOT_KEYS = 1_000_000
 SLICE = "_slice"
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Size of a table: text and binary by length, nested values by their JSON, others 8 bytes."""
-    def width(field) -> Column:
-        kind = field.dataType.typeName()
-        if kind in ("string", "binary"):
-            return F.octet_length(field.name)
-        if kind in ("array", "map", "struct"):
-            return F.octet_length(F.to_json(field.name))
-        return F.lit(8)
-
-    row = reduce(lambda a, b: a + b, [F.coalesce(width(f), F.lit(0)) for f in df.schema], F.lit(8))
-    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+def planned_bytes(df: DataFrame) -> int:
+    """Size of a table by the optimizer's statistics; runs nothing. Unknown sizes are huge."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    return measured_bytes(df) <= limit
+def keyed_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a fact table (or a stream) to a lookup table; nothing is counted or hinted beforehand.
 
-
-def keyed_join(
-    fact: DataFrame,
-    dim: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    *,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join a fact table to a lookup table."""
-    if fits_broadcast(dim, broadcast_bytes):
-        return fact.join(F.broadcast(dim), on, how)
-    return salted_join(fact, dim, on, how, hot_rows=hot_rows)
+    Hot keys and null keys of the fact side make large shuffle partitions, which the
+    session's adaptive skew rule splits (see ``session.SETTINGS``).
+    """
+    return fact.join(dim, on, how)
 
 
 def key_sizes(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int, int]:
@@ -79,47 +59,6 @@ def _prefixed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumnsRenamed({k: f"_k_{k}" for k in keys})
 
 
-def salted_join(
-    fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", *, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Equi-join with the fact rows of each hot key spread over several salts.
-
-    Keys with at most ``hot_rows`` fact rows are not salted, and without any larger key
-    this is a plain join. The lookup rows of a hot key are copied once per salt. Fact rows
-    with a null key match nothing and are spread evenly. A stream cannot be counted
-    beforehand; its micro-batches are joined plainly.
-    """
-    if fact.isStreaming:
-        return fact.join(dim, on, how)
-    counts, largest, total = key_sizes(fact, on)
-    if largest <= hot_rows:
-        return fact.join(dim, on, how)
-    limit = _hot_limit(hot_rows, total)
-    hot = counts.where(F.col("_n") > limit).select(
-        *on, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_fan")
-    )
-    plain = [f.name for f in fact.schema if f.dataType.typeName() not in ("map", "variant")]
-    spread = F.xxhash64(*plain)
-    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
-    salted_fact = (
-        fact.join(F.broadcast(hot), on, "left")
-        .withColumn(
-            "_salt",
-            F.when(no_key, F.pmod(spread, F.lit(1 << 20)))
-            .when(F.col("_fan").isNotNull(), F.pmod(spread, F.col("_fan")))
-            .otherwise(F.lit(0))
-            .cast("int"),
-        )
-        .drop("_fan")
-    )
-    salted_dim = (
-        dim.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1)))
-        .drop("_fan")
-    )
-    return salted_fact.join(salted_dim, [*on, "_salt"], how).drop("_salt")
-
-
 @dataclass(frozen=True)
 class Sliced:
     """Rows tagged with a slice number; only hot keys have more than one slice."""
@@ -133,22 +72,27 @@ class Sliced:
 
 def slice_keys(
     df: DataFrame, keys: list[str], order: list[str], slice_rows: int = HOT_ROWS,
-    counted: DataFrame | None = None,
+    counted: DataFrame | None = None, need_largest: bool = False,
 ) -> Sliced:
     """Cut every key above ``slice_rows`` into ordered slices of about that size.
 
+    A table planned to be small is not counted at all, unless the caller wants to know its
+    ``largest`` key (else 0).
+
     ``counted`` may name a cheaper table with the same keys and no fewer rows, such as the
     input of a join, to count instead.
 
     The slices are range partitions on key and order, so ties and bursts do not matter.
     They are written to the shared folder: a recomputed task must not move a boundary.
     """
+    if not need_largest and slice_rows >= HOT_ROWS and planned_bytes(df) <= SMALL_BYTES:
+        return Sliced(df.withColumn(SLICE, F.lit(0)), keys, order, 0, False)
     counts, largest, total = key_sizes(df if counted is None else counted, keys)
     if largest <= slice_rows:
         return Sliced(df.withColumn(SLICE, F.lit(0)), keys, order, largest, False)
     limit = _hot_limit(slice_rows, total)
     hot = _prefixed(counts.where(F.col("_n") > limit), keys)
-    marked = df.join(F.broadcast(hot), _same_keys(df, hot, keys), "left").drop(*[f"_k_{k}" for k in keys])
+    marked = df.join(hot, _same_keys(df, hot, keys), "left").drop(*[f"_k_{k}" for k in keys])
     cold = marked.where(F.col("_n").isNull()).drop("_n").withColumn(SLICE, F.lit(0))
     cut = (
         marked.where(F.col("_n").isNotNull())
@@ -228,7 +172,7 @@ def _carry_in(out, rows, keys, order, number, total, running, carry, previous, f
     inflow = per_slice.select(*keys, SLICE, *[c.alias(n) for n, c in carried.items()])
     inflow = _prefixed(inflow, [*keys, SLICE])
     at_slice = _same_keys(out, inflow, [*keys, SLICE])
-    out = out.join(F.broadcast(inflow), at_slice, "left").drop(*[f"_k_{k}" for k in (*keys, SLICE)])
+    out = out.join(inflow, at_slice, "left").drop(*[f"_k_{k}" for k in (*keys, SLICE)])
     fixed: dict[str, Column] = {}
     if number:
         fixed[number] = F.col(number) + F.coalesce("_in_number", F.lit(0))

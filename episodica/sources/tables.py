@@ -1,19 +1,12 @@
-"""Typed reads of the parquet tables."""
+"""Reads of the parquet tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 from episodica.session import prepare
 
-_schemas: dict[str, StructType] = {}
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table by name. Its schema is read once per path; later reads need no footer job."""
-    prepare(spark)
-    path = f"{folder}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    """A table by name: one file, or a folder of part files."""
+    return prepare(spark).read.parquet(f"{folder}/{name}.parquet")

@@ -42,22 +42,29 @@ def test_slices_are_bounded(spark):
     assert sliced.split and sliced.largest == 1000 and largest < 200
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_anti", "left_semi"])
-@pytest.mark.parametrize("hot_rows", [20, 100_000])
-def test_salted_join_equals_plain_join(spark, how, hot_rows):
-    prepare(spark)
-    fact = rows(spark)
-    dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("k1", 3), (None, 4), ("zz", 5)], "key string, d int")
-    got = skew.salted_join(fact, dim, ["key"], how, hot_rows=hot_rows)
-    want = fact.join(dim, ["key"], how)
-    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+def jobs_of(spark, build):
+    """Jobs that ``build`` runs before its result is used, and the result."""
+    group = f"build-{id(build)}"
+    spark.sparkContext.setJobGroup(group, group)
+    out = build()
+    spark.sparkContext.setJobGroup("rest", "rest")
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), out
 
 
-def test_keyed_join_measures_before_it_broadcasts(spark):
+def test_joins_and_windows_of_small_tables_count_nothing(spark):
     prepare(spark)
-    fact, dim = rows(spark), spark.createDataFrame([("hot", "x" * 500)], "key string, d string")
-    assert skew.measured_bytes(dim) > 500
-    small = skew.keyed_join(fact, dim, ["key"])
-    large = skew.keyed_join(fact, dim, ["key"], broadcast_bytes=100, hot_rows=20)
-    assert "ResolvedHint (strategy=broadcast)" in small._jdf.queryExecution().analyzed().toString()
-    assert small.count() == large.count() == 200
+    fact, dim = rows(spark), spark.createDataFrame([("hot", 1), ("k1", 2), ("k1", 3), (None, 4)], "key string, d int")
+    for how in ("inner", "left", "left_anti", "left_semi"):
+        n, got = jobs_of(spark, lambda: skew.keyed_join(fact, dim, ["key"], how))
+        assert n == 0 and got.count() == fact.join(dim, ["key"], how).count()
+    assert jobs_of(spark, lambda: skew.ordered(fact, ["key"], ["at", "id"], number="n"))[0] == 0
+
+
+def test_rewards_read_the_events_few_times(spark):
+    from episodica.plans import load_all
+    from episodica.plans.registry import QUERIES
+
+    load_all()
+    n, out = jobs_of(spark, lambda: QUERIES["reward_episode"](spark, "/root/testdata/sf0.001"))
+    assert n <= 8
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan parquet") <= 6
