@@ -11,7 +11,10 @@ from episodica.operators.catalog import sampled
 from episodica.operators.records import encode_header
 
 # Fixed values of the generator.
-POOL = [f"skill_proc_dist_{i:03d}" for i in range(1, 9)]
+POOL = [
+    "skill_proc_dist_001", "skill_proc_dist_002", "skill_proc_dist_003", "skill_proc_dist_004",
+    "skill_proc_dist_005", "skill_proc_dist_006", "skill_proc_dist_007", "skill_proc_dist_008",
+]
 API_NAMES = [
     "Zephyr", "Nebula", "Quantum", "Prism", "Helix", "Vortex", "Apex", "Nimbus", "Zenith", "Orion",
     "Pulse", "Flux", "Stratos", "Cipher", "Forge", "Atlas", "Beacon", "Crest", "Drift", "Echo",
@@ -27,15 +30,40 @@ FORMAT_NAMES = [
 ]
 MAGICS = ["NOVB", "HXPK", "DFGE", "BYST", "PKTX", "BNFR", "CRPK", "FLXB", "QPAK", "NXBN"]
 FLAG_SETS = [
-    "compressed,encrypted,checksummed", "compressed,signed,indexed",
-    "encrypted,compressed,verified", "indexed,compressed,encrypted,signed",
+    ["compressed", "encrypted", "checksummed"],
+    ["compressed", "signed", "indexed"],
+    ["encrypted", "compressed", "verified"],
+    ["indexed", "compressed", "encrypted", "signed"],
 ]
 FIRST_TIMESTAMP = 1_700_000_000
 
 
+# Names, descriptions and contents of the pool skills, in the order of POOL.
+POOL_TEXTS = [
+    ("Queue Consumers", "How to read a message queue without losing messages.", "Acknowledge a message after its work is stored. Give each one an id, so that a second delivery is seen. Move a message that fails often to a queue of its own."),
+    ("Cache Lifetimes", "When to keep and when to drop cached values.", "Give every entry a time to live. Drop entries when their source changes. Spread expiry times, so that not all entries are renewed at once."),
+    ("Log Rotation", "Keeping log files small and complete.", "Start a new file by size and by day. Compress closed files. Delete files after the agreed time, never the open one."),
+    ("Paging Through Lists", "Reading long lists page by page.", "Ask for the next page with the cursor of the last one. Stop at an empty page. Do not count on page numbers while rows are added."),
+    ("Retry Rules", "Which failures to try again, and how often.", "Try again after time-outs and overload, not after wrong input. Wait twice as long each time, with some chance in it, and give up after five."),
+    ("Schema Changes", "Changing tables while they are in use.", "Add a column that may be empty first, fill it, then require it. Never rename in one step: write both names, move the readers, drop the old one."),
+    ("Feature Switches", "Turning new code on for some users.", "Choose users by a hash of their id, so that the choice stays. Name an owner and an end date for every switch."),
+    ("Backup Checks", "Knowing that a backup can be restored.", "Restore the newest backup to an empty machine every week and compare row counts and sums. An untested backup counts as none."),
+]
+
+
+def pool_skills(spark: SparkSession) -> DataFrame:
+    """The skills that distract from the relevant one: one row for each id of POOL."""
+    fields = "skill_id string, name string, short_description string, full_content string"
+    return spark.createDataFrame([(i, *texts) for i, texts in zip(POOL, POOL_TEXTS)], fields)
+
+
+def seed_of(base: Column | int, counter: Column) -> Column:
+    """The seed of a counter: base * 10000 + counter."""
+    return (F.lit(base) if isinstance(base, int) else base).cast("long") * 10_000 + counter
+
+
 def seeds(spark: SparkSession, n: int, base: int = 0) -> DataFrame:
-    """Counter-based seeds: base * 10000 + counter."""
-    return spark.range(n).select((F.lit(base) * 10_000 + F.col("id")).alias("seed"))
+    return spark.range(n).select(seed_of(base, F.col("id")).alias("seed"))
 
 
 def distractors(seed: Column) -> Column:
@@ -176,7 +204,7 @@ def binary_params(seeds: DataFrame) -> DataFrame:
         pick(MAGICS, "magic", seed).alias("magic"),
         pick(["big", "little"], "endian", seed).alias("endian"),
         (F.shiftleft(major, 8) + minor).alias("version"),
-        F.split(pick(FLAG_SETS, "flags", seed), ",").alias("flag_names"),
+        F.element_at(F.array(*[F.array(*map(F.lit, names)) for names in FLAG_SETS]), (draw(len(FLAG_SETS), "flags", seed) + 1).cast("int")).alias("flag_names"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from episodica.operators import catalog, generate
 from episodica.plans.episode_queries import FOLD, TASKS, joined, states
 from episodica.plans.registry import query
+from episodica.plans.skew import ordered
 from episodica.session import durable, fresh_dir
 from episodica.sources import bindings, files
 from episodica.sources.tables import table
@@ -147,12 +148,17 @@ def catalog_shuffle(spark, folder):
 
 @query(
     "task_sample",
-    """SELECT c_custkey, ('0x' || substr(md5('task:' || c_custkey), 1, 8))::BIGINT % 13 AS task_no FROM customer""",
+    f"""WITH {TASKS}, n AS (SELECT *, row_number() OVER (ORDER BY task_id) - 1 AS task_no FROM t),
+          c AS (SELECT c_custkey, ('0x' || substr(md5('task:' || c_custkey), 1, 8))::BIGINT % (SELECT count(*) FROM t) AS task_no FROM customer)
+        SELECT c_custkey, task_no, task_id, difficulty FROM c JOIN n USING (task_no)""",
 )
 def task_sample(spark, folder):
-    """Each customer as a seed that picks one of the 13 bank tasks."""
-    seed = F.col("c_custkey")
-    return table(spark, folder, "customer").select("c_custkey", catalog.task_index(seed, 13).alias("task_no"))
+    """Each customer as a seed that picks a task row, whatever the size of the bank."""
+    bank = bindings.tasks(spark, folder).select("task_id", "difficulty")
+    bank = ordered(bank.withColumn("_bank", F.lit(1)), ["_bank"], ["task_id"], number="place").drop("_bank")
+    drawn = catalog.task_index(F.col("c_custkey"), bank.count()).alias("task_no")
+    picked = table(spark, folder, "customer").select("c_custkey", drawn)
+    return picked.join(bank.withColumn("task_no", F.col("place") - 1).drop("place"), "task_no").select("c_custkey", "task_no", "task_id", "difficulty")
 
 
 @query(

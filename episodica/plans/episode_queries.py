@@ -9,6 +9,7 @@ from episodica.plans.registry import query
 from episodica.plans.skew import keyed_join
 from episodica.session import durable
 from episodica.sources import bindings
+from episodica.sources.tables import table
 
 ACTIONS = """
 a0 AS (
@@ -321,3 +322,14 @@ def replay_rejects(spark, folder):
     """Actions of episodes without a sign-up, read as episodes that were never started."""
     rows = bindings.actions(spark, folder).select("event_id", "episode_id", "action_type")
     return replay.rejected(rows, rows.where("action_type = 'signup'"))
+
+
+@query(
+    "episode_restarts",
+    """SELECT CAST(user_id AS VARCHAR) || '-' || strftime(date_trunc('week', ts), '%Y-%m-%d') AS episode_id, count(*) AS starts
+       FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING count(*) > 1""",
+)
+def episode_restarts(spark, folder):
+    """Purchases as starts: episode ids that were started more than once, which a log must not hold."""
+    rows = table(spark, folder, "events").where("event_type = 'purchase'")
+    return replay.restarted(rows.select(bindings.episode_of(F.col("user_id"), F.col("ts")).alias("episode_id")))

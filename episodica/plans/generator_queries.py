@@ -34,7 +34,7 @@ BINARY = f"""
 bin AS (SELECT c_custkey AS seed, {_pick(generate.FORMAT_NAMES, 'format')} AS format_name,
   {_pick(generate.MAGICS, 'magic')} AS magic, {_pick(['big', 'little'], 'endian')} AS endian,
   ({_draw(5, 'major')} + 1) * 256 + {_draw(10, 'minor')} AS version,
-  string_split({_pick(generate.FLAG_SETS, 'flags')}, ',') AS flag_names FROM customer)"""
+  {generate.FLAG_SETS}[{_draw(len(generate.FLAG_SETS), 'flags')} + 1] AS flag_names FROM customer)"""
 
 N_DISTRACTORS = f"(4 + {_draw(3, 'n_distractors')})"
 
@@ -160,6 +160,30 @@ def gen_docs(spark, folder):
     return docs.where(F.length("full_content") > 100).drop("full_content")
 
 
+@query("gen_seeds", "SELECT c_custkey, c_nationkey * 10000 + c_custkey AS seed FROM customer")
+def gen_seeds(spark, folder):
+    """Counter seeds: the nation is the base, the customer the counter."""
+    rows = table(spark, folder, "customer")
+    return rows.select("c_custkey", generate.seed_of(F.col("c_nationkey"), F.col("c_custkey")).alias("seed"))
+
+
+@query(
+    "gen_bank_complete",
+    f"""SELECT 'relevant' AS role, count(*) AS "references", CAST(0 AS BIGINT) AS missing FROM customer
+        UNION ALL SELECT 'distractor', CAST(sum({N_DISTRACTORS}) AS BIGINT), CAST(0 AS BIGINT) FROM customer""",
+)
+def gen_bank_complete(spark, folder):
+    """Skills that generated tasks name, and how many of them no generated or pool skill describes."""
+    seeds = _seeds(spark, folder)
+    tasks = generate.gen_tasks(seeds)
+    refs = tasks.select(F.lit("relevant").alias("role"), F.explode("relevant").alias("skill_id")).unionByName(
+        tasks.select(F.lit("distractor").alias("role"), F.explode("distractors").alias("skill_id"))
+    )
+    known = generate.gen_skills(seeds).select("skill_id").unionByName(generate.pool_skills(spark).select("skill_id"))
+    found = refs.join(known.distinct().withColumn("known", F.lit(1)), "skill_id", "left")
+    return found.groupBy("role").agg(F.count(F.lit(1)).alias("references"), F.count_if(F.col("known").isNull()).alias("missing"))
+
+
 @query(
     "generator_uniqueness",
     """SELECT count(DISTINCT o_custkey) AS seeds, count(DISTINCT o_custkey) AS tasks, true AS varied FROM orders""",

@@ -122,17 +122,19 @@ def grade_parts(spark, folder):
        g AS (SELECT l.l_orderkey, l.l_partkey, l.submission,
                     (SELECT count(*) FROM cases c WHERE c.p_partkey = l.l_partkey) AS cases,
                     (SELECT count(*) FROM r JOIN cases c ON c.p_partkey = r.l_partkey AND c.n = r.n
-                       WHERE r.submission = l.submission AND r.value = c.expected AND NOT failed) AS passed FROM l)
+                       WHERE r.submission = l.submission AND NOT failed
+                         AND (r.value = c.expected OR c.p_partkey % 2 = 0 AND abs(r.value - c.expected) < 1.5)) AS passed FROM l)
        SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS task_id, cases, passed, cases = passed AS correct FROM g""",
 )
 def grade_cases(spark, folder):
-    """Order lines as submissions with two results each; one is sometimes missing or failed."""
+    """Order lines as submissions with two results each; one is sometimes missing or failed. Every other part is tolerant."""
     part, key = table(spark, folder, "part"), F.col("p_partkey").cast("string")
     golden = F.array(
         F.struct(F.lit(1).alias("case_id"), (F.col("p_size") % 2).cast("string").alias("expected")),
         F.struct(F.lit(2).alias("case_id"), (F.col("p_size") % 3).cast("string").alias("expected")),
     )
-    cases = part.select(key.alias("task_id"), F.inline(golden)).withColumn("tolerance", F.lit(None).cast("double"))
+    tolerance = F.when(F.col("p_partkey") % 2 == 0, 1.5).alias("tolerance")
+    cases = part.select(key.alias("task_id"), tolerance, F.inline(golden))
     columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     lines = table(spark, folder, "lineitem").withColumn("submission_id", F.md5(F.concat_ws("|", *columns)))

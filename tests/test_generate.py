@@ -94,3 +94,10 @@ def test_seeded_order_is_a_permutation(spark):
     rows = spark.range(300).select(catalog.shuffled(ids, F.col("id")).alias("o"), catalog.task_index(F.col("id"), 13).alias("n")).collect()
     assert all(sorted(r.o) == list("abcdef") for r in rows)
     assert len({tuple(r.o) for r in rows}) > 150 and {r.n for r in rows} == set(range(13))
+
+
+def test_pool_skills_have_rows(spark):
+    prepare(spark)
+    rows = generate.pool_skills(spark).collect()
+    assert [r.skill_id for r in rows] == generate.POOL and all(len(r.full_content) > 60 for r in rows)
+    assert [r.seed for r in generate.seeds(spark, 3, 7).collect()] == [70_000, 70_001, 70_002]
