@@ -21,6 +21,7 @@ END_ID = 2
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold; null and empty texts score as clean."""
+    session(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = docs.withColumn("__toxicity", toxicity.score(F.col("text"), model))
     return scored.where(F.col("__toxicity") < TOXIC).drop("__toxicity")
@@ -28,7 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the proven cutoffs let pass; empty ones do not."""
-    measured = durable(quality.measured(session(spark) and docs))
+    session(spark)
+    measured = durable(quality.measured(docs))
     chosen = quality.choose(quality.labelled_counts(measured, table(spark, sf_dir, "labels")))
     keep = quality.verdict(quality.stratum(F.col("lang")), chosen, "__counts")
     return docs.withColumn("__counts", quality.counts(F.col("text"))).where(F.coalesce(keep, F.lit(False))).drop("__counts")
@@ -36,17 +38,20 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of smallest doc_id."""
-    return jaccard.one_of_each(session(spark) and docs, NEAR_WORDS, NEAR_PERCENT)
+    session(spark)
+    return jaccard.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in an order that mixes sources to their target weights."""
-    return mixing.mixed_order(session(spark) and docs)
+    session(spark)
+    return mixing.mixed_order(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens."""
-    return packing.pack(session(spark) and docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    session(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
 STAGES = [
