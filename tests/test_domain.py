@@ -97,6 +97,16 @@ def test_long_series_in_blocks(spark):
     assert np.allclose([r.trend for r in out], hpfilter.trend(y, lamb), atol=1e-10)
 
 
+@pytest.mark.parametrize("lamb", [100.0, 1600.0, 14400.0])
+def test_blocks_of_a_trending_series(spark, lamb):
+    """Large, rising values: the blocks differ from one solve by less than 1e-11 of the values."""
+    prepare(spark)
+    y = 1e6 + 250.0 * np.arange(3000) + 1e3 * np.random.RandomState(2).randn(3000)
+    series = spark.createDataFrame([("s", t, float(v)) for t, v in enumerate(y)], "series_id string, t int, value double")
+    out = hpfilter.hp_filter(series, lamb, block_points=700, slice_rows=900).orderBy("t").collect()
+    assert np.abs(np.array([r.trend for r in out]) - hpfilter.trend(y, lamb)).max() < 1e-11 * y.max()
+
+
 SCRIPT = """[GateScene]
 Guard: Halt! State your name. -> NameChoice
 
