@@ -4,8 +4,8 @@ Two texts link when ``100 * common >= threshold * union`` over their distinct n-
 group is what links connect. The join never compares all pairs:
 
 * Equal sets are one set. Their rows share its answer.
-* **Answer skipping.** Sets that share a sketch are compared with the smallest set of that
-  sketch only. Those that link to it form a cluster around it (the leader), and its answer
+* **Answer skipping.** Sets that share a sketch are compared with one set of that sketch
+  only. Those that link to it form a cluster around it (the leader), and its answer
   is theirs. A set that no leader takes is a cluster of its own.
 * **Index skipping.** N-grams are ordered from rare to common; two sets that link share one
   among their first few (the prefix). The index lists of an n-gram are cut into blocks by
@@ -26,48 +26,74 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.common import words
 from episodica.session import durable
 
 BANDS, BAND_ROWS = 5, 3
-LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 22
+BUCKETS, SLICES = 1 << 21, 64  # of the counts, and rows that they are passed on in
 BROADCAST_ROWS = 2_000_000  # of one number each
-KEPT_WORDS = 400_000
+SLAB = 1 << 20
 KEPT_SETS = 64
 _ODD = np.random.default_rng(20).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SIGNATURE = "row long, doc_id long, size long, sid binary, bands array<long>, prefix array<long>"
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_IN_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_BYTE = np.random.default_rng(21).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_SIGNATURE = "row long, doc_id long, size long, sid binary, rare double, bands array<long>, prefix array<long>"
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of a text's word n-grams, A-Z in lower case."""
+    """Sorted distinct 64-bit hashes of a text's word n-grams, A-Z in lower case.
 
-    def __init__(self, width: int):
-        self.width, self.known = width, {}
+    A word ``b0 b1 ..`` has the hash ``sum(T[bi] * B ** i)`` modulo 2**64 with random ``T`` and odd
+    ``B``, mixed with its length. Differences of running sums give the hashes of all words
+    at once; texts are taken in slabs, so memory beyond the text is bounded by its words.
+    """
 
-    def _word(self, word: bytes) -> int:
-        found = xxhash.xxh64_intdigest(word)
-        if len(self.known) < KEPT_WORDS and len(word) <= 32:
-            self.known[word] = found
-        return found
+    def __init__(self, width: int):
+        self.width = width
+        self.up = self.down = np.ones(0, dtype=np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            steps = np.full((2, max(n, 2 * len(self.up))), [[_BASE], [_INVERSE]], dtype=np.uint64)
+            steps[:, 0] = 1
+            self.up, self.down = np.cumprod(steps, axis=1)
+
+    def _words(self, raw: bytes) -> np.ndarray:
+        data = np.frombuffer(raw, dtype=np.uint8)
+        self._powers(len(data) + 1)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], _IN_WORD[data], [False]])))
+        starts, ends = edge[::2], edge[1::2]
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[data] * self.up[: len(data)], out=sums[1:])
+        found = (sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _ODD[62]
+        found ^= found >> np.uint64(32)
+        found *= _ODD[61]
+        return found ^ (found >> np.uint64(29))
 
     def all(self, text: str | None) -> np.ndarray:
         """Hashes of all n-grams in order; a shorter text is one n-gram."""
-        found = [w.lower() for w in words(text)] if text and len(text) < 64 else words(text and _lower(text))
-        if not found:
-            return np.zeros(0, dtype=np.uint64)
-        known, word = self.known, self._word
-        ids = np.fromiter((known[w] if w in known else word(w) for w in found), np.uint64, len(found))
+        raw, slabs, at = (text or "").encode("utf-8", "surrogatepass"), [], 0
+        while at < len(raw):
+            cut = _SPACE.search(raw, at + SLAB)  # a slab ends at white space
+            slabs.append(self._words(raw[at : cut.start() if cut else len(raw)]))
+            at = cut.start() if cut else len(raw)
+        ids = np.concatenate(slabs) if slabs else np.zeros(0, dtype=np.uint64)
+        if not len(ids):
+            return ids
         width = min(self.width, len(ids))
-        total = np.full(len(ids) - width + 1, np.uint64(width), dtype=np.uint64)
+        total = np.full(len(ids) - width + 1, width, dtype=np.uint64)
         for i in range(width):
             total += ids[i : len(ids) - width + 1 + i] * _ODD[40 + i % 20] + np.uint64(i)
         total ^= total >> np.uint64(29)
@@ -78,33 +104,42 @@ class Shingler:
         return np.unique(self.all(text))
 
 
-def _lower(text: str) -> str:
-    """A-Z only: other letters stay as they are."""
-    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-
-
 def _bucket_counts(width: int, buckets: int):
+    """Counts of a task, in SLICES rows of packed numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = Shingler(width), np.zeros(buckets, dtype=np.int64)
+        shingles, counts = Shingler(width), np.zeros(buckets, dtype="<u4")
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                found = shingles(text)
-                if len(found):
-                    np.add.at(counts, (found & np.uint64(buckets - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(counts)
-        for i in range(0, len(at), 50_000):
-            some = at[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
+            found = [shingles(text) for text in batch["text"].to_pylist()]
+            if found:
+                counts += np.bincount((np.concatenate(found) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets).astype("<u4")
+        if counts.any():
+            parts = np.split(counts, SLICES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "counts"])
 
     return run
 
 
-def rarity(docs: DataFrame, width: int, buckets: int) -> np.ndarray:
-    """Size class of each bucket over all texts; at most ``buckets`` rows reach the driver."""
-    found = docs.select("text").mapInArrow(_bucket_counts(width, buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(buckets)
-    counts[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy()
-    return np.minimum(4 * np.log2(counts + 1), 255).astype(np.uint8)
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by slice, row by row: a task holds its slices' sums and nothing else."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, packed in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist()):
+            found = np.frombuffer(packed, dtype="<u4").astype(np.uint64)
+            sums[at] = sums[at] + found if at in sums else found
+    for at, total in sums.items():
+        low = np.minimum(total, np.uint64(2**32 - 1)).astype("<u4")
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([low.tobytes()], pa.binary())], ["slice", "counts"])
+
+
+def rarity(docs: DataFrame, width: int, buckets: int = BUCKETS) -> np.ndarray:
+    """Size class of each bucket over all texts; SLICES rows reach the driver."""
+    kinds = "slice int, counts binary"
+    found = docs.select("text").mapInArrow(_bucket_counts(width, buckets), kinds).repartition(SLICES, "slice").mapInArrow(_add, kinds)
+    counts = np.zeros((SLICES, buckets // SLICES))
+    for row in found.collect():
+        counts[row["slice"]] = np.frombuffer(row["counts"], dtype="<u4")
+    return np.minimum(8 * np.log2(counts.ravel() + 1), 255).astype(np.uint8)
 
 
 def _signatures(width: int, threshold: int, rare: np.ndarray):
@@ -113,15 +148,15 @@ def _signatures(width: int, threshold: int, rare: np.ndarray):
     def sign(shingles: Shingler, text: str | None) -> tuple:
         found = shingles(text)
         if not len(found):
-            return 0, None, [], []
+            return 0, None, None, [], []
         order = np.sort(rare[(found & mask).astype(np.int64)].astype(np.uint64) << np.uint64(55) | found >> np.uint64(9))
-        least = [int((found * _ODD[p]).min()) for p in range(BANDS * BAND_ROWS)]
-        bands = [
-            xxhash.xxh64_intdigest(repr((b, least[b * BAND_ROWS : (b + 1) * BAND_ROWS]))) >> 1 for b in range(BANDS)
-        ]
+        least = [(found * odd).min().item() for odd in _ODD[: BANDS * BAND_ROWS]]
+        bands = [hash((b, *least[b * BAND_ROWS : (b + 1) * BAND_ROWS])) for b in range(BANDS)]  # of whole numbers: the same everywhere
         sid = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
         prefix = len(found) - -(-threshold * len(found) // 100) + 1
-        return len(found), sid, bands, order[:prefix].astype(np.int64)
+        # Small if even the rarest n-grams are common ones: a text that others were made from.
+        rare_share = -float((order[:prefix] >> np.uint64(55)).mean())
+        return len(found), sid, rare_share, bands, order[:prefix].astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
@@ -129,106 +164,104 @@ def _signatures(width: int, threshold: int, rare: np.ndarray):
             signed = [sign(shingles, t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch["row"], batch["doc_id"], pa.array([s[0] for s in signed], pa.int64()), pa.array([s[1] for s in signed], pa.binary()),
-                pa.array([s[2] for s in signed], pa.list_(pa.int64())), pa.array([s[3] for s in signed], pa.list_(pa.int64())),
-            ], ["row", "doc_id", "size", "sid", "bands", "prefix"])
+                pa.array([s[2] for s in signed], pa.float64()), pa.array([s[3] for s in signed], pa.list_(pa.int64())),
+                pa.array([s[4] for s in signed], pa.list_(pa.int64())),
+            ], ["row", "doc_id", "size", "sid", "rare", "bands", "prefix"])
 
     return run
 
 
 def _compare(width: int):
-    """(a, b, common) for rows (a, b, text_a, text_b); sets met lately are kept."""
+    """(a, b, size_a, size_b, common) for rows (a, b, text_a, text_b, ...); sets met lately are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, kept = Shingler(width), OrderedDict()
 
-        def tokens(sid: bytes, text: str) -> np.ndarray:
-            if sid not in kept:
-                kept[sid] = shingles(text)
+        def tokens(row: int, text: str) -> np.ndarray:
+            if row not in kept:
+                kept[row] = shingles(text)
                 if len(kept) > KEPT_SETS:
                     kept.popitem(last=False)
             else:
-                kept.move_to_end(sid)
-            return kept[sid]
+                kept.move_to_end(row)
+            return kept[row]
 
         for batch in batches:
-            a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
-            texts = zip(a, batch["text_a"].to_pylist(), b, batch["text_b"].to_pylist())
-            common = [len(np.intersect1d(tokens(x, s), tokens(y, t), assume_unique=True)) for x, s, y, t in texts]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(common, pa.int64())], ["a", "b", "common"])
+            found = [(tokens(x, s), tokens(y, t)) for x, s, y, t in zip(*(batch[c].to_pylist() for c in ("a", "text_a", "b", "text_b")))]
+            common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in found]
+            sizes = [pa.array([len(f[i]) for f in found], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *sizes, pa.array(common, pa.int64())], ["a", "b", "size_a", "size_b", "common"])
 
     return run
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A hint to broadcast a table of whole numbers that was counted; else Spark decides."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 class Join:
-    """One self-join: tables are written to the shared folder as they are needed."""
+    """One self-join. A set is named by the row of a text that has it; tables go to the shared folder."""
 
     def __init__(self, docs: DataFrame, width: int, threshold: int):
         if not 0 < threshold < 100:
             raise ValueError("threshold is a percentage between 0 and 100")
         self.width, self.threshold = width, threshold
         self.docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-        buckets = LEAST_BUCKETS
-        while buckets < min(docs.count(), MOST_BUCKETS):
-            buckets *= 2
-        rare = rarity(docs, width, buckets)
-        self.signed = durable(self.docs.mapInArrow(_signatures(width, threshold, rare), _SIGNATURE))
-        # One row per distinct set; ``row`` names a text that has it.
-        self.sets = durable(
-            self.signed.where(F.col("size") > 0).groupBy("sid")
-            .agg(F.min("row").alias("row"), F.min_by(F.struct("size", "bands", "prefix"), "row").alias("s")).select("sid", "row", "s.*")
-        )
-
-    def _texts(self, sids: DataFrame) -> DataFrame:
-        """(sid, row, size, text) for distinct ``sids``."""
-        need = durable(self.sets.select("sid", "row", "size").join(sids, "sid", "left_semi"))
-        side = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
-        return durable(self.docs.select("row", "text").join(side, "row"))
+        self.signed = durable(self.docs.mapInArrow(_signatures(width, threshold, rarity(docs, width)), _SIGNATURE))
+        # Rows whose set another row has already: (row, same).
+        first = self.signed.where("size > 0").groupBy("sid").agg(F.min("row").alias("same"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        again = self.signed.select("row", "sid").join(first, "sid").where("row <> same").select("row", "same")
+        self.again = durable(again)
+        # One row per distinct set.
+        self.sets = self.signed.where("size > 0").drop("sid", "doc_id").join(_small(self.again.select("row")), "row", "left_anti")
 
     def _compared(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, common, size_a, size_b, far) for distinct pairs of set ids; ``far`` is their distance."""
-        texts = self._texts(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct())
-        named = lambda x: texts.select(F.col("sid").alias(x), F.col("text").alias(f"text_{x}"))
+        """(a, b, common, size_a, size_b, far) for distinct pairs of sets; ``far`` is their distance."""
+        need = durable(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+        texts = self.docs.select("row", "text").join(_small(need), "row")
+        named = lambda x: texts.select(F.col("row").alias(x), F.col("text").alias(f"text_{x}"))
         found = pairs.select("a", "b").join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b")
-        common = found.mapInArrow(_compare(self.width), "a binary, b binary, common long")
-        sizes = lambda x: self.sets.select(F.col("sid").alias(x), F.col("size").alias(f"size_{x}"))
-        both = common.join(sizes("a"), "a").join(sizes("b"), "b")
-        return durable(both.withColumn("far", 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))))
+        common = found.mapInArrow(_compare(self.width), "a long, b long, size_a long, size_b long, common long")
+        return durable(common.withColumn("far", 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))))
 
     def _links(self) -> Column:
         return 100 * F.col("common") >= self.threshold * (F.col("size_a") + F.col("size_b") - F.col("common"))
 
     def clusters(self) -> DataFrame:
-        """(sid, leader, far) for every set; a set that no leader takes leads itself."""
-        banded = self.sets.select("sid", F.explode("bands").alias("band"))
-        # Among equals the smallest id leads, so large groups meet the same leader in most bands.
-        heads = banded.groupBy("band").agg(F.min("sid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        pairs = banded.join(heads, "band").where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
-        near = self._compared(pairs).where(self._links())
-        taken = near.groupBy("b").agg(F.min(F.struct("a", "far")).alias("m"))
-        own = taken.select(F.col("b").alias("sid"), F.col("m.a").alias("leader"), F.col("m.far").alias("far"))
-        # A leader is one that nobody smaller takes.
-        own = own.join(own.select(F.col("sid").alias("leader")), "leader", "left_anti")
-        return durable(
-            self.sets.select("sid").join(own, "sid", "left")
-            .select("sid", F.coalesce("leader", "sid").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far"))
-        )
+        """(row, leader, far) for every set that has a leader; the others lead themselves.
+
+        Among the sets of a sketch the one with the commonest n-grams leads: copies with changes
+        of their own have n-grams that nobody else has, and the text they were made from
+        has not. The same set leads in all its bands, so a large group has few leaders.
+        """
+        banded = self.sets.select(F.struct("rare", "row").alias("rank"), F.explode("bands").alias("band"))
+        heads = banded.groupBy("band").agg(F.min("rank").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        pairs = banded.join(heads, "band").where("rank <> head").groupBy(F.col("head.row").alias("a"), F.col("rank.row").alias("b")).agg(F.first("head").alias("head"))
+        pairs = durable(pairs)
+        near = self._compared(pairs).where(self._links()).select("a", "b", "far")
+        taken = near.join(pairs, ["a", "b"]).groupBy("b").agg(F.min(F.struct("head", "far")).alias("m"))
+        own = durable(taken.select(F.col("b").alias("row"), F.col("m.head.row").alias("leader"), F.col("m.far").alias("far")))
+        # A leader is one that nobody before it takes.
+        return durable(own.join(own.select(F.col("row").alias("leader")), "leader", "left_anti").select("row", "leader", "far"))
 
     def _block(self, size: Column) -> Column:
         return F.floor(F.log(size.cast("double")) / math.log(100 / self.threshold)).cast("int")
 
     def _postings(self, clusters: DataFrame) -> DataFrame:
-        """(token, block, leader, sid, far, size, rest): ``rest`` n-grams from this one to the last."""
-        rows = self.sets.join(clusters, "sid").select("sid", "leader", "far", "size", F.posexplode("prefix").alias("place", "token"))
+        """(token, block, leader, row, far, size, rest): ``rest`` n-grams from this one to the last."""
+        led = self.sets.select("row", "size", "prefix").join(_small(clusters), "row", "left")
+        rows = led.select(
+            "row", F.coalesce("leader", "row").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far"), F.col("size").cast("int").alias("size"),
+            F.posexplode("prefix").alias("place", "token"),
+        )
         return rows.withColumn("rest", F.col("size") - F.col("place")).withColumn("block", self._block(F.col("size"))).drop("place")
 
-    def _reach(self) -> Column:
-        """Largest partner that a probe at this place can have, if the partner is not smaller."""
-        t = self.threshold
-        return F.least(F.floor(100 * F.col("size") / t), F.floor(F.col("rest") * (100 + t) / t) - F.col("size")).cast("long")
-
     def _probes(self, postings: DataFrame) -> DataFrame:
-        """Postings once for each block within reach."""
-        ahead = postings.withColumn("reach", self._reach()).where("reach >= size")
+        """Postings once for each block within reach: up to the largest partner that a place allows."""
+        t = self.threshold
+        reach = F.least(F.floor(100 * F.col("size") / t), F.floor(F.col("rest") * (100 + t) / t) - F.col("size")).cast("long")
+        ahead = postings.withColumn("reach", reach).where("reach >= size")
         return ahead.withColumn("block", F.explode(F.sequence(self._block(F.col("size")), self._block(F.col("reach"))))).drop("reach")
 
     def _may_link(self, x: str, y: str) -> Column:
@@ -240,9 +273,11 @@ class Join:
     def _cluster_pairs(self, postings: DataFrame) -> DataFrame:
         """Pairs of leaders, a < b, whose clusters meet in the index."""
         def lists(rows: DataFrame, x: str) -> DataFrame:
-            return rows.groupBy("token", "block", "leader").agg(
+            # Dealt by list, so that neither the sums nor the join need another shuffle.
+            dealt = rows.select("token", "block", F.col("leader").alias(x), "size", "rest").repartition("token", "block")
+            return dealt.groupBy("token", "block", x).agg(
                 F.min("size").alias(f"{x}_size"), F.max("size").alias(f"{x}_most"), F.max("rest").alias(f"{x}_rest")
-            ).withColumnRenamed("leader", x)
+            )
 
         met = lists(self._probes(postings), "x").join(lists(postings, "y"), ["token", "block"])
         met = met.where((F.col("x") != F.col("y")) & (F.col("x_size") <= F.col("y_most")) & self._may_link("x", "y"))
@@ -250,32 +285,35 @@ class Join:
 
     def links(self, clusters: DataFrame) -> DataFrame:
         """Pairs of leaders (a, b) of which some members link."""
-        postings = durable(self._postings(clusters))
+        postings = self._postings(clusters)
         compared = self._compared(durable(self._cluster_pairs(postings)))
         direct = compared.where(self._links()).select("a", "b")
-        radius = clusters.groupBy("leader").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("members"))
-        radius = radius.where("members > 1")
-        side = lambda x: radius.select(F.col("leader").alias(x), F.col("radius").alias(f"radius_{x}"))
+        radius = clusters.groupBy("leader").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n"))
+        side = lambda x: radius.select(F.col("leader").alias(x), F.col("radius").alias(f"radius_{x}"), F.col("n").alias(f"n_{x}"))
         reach = F.coalesce("radius_a", F.lit(0.0)) + F.coalesce("radius_b", F.lit(0.0))
-        open_pairs = (
-            compared.where(~self._links()).join(side("a"), "a", "left").join(side("b"), "b", "left")
-            .where((reach > 0) & (F.col("far") <= reach + self._slack())).select("a", "b", "far")
-        )
-        open_pairs = durable(open_pairs)
-        if not open_pairs.head(1):
+        apart = compared.where(~self._links()).join(side("a"), "a", "left").join(side("b"), "b", "left")
+        apart = apart.where((reach > 0) & (F.col("far") <= reach + self._slack()))
+        # Clusters that are connected already need no further link.
+        roots = durable(components(direct))
+        root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        apart = apart.join(root("a"), "a", "left").join(root("b"), "b", "left").where("root_a is null or root_b is null or root_a <> root_b")
+        less = F.coalesce("n_a", F.lit(0)) <= F.coalesce("n_b", F.lit(0))
+        apart = durable(apart.select(F.when(less, F.col("a")).otherwise(F.col("b")).alias("small"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("large"), F.col("far").alias("apart")))
+        if not apart.head(1):
             return direct
-        # Members of these clusters only, and only those near enough to each other by way of their leaders.
-        both = open_pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("far").alias("apart"))
-        both = both.union(both.select("y", "x", "apart"))
-        row = lambda rows, s: rows.select("token", "block", *[F.col(c).alias(f"{s}_{c}") for c in ("sid", "far", "size", "rest")], F.col("leader").alias(s))
-        some = postings.join(both.select(F.col("x").alias("leader")).distinct(), "leader", "left_semi")
-        met = (
-            row(self._probes(some), "x").join(both, "x")
-            .where(F.col("apart") <= F.col("x_far") + self._slack() + 1.0)
-            .join(row(some, "y"), ["token", "block", "y"])
-            .where((F.col("x_size") <= F.col("y_size")) & self._may_link("x", "y") & (F.col("apart") <= F.col("x_far") + F.col("y_far") + self._slack()))
-            .select(F.col("x_sid").alias("a"), F.col("y_sid").alias("b"), F.col("x").alias("la"), F.col("y").alias("lb")).distinct()
-        )
+        # Members of these clusters only, and only those near enough to each other by way of their
+        # leaders. The smaller cluster of a pair is sent to the larger one, so a large one stays as it is.
+        busy = durable(apart.select(F.explode(F.array("small", "large")).alias("leader")).distinct())
+        some = durable(postings.join(_small(busy), "leader", "left_semi"))
+
+        def met(few: DataFrame, many: DataFrame, order: str) -> DataFrame:
+            row = lambda rows, s: rows.select("token", "block", *[F.col(c).alias(f"{s}_{c}") for c in ("row", "far", "size", "rest")], F.col("leader").alias(s))
+            sent = row(few, "small").join(apart, "small")
+            near = F.col("apart") <= F.col("small_far") + F.col("large_far") + self._slack()
+            pairs = sent.join(row(many, "large"), ["token", "block", "large"]).where(F.expr(order) & self._may_link("small", "large") & near)
+            return pairs.select(F.col("small_row").alias("a"), F.col("large_row").alias("b"), F.col("small").alias("la"), F.col("large").alias("lb"))
+
+        met = met(self._probes(some), some, "small_size <= large_size").union(met(some, self._probes(some), "large_size <= small_size")).distinct()
         met = durable(met)
         good = self._compared(met.select("a", "b").distinct()).where(self._links()).select("a", "b")
         deep = met.join(good, ["a", "b"]).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
@@ -288,11 +326,12 @@ class Join:
         """(row, doc_id, size, root) for every row; equal roots are one group, no n-gram: root null."""
         clusters = self.clusters()
         roots = components(self.links(clusters))
-        of_set = clusters.join(roots, F.col("leader") == F.col("node"), "left").select("sid", F.coalesce("root", "leader").alias("root"))
-        rows = self.signed.select("row", "doc_id", "size", "sid")
-        return rows.where("sid is not null").join(of_set, "sid").select("row", "doc_id", "size", "root").unionByName(
-            rows.where("sid is null").select("row", "doc_id", "size", F.lit(None).cast("binary").alias("root"))
-        )
+        # Each step finds few rows: those with a set seen before, with a leader, and with links.
+        rows = self.signed.select("row", "doc_id", "size")
+        rows = rows.join(_small(self.again), "row", "left").withColumn("root", F.coalesce("same", "row"))
+        rows = rows.join(_small(clusters.select(F.col("row").alias("root"), "leader")), "root", "left").withColumn("root", F.coalesce("leader", "root"))
+        rows = rows.join(_small(durable(roots.select(F.col("node").alias("root"), F.col("root").alias("top")))), "root", "left")
+        return rows.select("row", "doc_id", "size", F.when(F.col("size") > 0, F.coalesce("top", "root")).alias("root"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -340,5 +379,4 @@ def one_of_each(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     first = rows.where("root is not null").groupBy("root").agg(F.min(rank).alias("m")).select(F.col("m.row").alias("__row"))
     kept = durable(first.union(rows.where("root is null").select("row")))
-    side = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(side, "__row", "left_semi").drop("__row")
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(_small(kept), "__row", "left_semi").drop("__row")
