@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inverted lists and adaptive dimension scans.
 
 A bounded sample gives the list centres; every vector goes to the list of its nearest one. A
-query probes the nearest lists. In a probed list, vectors are turned by a random rotation,
+query probes the nearest lists, as many as the sample's own neighbours ask for. In a probed list, vectors are turned by a random rotation,
 so any block of columns is a fair sample of a distance, and read column block by column
 block: a candidate whose partial distance is too large, by a test with error factor
 ``SIGMAS``, for the 10th best so far is abandoned. What is left is compared exactly, in
@@ -29,8 +29,8 @@ FIT_ROWS = 20_000  # vectors that the centres are fitted on, at most
 MOST_LISTS = 4096
 LIST_ROWS = 4096  # of a block
 QUERY_ROWS = 1024  # of a block
-PROBED = 0.25  # share of the lists
-LEAST_PROBED = 8
+TARGET = 0.97  # share of sampled neighbours that the probed lists must hold
+TRIALS = 200  # sampled vectors whose neighbours in the sample are looked up, at most
 COLUMNS = 16  # read at a time
 STEP = 512  # candidates between two looks at the 10th best
 SIGMAS = 2.1
@@ -65,6 +65,25 @@ def nearest(rows: np.ndarray, to: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def probes_for(sample: np.ndarray, middle: np.ndarray, k: int, target: float) -> int:
+    """Lists to probe so that they hold ``target`` of the true neighbours, by trial in the sample.
+
+    In all of the data neighbours are nearer than in a sample of it, so this errs on the
+    safe side. Data without clusters ask for most lists.
+    """
+    lists, wanted = nearest(sample, middle, 1)[:, 0], []
+    trials = sample[:: max(1, len(sample) // TRIALS)][:TRIALS]
+    for one, order in zip(trials, nearest(trials, middle, len(middle))):
+        far = ((sample - one) ** 2).sum(1)
+        true = np.argsort(far, kind="stable")[1 : k + 1]  # the first is the vector itself, or its like
+        place = np.empty(len(middle), dtype=np.int64)
+        place[order] = np.arange(len(middle))
+        wanted += place[lists[true]].tolist()
+    if not wanted:
+        return len(middle)
+    return int(np.sort(wanted)[min(len(wanted) - 1, math.ceil(target * len(wanted)) - 1)]) + 1
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
     """Packed vectors as rows of doubles."""
     if isinstance(column, pa.ChunkedArray):
@@ -153,7 +172,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, seed: int = 7) ->
     packed = rows.where(F.size("v") == size).mapInArrow(_pack, "row long, vec_id long, v binary")
     sample = fit_rows(packed, FIT_ROWS, "vec_id", "row").select("v").toArrow()
     lists = min(MOST_LISTS, max(1, round(math.sqrt(n) / 4)), sample.num_rows)
-    middle = centres(_matrix(sample["v"], size), lists)
+    fitted = _matrix(sample["v"], size)
+    middle = centres(fitted, lists)
     turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, size)))[0]
 
     kinds = "row long, vec_id long, v binary, lists array<int>"
@@ -180,7 +200,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, seed: int = 7) ->
         best = Window.partitionBy("qrow").orderBy("score", "vec_id")
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
-    probed = min(lists, max(LEAST_PROBED, math.ceil(PROBED * lists)))
+    probed = probes_for(fitted, middle, k, TARGET)
     found = durable(nearest_of(queries, probed))
     if probed < lists:
         full = found.groupBy("qrow").count().where(F.col("count") >= min(k, n - 1))

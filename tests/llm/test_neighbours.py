@@ -35,6 +35,20 @@ def test_recall_against_brute_force(spark, scratch):
     assert hits >= 0.9 * 300
 
 
+def test_data_without_clusters_probe_more(spark, scratch):
+    r = np.random.default_rng(6)
+    even, tight = r.normal(size=(3000, 16)), r.normal(size=(12, 16))[r.integers(0, 12, 3000)] * 9 + r.normal(size=(3000, 16))
+    counts = []
+    for x in (even, tight):
+        middle = neighbours.centres(x, 16)
+        counts.append(neighbours.probes_for(x, middle, 10, 0.97))
+    assert counts[0] > 8 > counts[1]
+    df = table(spark, scratch, "even", [(i, v.tolist(), "own", "own") for i, v in enumerate(even)], "array<double>")
+    found = neighbours.search(df, F.col("vec_id") % 100 == 0).collect()
+    hits = sum(r["vec_id"] in set(brute(np.arange(3000), even, r["query_id"])[1].tolist()) for r in found)
+    assert hits >= 0.93 * 300
+
+
 def test_messy_vectors(spark, scratch):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0, 3.0], "a", "b") for i in range(0, 40)] + [(100, [1.0, 2.0, 4.0], "a", "b"), (101, [9.0, 9.0, 9.0], "a", "b")]
@@ -60,7 +74,7 @@ def test_hot_list_and_short_lists(spark, scratch, monkeypatch):
     """A third are copies, blocks are tiny, and one list is probed: all queries still get ten."""
     monkeypatch.setattr(neighbours, "LIST_ROWS", 50)
     monkeypatch.setattr(neighbours, "QUERY_ROWS", 2)
-    monkeypatch.setattr(neighbours, "LEAST_PROBED", 1)
+    monkeypatch.setattr(neighbours, "TARGET", 0.01)
     r = np.random.default_rng(2)
     x = r.normal(size=(900, 8))
     x[::3] = x[0]
