@@ -169,8 +169,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, seed: int = 7) ->
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size, n = sizes["size"], sizes["count"]
-    packed = rows.where(F.size("v") == size).mapInArrow(_pack, "row long, vec_id long, v binary")
-    sample = fit_rows(packed, FIT_ROWS, "vec_id", "row").select("v").toArrow()
+    kept = rows.where(F.size("v") == size)
+    packed = kept.mapInArrow(_pack, "row long, vec_id long, v binary")
+    sample = fit_rows(kept, FIT_ROWS, "vec_id", "row").mapInArrow(_pack, "row long, vec_id long, v binary").select("v").toArrow()
     lists = min(MOST_LISTS, max(1, round(math.sqrt(n) / 4)), sample.num_rows)
     fitted = _matrix(sample["v"], size)
     middle = centres(fitted, lists)

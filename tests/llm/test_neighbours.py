@@ -56,7 +56,7 @@ def test_messy_vectors(spark, scratch):
         (200, None, "a", "b"), (201, [0.0, 0.0, 0.0], "a", "b"), (202, [1.0, None, 1.0], "a", "b"), (203, [1.0, nan, 1.0], "a", "b"),
         (204, [inf, 1.0, 1.0], "a", "b"), (205, [1.0, 2.0], "a", "b"), (None, [1.0, 2.0, 3.0], "a", "b"), (206, [], "a", "b"),
     ]
-    got = neighbours.search(table(spark, scratch, "messy", rows), F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
+    got = neighbours.search(table(spark, scratch, "messy-vectors", rows), F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
     assert {r["query_id"] for r in got} == {0, 100}
     assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == 0] == [(i, 0.0) for i in range(1, 11)]
     assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == 100] == [(i, 1.0) for i in range(10)]
