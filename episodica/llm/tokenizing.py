@@ -22,7 +22,7 @@ UNSURE = re.compile("[\x1c-\x1f\u180e\u200b\u2060\ufeff]")
 PIECE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 # Letters after which a full stop or comma always starts a new token.
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZßàáâäçèéêëìíîïñòóôöùúûüÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ")
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 300_000  # about 60 MB in a worker
 KEPT_LENGTH = 48
 TOGETHER = 2000
 SLAB = 1 << 20

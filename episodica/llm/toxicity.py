@@ -140,7 +140,7 @@ def weigh(counts: dict[str, tuple[int, int]], n_bad: int, n_good: int) -> dict[s
     return dict(sorted(useful.items(), key=lambda x: (-x[1] * math.log1p(counts[x[0]][0]), x[0]))[:TERMS])
 
 
-def _counted(each, flush: int = 300_000):
+def _counted(each, flush: int = 50_000):
     """Rows (item, half, toxic, n): what ``each`` finds in a text, summed in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
