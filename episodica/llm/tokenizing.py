@@ -1,8 +1,9 @@
 """Tokens of whole texts by a tokenizer file, piece by piece.
 
 A text is cut where the tokenizer itself always cuts, so pieces can be encoded alone, each
-distinct piece once per task. Texts in which libraries may disagree on what white space is
-are encoded whole.
+distinct piece once per task. Special strings come out first, as in the library: white space
+before one is the end of a stretch. Texts in which libraries may disagree on what white
+space is are encoded whole.
 """
 
 from __future__ import annotations
@@ -67,6 +68,23 @@ def longest_special(path: str) -> int:
     return max([0, *(len(t.content) for t in load(path).get_added_tokens_decoder().values())])
 
 
+@lru_cache(maxsize=4)
+def _specials(path: str) -> re.Pattern | None:
+    """The special strings, the longest first, as the library takes them."""
+    found = sorted((t.content for t in load(path).get_added_tokens_decoder().values() if t.content), key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, found)) + ")") if found else None
+
+
+def byte_pieces(slab: str, specials: re.Pattern | None) -> list[str]:
+    """Pieces of a text for a tokenizer of kind ``bytes``: special strings, and PIECE in the stretches between them."""
+    if specials is None or "<|" not in slab:
+        return PIECE.findall(slab)
+    out: list[str] = []
+    for k, part in enumerate(specials.split(slab)):
+        out += [part] if k % 2 else PIECE.findall(part)
+    return out
+
+
 class Pieces:
     """Encodes lists of pieces, each distinct one once; keeps a bounded number of results."""
 
@@ -150,7 +168,7 @@ class Counter:
     """Token counts of a list of texts."""
 
     def __init__(self, path: str):
-        self.pieces, self.way, self.tokenizer = Pieces(path, len), kind(path), load(path)
+        self.pieces, self.way, self.tokenizer, self.specials = Pieces(path, len), kind(path), load(path), _specials(path)
 
     def __call__(self, texts: list[str | None]) -> list[int]:
         counts, lists = [0] * len(texts), []
@@ -161,7 +179,7 @@ class Counter:
                 counts[i] = len(self.tokenizer.encode(text, add_special_tokens=False).ids)
                 continue
             for slab in slabs(text):
-                lists.append((i, PIECE.findall(slab) if self.way == "bytes" else word_pieces(slab)))
+                lists.append((i, byte_pieces(slab, self.specials) if self.way == "bytes" else word_pieces(slab)))
         known = self.pieces.known([p for _, p in lists])
         for i, parts in lists:
             counts[i] += sum(map(known.__getitem__, parts))
@@ -173,7 +191,7 @@ class Coder:
 
     def __init__(self, path: str):
         self.pieces = Pieces(path, lambda ids: np.asarray(ids, dtype="<u4").tobytes())
-        self.way, self.tokenizer = kind(path), load(path)
+        self.way, self.tokenizer, self.specials = kind(path), load(path), _specials(path)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out, lists = [[] for _ in texts], []
@@ -184,7 +202,7 @@ class Coder:
                 out[i].append(self.pieces.value(self.tokenizer.encode(text, add_special_tokens=False).ids))
                 continue
             for slab in slabs(text):
-                lists.append((i, PIECE.findall(slab) if self.way == "bytes" else word_pieces(slab)))
+                lists.append((i, byte_pieces(slab, self.specials) if self.way == "bytes" else word_pieces(slab)))
         known = self.pieces.known([p for _, p in lists])
         for i, parts in lists:
             out[i].append(b"".join(map(known.__getitem__, parts)))

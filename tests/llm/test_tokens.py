@@ -53,6 +53,23 @@ def test_huge_texts_are_spliced(spark, chunk, overlap):
     assert [got[str(i)] for i in range(len(texts))] == [len(x) for x in plain(BYTES, texts)]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_white_space_around_special_strings(path):
+    gaps = ["", " ", "\n", "\n\n", "  ", " \n", "\n ", "\t\t\n", "\r\n\r\n", "   \n\n\n"]
+    texts = [f"abc{a}<|endoftext|>{b}d{a}<|endoftext|><|endoftext|>{b}" for a in gaps for b in gaps] + ["x <|endoftext| >\n\n<|endo", "<|<|endoftext|>."]
+    ids = plain(path, texts)
+    assert Counter(path)(texts) == [len(i) for i in ids]
+    assert [[int.from_bytes(b[i : i + 4], "little") for i in range(0, len(b), 4)] for b in Coder(path)(texts)] == ids
+
+
+def test_special_strings_on_both_sides_of_the_switch(spark):
+    some = "abc\n\n<|endoftext|> d  \n<|endoftext|>\n\n"
+    texts = [(some * 2000)[:n] for n in (500, tokens.CHUNK - 1, tokens.CHUNK, tokens.CHUNK + 1, 2 * tokens.CHUNK)]
+    got = tokens.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTES, 50)
+    want = {i: len(x) for i, x in enumerate(plain(BYTES, texts))}
+    assert {r["doc_id"]: r["n_tokens"] for r in got.collect()} == want
+
+
 def test_messy_rows(messy, empty):
     got = tokens.token_counts(messy, BYTES, 50, chunk=2000, overlap=100).collect()
     rows = messy.select("doc_id", "text").collect()
