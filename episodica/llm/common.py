@@ -41,6 +41,11 @@ def fit_rows(df: DataFrame, limit: int, *keys: str) -> DataFrame:
     return df.orderBy(mark, *keys).limit(limit)
 
 
+def with_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number of each row, written once: later scans may be split in other ways."""
+    return durable(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def numbered(df: DataFrame, name: str, order: list[str], group: list[str] | None = None) -> DataFrame:
     """``df`` with gapless numbers from 0 in ``order``, per ``group`` if given.
 

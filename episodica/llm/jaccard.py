@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from episodica.llm.common import with_rows
 from episodica.session import durable
 
 BANDS, BAND_ROWS = 5, 3
@@ -204,10 +205,11 @@ class Join:
     """One self-join. A set is named by the row of a text that has it; tables go to the shared folder."""
 
     def __init__(self, docs: DataFrame, width: int, threshold: int):
+        """``docs`` (row, doc_id, text) is a written table: rows keep their numbers in every scan."""
         if not 0 < threshold < 100:
             raise ValueError("threshold is a percentage between 0 and 100")
         self.width, self.threshold = width, threshold
-        self.docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+        self.docs = docs
         self.signed = durable(self.docs.mapInArrow(_signatures(width, threshold, rarity(docs, width)), _SIGNATURE))
         # Rows whose set another row has already: (row, same).
         first = self.signed.where("size > 0").groupBy("sid").agg(F.min("row").alias("same"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -365,9 +367,8 @@ def linked(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     out of that and a group with null ids alone has null. Rows without words have no n-gram
     and link with nothing. Repeated rows link with each other; a text with fewer words than
     ``width`` is one n-gram. Only doc_id and text are read. An empty table gives no rows.
-    ``docs`` is a table that is read again and again, so rows must come in the same order.
     """
-    rows = durable(Join(docs, width, threshold).groups())
+    rows = durable(Join(with_rows(docs.select("doc_id", "text"), "row"), width, threshold).groups())
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     alone = rows.where("root is null").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return rows.join(least, "root").select("doc_id", F.col("size").alias("n_shingles"), "component_id").unionByName(alone)
@@ -375,8 +376,9 @@ def linked(docs: DataFrame, width: int, threshold: int) -> DataFrame:
 
 def one_of_each(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """``docs`` with one row of each group: that of smallest doc_id, nulls last; all columns stay."""
-    rows = durable(Join(docs, width, threshold).groups())
+    docs = with_rows(docs, "__row")
+    rows = durable(Join(docs.select(F.col("__row").alias("row"), "doc_id", "text"), width, threshold).groups())
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     first = rows.where("root is not null").groupBy("root").agg(F.min(rank).alias("m")).select(F.col("m.row").alias("__row"))
     kept = durable(first.union(rows.where("root is null").select("row")))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(_small(kept), "__row", "left_semi").drop("__row")
+    return docs.join(_small(kept), "__row", "left_semi").drop("__row")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.common import numbered
+from episodica.llm.common import numbered, with_rows
 from episodica.session import durable
 
 BLOCK = 32  # rows
@@ -99,11 +99,7 @@ def mix(rows: DataFrame, weights: dict[str, float] | None = None, seed: int = 1,
 
 
 def mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 1) -> DataFrame:
-    """All rows and columns of ``docs``, in the order of the mix (part files are in order too).
-
-    ``docs`` is a table that is read twice, so its rows must come in the same order.
-    """
-    row = F.monotonically_increasing_id()
-    places = mix(docs.select(row.alias("__row"), "doc_id", "source"), weights, seed).select("__row", "place")
-    joined = docs.withColumn("__row", row).join(places.withColumnRenamed("place", "__place"), "__row")
-    return joined.repartitionByRange("__place").sortWithinPartitions("__place").drop("__row", "__place")
+    """All rows and columns of ``docs``, in the order of the mix (part files are in order too)."""
+    rows = with_rows(docs, "__row")
+    places = mix(rows.select("__row", "doc_id", "source"), weights, seed).select("__row", F.col("place").alias("__place"))
+    return rows.join(places, "__row").repartitionByRange("__place").sortWithinPartitions("__place").drop("__row", "__place")

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodica.llm.common import with_rows
 from episodica.session import durable, fresh_dir
 
 LEAST_PAYLOAD = 100  # bytes from which equal payloads are revisits
@@ -107,8 +108,8 @@ def _write(folder: str, file_bytes: int):
 def prepared(pages: DataFrame) -> DataFrame:
     """Pages with payload, its digest and size, and what kind of record each becomes."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", payload.alias("payload"))
-    rows = rows.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.length("payload").cast("long")})
+    rows = pages.select("page_id", "url", payload.alias("payload"))
+    rows = with_rows(rows.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.length("payload").cast("long")}), "row")
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.col("row").alias("row")))
     heads = (
         rows.where(F.col("payload_bytes") >= LEAST_PAYLOAD).groupBy(F.col("payload_digest").alias("__digest"))
