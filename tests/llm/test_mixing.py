@@ -18,6 +18,50 @@ def test_deadlines_are_met_and_deviation_stays_below_a_block():
                 assert abs(done[k] * length - c * t) < length  # less than one block
 
 
+def target(counts, weights, t):
+    """Blocks of each source after ``t`` slots of the flow: exact weights, what has run out leaves its share to the others."""
+    had, left, t = [0.0] * len(counts), {i for i, c in enumerate(counts) if c}, float(t)
+    while left and t > 1e-9:
+        total = sum(weights[i] for i in left)
+        step = min(t, min((counts[i] - had[i]) * total / weights[i] for i in left))
+        for i in left:
+            had[i] += step * weights[i] / total
+        t -= step
+        left = {i for i in left if counts[i] - had[i] > 1e-9}
+    return had
+
+
+def test_deviation_from_the_given_weights_over_many_periods():
+    """Against the target itself, not against rounded counts: 40 sources, and a hot one beside 2,000 small ones."""
+    r = random.Random(2)
+    sizes = [r.randint(50, 9000) for _ in range(40)]
+    hot = [20_000] + [2] * 2000
+    cases = [(sizes, [c**0.5 for c in sizes]), (hot, [0.101] + [0.899 / 2000] * 2000), ([3000, 3000, 5], [1.0, 0.999, 0.0001])]
+    for counts, weights in cases:
+        done, seen, t = [0] * len(counts), set(), 0
+        for i, j, p in mixing.schedule(counts, weights):
+            assert j == done[i]
+            done[i] += 1
+            t += 1
+            seen.add(p)
+            if t % 997 == 0 or t < 20:
+                assert max(abs(a - b) for a, b in zip(done, target(counts, weights, t))) < 1 + 1e-6
+        assert done == counts and len(seen) > 3
+
+
+def test_given_weights_hold_in_the_table(spark):
+    """Also for a share below one block in a thousand; a source without a weight comes last."""
+    rows = [(i, "a" if i % 2 else "b") for i in range(20_000)] + [(i, "rare") for i in range(20_000, 20_040)] + [(i, "none") for i in range(20_040, 20_060)]
+    weights = {"a": 3, "b": 1, "rare": 0.001}
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=2).collect()
+    slots = sorted({(r["slot"], r["source"]) for r in out})
+    done = Counter()
+    for t, (_, source) in enumerate(slots[:6000], 1):
+        done[source] += 1
+        assert all(abs(done[s] - w * t / 4.001) < 1 for s, w in weights.items())
+    assert {s for _, s in slots[-10:]} == {"none"} and len(out) == 20_060
+
+
 def test_mix_of_uneven_sources(spark, scratch):
     rows = [(i, "abcdefg"[min(6, i % 12)]) for i in range(3000)] + [(i, None) for i in range(3000, 3100)]
     path = str(scratch / "mix.parquet")
