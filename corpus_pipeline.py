@@ -49,9 +49,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
+    """Pieces of all documents in sequences of 4096 tokens, numbered in the order of the mix."""
     session(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return packing.pack(packing.in_written_order(docs), public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
 STAGES = [

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from episodica.llm.tokenizing import coder
 
@@ -113,3 +114,16 @@ def pack(docs: DataFrame, path: str, end: int, length: int = LENGTH) -> DataFram
     if length & (length - 1):
         raise ValueError("the length of a sequence is a power of two")
     return docs.select("doc_id", "text").mapInArrow(_run(path, end, length), FIELDS)
+
+
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """doc_id and text of a table of part files, in the order in which they were written.
+
+    A scan takes files by size and puts several into a partition; here partitions follow the
+    numbers of the files and the places in them, so that ``pack`` numbers sequences in that order.
+    """
+    name = F.col("_metadata.file_name")
+    number = F.regexp_extract(name, "^part-([0-9]+)", 1).try_cast("long")
+    order = {"__file": number, "__name": name, "__at": F.col("_metadata.row_index")}
+    rows = docs.select("doc_id", "text", *[c.alias(n) for n, c in order.items()])
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")

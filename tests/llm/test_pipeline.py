@@ -4,6 +4,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 from episodica.llm import quality
+from tests.llm.conftest import prose
 from tests.llm.test_jaccard import brute
 from tests.llm.test_quality import brute as measured
 
@@ -44,6 +45,35 @@ def test_stages_over_the_small_table(spark):
     assert got == want
 
 
+def test_sequences_follow_the_mix(spark, scratch, monkeypatch):
+    """Shares of sources by sequence_id, over several files whose sizes are not in order."""
+    # Small sequences, so that there are many windows; many part files.
+    real, least = corpus_pipeline.packing.pack, "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda docs, path, end: real(docs, path, end, 16))
+    rows = [(i, prose(i, 20), "hot", 0) for i in range(3000)] + [(i, prose(i, 5), "bc"[i % 2], 0) for i in range(3000, 3600)]
+    path, stages = str(scratch / "order.parquet"), dict(corpus_pipeline.STAGES)
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int").write.parquet(path)
+    before = spark.conf.get(least)
+    spark.conf.set(least, "1KB")
+    try:
+        mixed = corpus_pipeline.durable(stages["mixing"](spark, spark.read.parquet(path), SMALL))
+        assert len(mixed.inputFiles()) > 3
+        pieces = stages["packing"](spark, mixed, SMALL).collect()
+    finally:
+        spark.conf.set(least, before)
+    first, most = {}, 0
+    for p in pieces:
+        first[p["doc_id"]] = min(p["sequence_id"], first.get(p["doc_id"], p["sequence_id"]))
+    assert len(first) == 3600
+    weights = {"hot": 3000**0.5, "b": 300**0.5, "c": 300**0.5}
+    source, done = {i: s for i, _, s, _ in rows}, dict.fromkeys(weights, 0)
+    for t, doc in enumerate(sorted(first, key=lambda d: (first[d], d)), 1):
+        done[source[doc]] += 1
+        if t <= 1500:  # up to here all sources have documents left
+            most = max(most, *[abs(done[s] - w * t / sum(weights.values())) for s, w in weights.items()])
+    assert most < 2 * 32 + 130  # two blocks, and the documents of one window
+
+
 def test_messy_documents(spark, messy, empty, scratch):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(10)] + [(None, None, None)], "doc_id long, quality int, toxic int")
     folder = str(scratch / "messy-run")
