@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm import jaccard, licences, mixing, neighbours, packing, quality, sharding, tokens, toxicity, warc
+from episodica.llm import conversations, jaccard, licences, mixing, neighbours, packing, quality, sharding, tokens, toxicity, warc
 from episodica.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Licence families that the lines of every document name."""
     return licences.licences(table(spark, folder, "documents"))
+
+
+@query("op11_conversations")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation damaged in known ways, then repaired by the cheapest edits."""
+    turns = table(spark, folder, "conversations")
+    return conversations.with_lost(conversations.report(conversations.damaged(turns)), turns)
