@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm import conversations, jaccard, licences, mixing, neighbours, packing, quality, sharding, tokens, toxicity, warc
+from episodica.llm import conversations, jaccard, languages, licences, mixing, neighbours, packing, quality, resampling, sharding, tokens, toxicity, warc
 from episodica.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,18 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation damaged in known ways, then repaired by the cheapest edits."""
     turns = table(spark, folder, "conversations")
     return conversations.with_lost(conversations.report(conversations.damaged(turns)), turns)
+
+
+@query("op12_resampling")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document weighed by its likeness to the benchmark; a tenth of those of 20 words or more is drawn."""
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_languages")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every whole text, learned without the held-out fold."""
+    docs = table(spark, folder, "documents")
+    held_out = toxicity.held_out(F.col("doc_id"))
+    model = languages.train(docs.where(~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), languages.predicted(F.col("text"), model).alias("p")).select("doc_id", "held_out", "p.*")
