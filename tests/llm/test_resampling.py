@@ -87,7 +87,7 @@ def test_likeness_decides(spark):
     df = spark.createDataFrame([(i, text()) for i in range(40)] + [(100 + i, prose(50 + i, 60)) for i in range(400)], "doc_id long, text string")
     target = spark.createDataFrame([(text(),) for _ in range(200)], "text string")
     got = resampling.resample(df, target).where("rank is not null").collect()
-    assert len(got) == 44 and sum(r["doc_id"] < 40 for r in got) > 30
+    assert len(got) == 44 and sum(r["doc_id"] < 40 for r in got) > 14  # 4 would come without weights
 
 
 def test_empty_tables(spark, messy, empty):
