@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.llm.common import numbered, session
+from episodica.session import durable
 
 ROUNDS = 8
 
@@ -40,29 +41,36 @@ class Permutation:
     def b(self) -> int:
         return max(1, -(-self.n // self.a))
 
-    def _round(self, df: DataFrame, number: int, sign: int) -> DataFrame:
-        changed, fixed, size = ("__l", "__r", self.a) if number % 2 else ("__r", "__l", self.b)
-        key = F.pmod(F.xxhash64(F.col(fixed), F.lit(number), F.lit(self.seed).cast("long")), F.lit(size))
-        return df.withColumn(changed, F.pmod(F.col(changed) + F.lit(sign) * key, F.lit(size)))
-
-    def step(self, df: DataFrame, column: str, inverse: bool = False) -> DataFrame:
-        """``column`` enciphered once, or deciphered; a place of the whole rectangle."""
-        df = df.withColumns({
-            "__l": F.floor(F.col(column) / F.lit(self.b).cast("decimal(20,0)")).cast("long"),
-            "__r": F.pmod(F.col(column), F.lit(self.b)).cast("long"),
-        })
-        for number in range(ROUNDS)[:: -1 if inverse else 1]:
-            df = self._round(df, number, -1 if inverse else 1)
-        return df.withColumn(column, F.col("__l") * F.lit(self.b) + F.col("__r")).drop("__l", "__r")
+    def step(self, place: Column, inverse: bool = False) -> Column:
+        """A place of the rectangle enciphered once, or deciphered.
+
+        Rounds are folded over their numbers, so the expression has one round in it whatever
+        ROUNDS is; written out, each round would hold the one before it twice.
+        """
+        sign = F.lit(-1 if inverse else 1)
+        a, b = F.lit(self.a).cast("long"), F.lit(self.b).cast("long")
+
+        def turn(pair: Column, number: Column) -> Column:
+            left, right, odd = pair["l"], pair["r"], number % 2 == 1
+            size = F.when(odd, a).otherwise(b)
+            key = F.pmod(F.xxhash64(F.when(odd, right).otherwise(left), number, F.lit(self.seed).cast("long")), size)
+            changed = F.pmod(F.when(odd, left).otherwise(right) + sign * key, size)
+            return F.struct(F.when(odd, changed).otherwise(left).alias("l"), F.when(odd, right).otherwise(changed).alias("r"))
+
+        start = F.struct(F.call_function("div", place, b).alias("l"), F.pmod(place, b).alias("r"))
+        rounds = F.array(*[F.lit(n) for n in range(ROUNDS)[:: -1 if inverse else 1]])
+        return F.aggregate(rounds, start, turn, lambda pair: pair["l"] * b + pair["r"])
 
     def apply(self, df: DataFrame, row: str, place: str, inverse: bool = False) -> DataFrame:
-        """Add ``place``, the permuted ``row``; with ``inverse`` the row of a place."""
-        df = df.withColumn(place, F.col(row).cast("long"))
-        for _ in range(self.walk):
-            df = self.step(df.withColumn("__next", F.col(place)), "__next", inverse)
-            first = F.lit(True) if _ == 0 else F.col(place) >= self.n
-            df = df.withColumn(place, F.when(first, F.col("__next")).otherwise(F.col(place))).drop("__next")
-        return df
+        """Add ``place``, the permuted ``row``; with ``inverse`` the row of a place.
+
+        The walk is folded as well: a place outside of the range goes on, others stay.
+        """
+        walked = F.aggregate(
+            F.sequence(F.lit(1), F.lit(self.walk)), F.col(row).cast("long"),
+            lambda at, turn: F.when((turn == 1) | (at >= self.n), self.step(at, inverse)).otherwise(at),
+        )
+        return df.withColumn(place, walked)
 
 
 def permutation(spark: SparkSession, n: int, seed: int) -> Permutation:
@@ -71,11 +79,11 @@ def permutation(spark: SparkSession, n: int, seed: int) -> Permutation:
     if start.a * start.b == n or not n:
         return start
     walk = 1
-    outside = spark.range(n, start.a * start.b).withColumn("__from", F.col("id"))
-    ahead = start.step(outside, "__from", inverse=True).where(F.col("__from") < n).select("id")
+    outside = spark.range(n, start.a * start.b)
+    ahead = outside.where(start.step(F.col("id"), inverse=True) < n)
     while ahead.count():  # fewer than a places, and each walk ends in the range
         walk += 1
-        ahead = start.step(ahead, "id").where(F.col("id") >= n)
+        ahead = durable(ahead.select(start.step(F.col("id")).alias("id"))).where(F.col("id") >= n)
     return Permutation(n, seed, walk)
 
 

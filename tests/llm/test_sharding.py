@@ -49,3 +49,41 @@ def test_no_python_in_the_plan(messy):
     rows, _ = sharding.shard_rows(sharding.digests(messy), ["doc_id"], 7)
     plan = rows._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_plans_stay_small(spark):
+    """Planning takes no longer where a walk is long."""
+    import time
+
+    for n in [0, 1, 7, 17, 26, 31, 37, 50, 131, 10_001]:
+        made = sharding.permutation(spark, n, 1)
+        df = made.apply(spark.range(n).withColumnRenamed("id", "x"), "x", "y")
+        back = made.apply(df, "y", "z", inverse=True)
+        began = time.perf_counter()
+        back._jdf.queryExecution().executedPlan()
+        assert time.perf_counter() - began < 5, n
+        got = back.collect()
+        assert sorted(r["y"] for r in got) == list(range(n)) and all(r["x"] == r["z"] for r in got)
+
+
+def test_folded_rounds_are_the_network(spark):
+    """The fold against rounds written out in Python, with the same keys."""
+    n = 26
+    made = sharding.permutation(spark, n, 3)
+    pairs = spark.range(max(made.a, made.b)).crossJoin(spark.range(sharding.ROUNDS).select(F.col("id").cast("int").alias("k")))
+    keys = {(r["id"], r["k"]): r["h"] for r in pairs.select("id", "k", F.xxhash64("id", "k", F.lit(3).cast("long")).alias("h")).collect()}
+
+    def enciphered(x):
+        left, right = divmod(x, made.b)
+        for k in range(sharding.ROUNDS):
+            if k % 2:
+                left = (left + keys[right, k]) % made.a
+            else:
+                right = (right + keys[left, k]) % made.b
+        return left * made.b + right
+
+    for r in made.apply(spark.range(n), "id", "y").collect():
+        y = enciphered(r["id"])
+        while y >= n:
+            y = enciphered(y)
+        assert y == r["y"]
