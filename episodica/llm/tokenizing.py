@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -23,8 +24,8 @@ UNSURE = re.compile("[\x1c-\x1f\u180e\u200b\u2060\ufeff]")
 PIECE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 # Letters after which a full stop or comma always starts a new token.
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZßàáâäçèéêëìíîïñòóôöùúûüÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ")
-KEPT_PIECES = 300_000  # about 60 MB in a worker
-KEPT_LENGTH = 48
+KEPT_PIECES = 1_000_000  # of a generation; two of them take about 50 MB in a worker
+KEPT_LENGTH = 48  # longer pieces are not kept
 TOGETHER = 2000
 SLAB = 1 << 20
 
@@ -85,60 +86,128 @@ def byte_pieces(slab: str, specials: re.Pattern | None) -> list[str]:
     return out
 
 
+class _Run:
+    """Pieces by the sorted 64-bit hashes of their text: the length and place of their ids in one buffer."""
+
+    def __init__(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.lengths = keys[order], lengths[order]
+        self.starts = (np.cumsum(lengths, dtype=np.int64) - lengths)[order] if len(ids) else np.zeros(len(keys), dtype=np.int64)
+        self.ids = ids
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are here, and where."""
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=bool), np.zeros(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        return hit, at[hit]
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids, one after the other, of the pieces at these places."""
+        lengths = self.lengths[at].astype(np.int64)
+        if not len(self.ids):
+            return lengths, self.ids
+        ends = np.cumsum(lengths)
+        return lengths, self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def with_more(self, other: _Run) -> _Run:
+        lengths, ids = self.take(np.arange(len(self.keys)))
+        more, theirs = other.take(np.arange(len(other.keys)))
+        return _Run(np.concatenate([self.keys, other.keys]), np.concatenate([lengths, more]), np.concatenate([ids, theirs]))
+
+
 class Pieces:
-    """Encodes lists of pieces, each distinct one once; keeps a bounded number of results."""
+    """Encodes lists of pieces, each distinct one of a batch once; results are kept packed.
+
+    About 25 bytes a piece: a young generation in two runs, the small one merged into the
+    large one as it grows, and an old one, from which pieces that still come are taken over.
+    A full young generation becomes the old one, so memory is bounded and no common piece is
+    ever encoded twice. Equal hashes of two pieces are as unlikely as in any 64-bit table.
+    """
+
+    def __init__(self, path: str, with_ids: bool, kept: int = KEPT_PIECES):
+        self.tokenizer, self.with_ids, self.size = load(path), with_ids, kept
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.old, self.large, self.small = (self._run() for _ in range(3))
+        self.mark, self.encoded = self._mark(), 0
+
+    def _run(self, keys=(), lengths=(), ids=()) -> _Run:
+        return _Run(np.array(keys, dtype=np.int64), np.array(lengths, dtype=np.int64), np.array(ids if self.with_ids else (), dtype=self.kind))
 
-    def __init__(self, path: str, value):
-        self.tokenizer, self.value, self.kept = load(path), value, {}
+    def _mark(self) -> tuple[str, int] | None:
+        """A line feed or a bar between spaces, if it is one token that no other text gives."""
+        for text, joint in (("\n", "\n"), ("|", " | ")):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            if len(ids) == 1 and self.tokenizer.encode(joint.join("ab"), add_special_tokens=False).ids.count(ids[0]) == 1:
+                return joint, ids[0]
+        return None
 
     def known(self, lists: list[list[str]]) -> dict:
-        """A dictionary with at least all pieces of ``lists``."""
-        need = set().union(*lists).difference(self.kept)
-        if not need:
-            return self.kept
+        """What all pieces of ``lists`` are: their ids as little-endian unsigned 32-bit numbers, or how many they have."""
+        need = set().union(*lists)
         # A word with a stop is the word and the stop, so it needs no encoding of its own.
         stopped = {p for p in need if p[-1:] in {",", "."} and p[-2:-1] in LETTERS}
-        own = {p[:-1] for p in stopped} | ({p[-1] for p in stopped})
-        found = self._encode(list((need - stopped) | own.difference(self.kept)))
-        both = _Both(found, self.kept)
-        for p in stopped:
-            found[p] = both[p[:-1]] + both[p[-1]]
-        room = KEPT_PIECES - len(self.kept)
-        if room >= len(found) and all(len(p) <= KEPT_LENGTH for p in found):
-            self.kept.update(found)
-            return self.kept
-        short = [p for p in found if len(p) <= KEPT_LENGTH]
-        self.kept.update((p, found[p]) for p in short[: max(0, room)])
-        return _Both(found, self.kept)
-
-    def _encode(self, pieces: list[str]) -> dict:
-        """Pieces in lines of one text: a line feed next to them is a token of its own."""
+        pieces = list((need - stopped) | {p[:-1] for p in stopped} | {p[-1] for p in stopped})
         found: dict = {}
-        joined = [p for p in pieces if p and not re.fullmatch(f"[{WHITE}]+", p) and "\n" not in p and p[-1] not in " "]
-        for p in set(pieces).difference(joined):
-            found[p] = self.value(self.tokenizer.encode(p, add_special_tokens=False).ids)
-        for i in range(0, len(joined), TOGETHER):
-            some = joined[i : i + TOGETHER]
-            made = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
-            ends = np.cumsum([len(p) + 1 for p in some])
-            starts = np.array([s for s, _ in made.offsets], dtype=np.int64)
-            owner = np.searchsorted(ends, starts, side="right")
-            inside = starts != ends[owner] - 1 if len(starts) else starts.astype(bool)
-            ids = np.array(made.ids, dtype=np.int64)[inside]
-            bounds = np.searchsorted(owner[inside], np.arange(len(some) + 1))
-            for k, p in enumerate(some):
-                found[p] = self.value(ids[bounds[k] : bounds[k + 1]])
+        for name in ("small", "large", "old"):
+            keys, run = np.fromiter(map(hash, pieces), dtype=np.int64, count=len(pieces)), getattr(self, name)
+            hit, at = run.find(keys)
+            lengths, ids = run.take(at)
+            found.update(zip(_where(pieces, hit), self._values(lengths, ids)))
+            if name == "old" and len(lengths):
+                self._keep(keys[hit], lengths, ids)
+            pieces = _where(pieces, ~hit)
+        if pieces:
+            found.update(self._encode(pieces))
+        found.update((p, found[p[:-1]] + found[p[-1]]) for p in stopped)
         return found
 
+    def _values(self, lengths: np.ndarray, ids: np.ndarray) -> list:
+        if not self.with_ids:
+            return lengths.tolist()
+        data, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths) * 4
+        return [data[a:b] for a, b in zip((ends - lengths * 4).tolist(), ends.tolist())]
+
+    def _keep(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.small = self.small.with_more(self._run(keys, lengths, ids))
+        if len(self.small.keys) > max(len(self.large.keys) // 4, 1000):
+            self.large, self.small = self.large.with_more(self.small), self._run()
+        if len(self.large.keys) > self.size:
+            self.old, self.large = self.large, self._run()
 
-class _Both:
-    """The pieces of one batch; others are looked up in what is kept."""
+    def _encode(self, pieces: list[str]) -> dict:
+        """Pieces in one text, with the mark between them, cut at its token again."""
+        self.encoded += len(pieces)
+        joint, mark = self.mark or ("", -1)
+        bar = joint.strip(" ")
+        joined = [p for p in pieces if p and bar not in p and p[-1] not in " " and not p.isspace()] if self.mark else []
+        alone = list(set(pieces).difference(joined))
+        order, parts, lengths = [], [], []
+        for i in range(0, len(joined), TOGETHER):
+            some = joined[i : i + TOGETHER]
+            ids = np.array(self.tokenizer.encode(joint.join(some), add_special_tokens=False).ids, dtype=np.int64)
+            cut = np.flatnonzero(ids == mark)
+            if len(cut) != len(some) - 1:
+                alone += some
+                continue
+            order += some
+            lengths.append(np.diff(cut, prepend=-1, append=len(ids)) - 1)
+            parts.append(ids[ids != mark])
+        for p in alone:
+            ids = self.tokenizer.encode(p, add_special_tokens=False).ids
+            order.append(p)
+            lengths.append(np.array([len(ids)], dtype=np.int64))
+            parts.append(np.array(ids, dtype=np.int64))
+        sizes, ids = np.concatenate(lengths), np.concatenate(parts)
+        short = np.fromiter((len(p) <= KEPT_LENGTH for p in order), dtype=bool, count=len(order))
+        keys = np.fromiter(map(hash, _where(order, short)), dtype=np.int64, count=int(short.sum()))
+        self._keep(keys, sizes[short], ids[np.repeat(short, sizes)])
+        return dict(zip(order, self._values(sizes, ids)))
 
-    def __init__(self, own: dict, kept: dict):
-        self.own, self.rest = own, kept
 
-    def __getitem__(self, piece: str):
-        return self.own[piece] if piece in self.own else self.rest[piece]
+def _where(pieces: list[str], mask: np.ndarray) -> list[str]:
+    return list(compress(pieces, mask.tolist()))
 
 
 def slabs(text: str):
@@ -168,7 +237,7 @@ class Counter:
     """Token counts of a list of texts."""
 
     def __init__(self, path: str):
-        self.pieces, self.way, self.tokenizer, self.specials = Pieces(path, len), kind(path), load(path), _specials(path)
+        self.pieces, self.way, self.tokenizer, self.specials = Pieces(path, False), kind(path), load(path), _specials(path)
 
     def __call__(self, texts: list[str | None]) -> list[int]:
         counts, lists = [0] * len(texts), []
@@ -190,7 +259,7 @@ class Coder:
     """Token ids of one text, as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
-        self.pieces = Pieces(path, lambda ids: np.asarray(ids, dtype="<u4").tobytes())
+        self.pieces = Pieces(path, True)
         self.way, self.tokenizer, self.specials = kind(path), load(path), _specials(path)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
@@ -199,7 +268,7 @@ class Coder:
             if not text:
                 continue
             if self.way == "whole" or UNSURE.search(text):
-                out[i].append(self.pieces.value(self.tokenizer.encode(text, add_special_tokens=False).ids))
+                out[i].append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
                 continue
             for slab in slabs(text):
                 lists.append((i, byte_pieces(slab, self.specials) if self.way == "bytes" else word_pieces(slab)))

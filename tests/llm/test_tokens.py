@@ -1,8 +1,11 @@
+import random
+
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from episodica.llm import packing, tokens
+from episodica.llm import packing, tokenizing, tokens
 from episodica.llm.tokenizing import Coder, Counter, kind
 from tests.llm.conftest import prose
 
@@ -119,3 +122,22 @@ def test_costs_are_balanced():
     cost = [sum(packing.cost(n) for _, _, n, at in out if at == s) for s in (0, 1)]
     assert abs(cost[0] - cost[1]) < 0.2 * max(cost)
     assert all(sum(n for _, _, n, at in out if at == s) == 4096 for s in (0, 1))
+
+
+@pytest.mark.parametrize("name, with_ids", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_store_forgets_only_what_does_not_come_again(name, with_ids):
+    store = tokenizing.Pieces(public_tokenizers.path(name), with_ids, kept=2000)
+    library, r = tokenizing.load(public_tokenizers.path(name)), random.Random(1)
+    common, asked = [f"{c}xz" for c in "abcdefghij"] + [",", "x.", "|", "a|b", "", "\n", " ", "q" * 60], 0
+    for _ in range(40):
+        batch = common + ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) + r.choice(["", ",", "."]) for _ in range(600)]
+        found = store.known([batch[:300], batch[300:]])
+        for p in batch:
+            ids = library.encode(p, add_special_tokens=False).ids
+            assert found[p] == (np.asarray(ids, dtype="<u4").tobytes() if with_ids else len(ids)), p
+        assert len(store.large.keys) <= 2000 + 1700 and len(store.old.keys) <= 2000 + 1700 and "abc" * 20 not in found
+        asked += len(set(batch))
+    assert store.encoded < asked
+    before = store.encoded
+    store.known([["axz", "bxz", ",", "x."]])
+    assert store.encoded == before
