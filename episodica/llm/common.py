@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,7 +15,7 @@ from episodica.session import durable, prepare
 # Rows and bytes of one Arrow batch: long texts must not meet in one batch by the thousand.
 BATCH = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
@@ -88,6 +90,31 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give back what a task has freed: a worker lives on, and other stages need its memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, with the task's freed memory given back at its end."""
+
+    @wraps(run)
+    def both(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return both
+
+
 def per_text(each: Callable[[], Callable[[list], pa.Array]], kind: str) -> Callable[[Column], Column]:
     """A column function over Arrow batches of texts.
 
@@ -97,8 +124,11 @@ def per_text(each: Callable[[], Callable[[list], pa.Array]], kind: str) -> Calla
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = each()
-        for batch in batches:
-            yield work(batch.to_pylist())
+        try:
+            for batch in batches:
+                yield work(batch.to_pylist())
+        finally:
+            release()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, kind)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.common import with_rows
+from episodica.llm.common import tidied, with_rows
 from episodica.session import durable
 
 BANDS, BAND_ROWS = 5, 3
@@ -136,7 +136,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rarity(docs: DataFrame, width: int, buckets: int = BUCKETS) -> np.ndarray:
     """Size class of each bucket over all texts; SLICES rows reach the driver."""
     kinds = "slice int, counts binary"
-    found = docs.select("text").mapInArrow(_bucket_counts(width, buckets), kinds).repartition(SLICES, "slice").mapInArrow(_add, kinds)
+    found = docs.select("text").mapInArrow(tidied(_bucket_counts(width, buckets)), kinds).repartition(SLICES, "slice").mapInArrow(_add, kinds)
     counts = np.zeros((SLICES, buckets // SLICES))
     for row in found.collect():
         counts[row["slice"]] = np.frombuffer(row["counts"], dtype="<u4")
@@ -210,7 +210,7 @@ class Join:
             raise ValueError("threshold is a percentage between 0 and 100")
         self.width, self.threshold = width, threshold
         self.docs = docs
-        self.signed = durable(self.docs.mapInArrow(_signatures(width, threshold, rarity(docs, width)), _SIGNATURE))
+        self.signed = durable(self.docs.mapInArrow(tidied(_signatures(width, threshold, rarity(docs, width))), _SIGNATURE))
         # Rows whose set another row has already: (row, same).
         first = self.signed.where("size > 0").groupBy("sid").agg(F.min("row").alias("same"), F.count(F.lit(1)).alias("n")).where("n > 1")
         again = self.signed.select("row", "sid").join(first, "sid").where("row <> same").select("row", "same")
@@ -224,7 +224,7 @@ class Join:
         texts = self.docs.select("row", "text").join(_small(need), "row")
         named = lambda x: texts.select(F.col("row").alias(x), F.col("text").alias(f"text_{x}"))
         found = pairs.select("a", "b").join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b")
-        common = found.mapInArrow(_compare(self.width), "a long, b long, size_a long, size_b long, common long")
+        common = found.mapInArrow(tidied(_compare(self.width)), "a long, b long, size_a long, size_b long, common long")
         return durable(common.withColumn("far", 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))))
 
     def _links(self) -> Column:

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from episodica.llm.common import tidied
 from episodica.llm.tokenizing import coder
 
 LENGTH = 4096
@@ -113,7 +114,7 @@ def pack(docs: DataFrame, path: str, end: int, length: int = LENGTH) -> DataFram
     """
     if length & (length - 1):
         raise ValueError("the length of a sequence is a power of two")
-    return docs.select("doc_id", "text").mapInArrow(_run(path, end, length), FIELDS)
+    return docs.select("doc_id", "text").mapInArrow(tidied(_run(path, end, length)), FIELDS)
 
 
 def in_written_order(docs: DataFrame) -> DataFrame:

@@ -124,11 +124,17 @@ def base_failed(c: Column) -> Column:
 
 
 def tail(seen: int, n: int, share: float) -> float:
-    """P(X <= seen) for X binomial(n, share), exactly summed."""
+    """P(X <= seen) for X binomial(n, share), summed downwards until terms vanish."""
     if seen >= n:
         return 1.0
     log = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share)
-    return min(1.0, math.fsum(math.exp(log(k)) for k in range(seen + 1)))
+    terms, largest = [], 0.0
+    for k in range(seen, -1, -1):
+        terms.append(math.exp(log(k)))
+        largest = max(largest, terms[-1])
+        if k < n * share and terms[-1] < 1e-18 * largest:  # below the mean they only shrink
+            break
+    return min(1.0, math.fsum(terms))
 
 
 def stratum(column: Column, strata: tuple[str, ...] = STRATA) -> Column:
@@ -138,10 +144,11 @@ def stratum(column: Column, strata: tuple[str, ...] = STRATA) -> Column:
 def choose(labelled: DataFrame, strata: tuple[str, ...] = STRATA, limit: float = LIMIT, error: float = ERROR) -> dict[str, dict[str, float]]:
     """Cutoffs per stratum and rule from ``labelled`` (stratum, quality, counts).
 
-    All labelled rows count; one row per stratum reaches the driver, with a number for
-    each rule and cutoff.
+    The bounds hold for independent texts: rows of a stratum that are equal in all counts, as
+    copies are, count once. One row per stratum reaches the driver, with a number for each
+    rule and cutoff.
     """
-    good = labelled.where((F.col("quality") == 1) & ~base_failed(F.col("counts")))
+    good = labelled.where((F.col("quality") == 1) & ~base_failed(F.col("counts"))).dropDuplicates(["stratum", "counts"])
     cols = [F.count(F.lit(1)).alias("n")]
     for rule, value in shares().items():
         cols += [F.count_if(value > cut).alias(f"{rule}_{i}") for i, cut in enumerate(CUTOFFS[rule])]
@@ -151,7 +158,9 @@ def choose(labelled: DataFrame, strata: tuple[str, ...] = STRATA, limit: float =
         chosen[row["stratum"]] = {}
         for rule, cuts in CUTOFFS.items():
             for i, cut in enumerate(cuts):
-                if tail(row[f"{rule}_{i}"], row["n"], limit / len(CUTOFFS)) > error / tests:
+                share = limit / len(CUTOFFS)
+                # A share seen above the limit is never proven to lie below it.
+                if row[f"{rule}_{i}"] > row["n"] * share or tail(row[f"{rule}_{i}"], row["n"], share) > error / tests:
                     break
                 chosen[row["stratum"]][rule] = cut
     return chosen
@@ -168,8 +177,12 @@ def verdict(where: Column, chosen: dict[str, dict[str, float]], c: Column | str
 
 
 def labelled_counts(docs: DataFrame, labels: DataFrame, strata: tuple[str, ...] = STRATA) -> DataFrame:
-    """(stratum, quality, counts) of every labelled row; ``docs`` has doc_id, lang, counts."""
-    known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").dropDuplicates()
+    """(stratum, quality, counts) of every labelled row; ``docs`` has doc_id, lang, counts.
+
+    An id that is labelled both ways is not used.
+    """
+    known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id")
+    known = known.agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     return docs.select("doc_id", stratum(F.col("lang"), strata).alias("stratum"), "counts").join(known, "doc_id")
 
 

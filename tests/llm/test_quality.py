@@ -50,15 +50,29 @@ def labelled(spark, rows):
     return spark.createDataFrame(rows, f"stratum string, quality int, counts struct<{', '.join(n + ':long' for n in names)}>")
 
 
+def test_copies_prove_nothing(spark):
+    one = (100, 500, 0, 0, 0, 10, 0)
+    assert quality.choose(labelled(spark, [("en", 1, one)] * 5000)) == {"en": {}}
+
+
+def test_ids_labelled_both_ways_are_not_used(spark):
+    docs = quality.measured(spark.createDataFrame([(i, prose(i, 20), "en") for i in range(3)], "doc_id long, text string, lang string"))
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 1), (1, 0), (2, None), (2, 0), (None, 1)], "doc_id long, quality int")
+    got = quality.labelled_counts(docs, labels).select("doc_id", "quality").collect()
+    assert sorted(map(tuple, got)) == [(0, 1), (2, 0)]
+
+
 def test_cutoffs_keep_the_guarantee(spark):
-    clean, symbols = (100, 500, 0, 0, 0, 10, 0), (100, 500, 45, 0, 0, 10, 0)
-    rows = [("en", 1, clean)] * 5000 + [("en", 1, symbols)] * 40 + [("fr", 1, clean)] * 100 + [("en", 0, symbols)] * 500
+    symbols = lambda i: (100, 500 + i, 45, 0, 0, 10, 0)
+    clean = lambda i: (100, 200 + i % 300, 0, 0, 0, 10 + i // 300, 0)
+    rows = [("en", 1, clean(i)) for i in range(5000)] + [("en", 1, symbols(i)) for i in range(40)]
+    rows += [("fr", 1, clean(i)) for i in range(100)] + [("en", 0, symbols(i)) for i in range(500)]
     chosen = quality.choose(labelled(spark, rows))
     # 40 of 5040 good rows have a share of 0.45: no cutoff below that can be proven, 0.5 can.
     assert chosen["en"]["symbols"] == 0.5
     assert chosen["en"]["dup_lines"] == quality.CUTOFFS["dup_lines"][-1]
     assert chosen["fr"] == {}  # too few rows to prove anything
-    more = quality.choose(labelled(spark, rows + [("en", 1, clean)] * 60_000))
+    more = quality.choose(labelled(spark, rows + [("en", 1, clean(5000 + i)) for i in range(60_000)]))
     assert more["en"]["symbols"] < 0.45
 
 
