@@ -19,21 +19,30 @@ TOXIC = 0.5
 END_ID = 2
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that ``docs`` has no column of."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold; null and empty texts score as clean."""
     session(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = docs.withColumn("__toxicity", toxicity.score(F.col("text"), model))
-    return scored.where(F.col("__toxicity") < TOXIC).drop("__toxicity")
+    own = unused(docs, "toxicity")
+    return docs.withColumn(own, toxicity.score(F.col("text"), model)).where(F.col(own) < TOXIC).drop(own)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the proven cutoffs let pass; empty ones do not."""
     session(spark)
-    measured = durable(quality.measured(docs))
-    chosen = quality.choose(quality.labelled_counts(measured, table(spark, sf_dir, "labels")))
-    keep = quality.verdict(quality.stratum(F.col("lang")), chosen, "__counts")
-    return docs.withColumn("__counts", quality.counts(F.col("text"))).where(F.coalesce(keep, F.lit(False))).drop("__counts")
+    own = unused(docs, "counts")
+    measured = durable(docs.withColumn(own, quality.counts(F.col("text"))))
+    counted = measured.select("doc_id", "lang", F.col(own).alias("counts"))
+    chosen = quality.choose(quality.labelled_counts(counted, table(spark, sf_dir, "labels")))
+    keep = quality.verdict(quality.stratum(F.col("lang")), chosen, own)
+    return measured.where(F.coalesce(keep, F.lit(False))).drop(own)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
