@@ -130,3 +130,10 @@ def join_within(left: DataFrame, right: DataFrame, key: str, left_ts: str, right
     pairs = left.withColumn("_bucket", bucket(left_ts)).join(near, [key, "_bucket"]).drop("_bucket")
     gap = micros(right_ts) - micros(left_ts)
     return pairs.where((gap >= 0) & (gap <= seconds * 1_000_000))
+
+
+def pivot_sum(rows: DataFrame, keys: list[str], kind: str, value: str, kinds: list[str], rest: str = "other") -> DataFrame:
+    """Sum of ``value`` per key in a column for each of ``kinds``, and for all other kinds (null too) in ``rest``."""
+    name = F.when(F.col(kind).isin(kinds), F.col(kind)).otherwise(F.lit(rest))
+    total = F.sum(F.col(value).cast(MONEY)).cast("double")
+    return rows.withColumn("_kind", name).groupBy(*keys).pivot("_kind", [*kinds, rest]).agg(total)

@@ -357,19 +357,22 @@ def tool_result_text(spark, folder):
 # --- tables ---------------------------------------------------------------------------
 
 
+KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
 @query(
     "pivot_agg",
     """SELECT user_id, """
     + ", ".join(
         f"CAST(sum(CASE WHEN event_type = '{t}' THEN CAST(value AS DECIMAL(18, 2)) END) AS DOUBLE) AS {t}"
-        for t in ("click", "error", "purchase", "signup", "view")
+        for t in KINDS
     )
-    + " FROM events GROUP BY user_id",
+    + f""", CAST(sum(CASE WHEN event_type IS NULL OR event_type NOT IN ({", ".join(f"'{t}'" for t in KINDS)})
+          THEN CAST(value AS DECIMAL(18, 2)) END) AS DOUBLE) AS other FROM events GROUP BY user_id""",
 )
 def pivot_agg(spark, folder):
-    kinds = ["click", "error", "purchase", "signup", "view"]
-    value = F.sum(F.col("value").cast(events.MONEY)).cast("double")
-    return _events(spark, folder).groupBy("user_id").pivot("event_type", kinds).agg(value)
+    """One column for each common type and one for all others, so no value is lost."""
+    return events.pivot_sum(_events(spark, folder), ["user_id"], "event_type", "value", KINDS)
 
 
 @query(

@@ -74,38 +74,26 @@ def with_violations(df: DataFrame, payload: str, required: dict[str, str]) -> Da
     return df.withColumn("violations", F.array_compact(F.array(*checks))).drop("_parsed")
 
 
-GRAPH_ROWS = 1_000_000  # nodes and edges of one document, at most
-GRAPH = (
-    "nodes ARRAY<STRUCT<id: STRING, text: STRING, speaker: STRING, type: STRING>>, "
-    "edges ARRAY<STRUCT<`from`: STRING, `to`: STRING, text: STRING>>"
-)
+GRAPH_NODE_FIELDS = "id STRING, text STRING, speaker STRING, type STRING"
+GRAPH_EDGE_FIELDS = "`from` STRING, `to` STRING, text STRING"
 
 
-def graph_json(nodes: DataFrame, edges: DataFrame, most: int = GRAPH_ROWS) -> DataFrame:
-    """One JSON document per graph: (script_id, document, error).
-
-    A graph of more than ``most`` nodes and edges has no document but an error that says so:
-    a document is read and written whole. Rows are counted first, with partial sums, so
-    nothing larger is ever collected.
-    """
+def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(script_id, part, line): one JSON object a row, nodes (part 0) and edges (part 1) of all graphs."""
     node = F.struct(F.col("node_id").alias("id"), "text", "speaker", "type")
     edge = F.struct(F.col("from_id").alias("from"), F.col("to_id").alias("to"), "text")
-    rows = nodes.select("script_id", node.alias("node"), F.lit(None).alias("edge")).unionByName(
-        edges.select("script_id", F.lit(None).alias("node"), edge.alias("edge"))
+    json = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    return nodes.select("script_id", F.lit(0).alias("part"), json(node).alias("line")).unionByName(
+        edges.select("script_id", F.lit(1).alias("part"), json(edge).alias("line"))
     )
-    large = rows.groupBy("script_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-    documents = (
-        rows.join(large, "script_id", "left_anti").groupBy("script_id")
-        .agg(F.collect_list("node").alias("nodes"), F.collect_list("edge").alias("edges"))
-        .select("script_id", F.to_json(F.struct("nodes", "edges")).alias("document"), F.lit(None).cast("string").alias("error"))
-    )
-    why = F.format_string("%d nodes and edges, a document holds %d", "n", F.lit(most))
-    return documents.unionByName(large.select("script_id", F.lit(None).cast("string").alias("document"), why.alias("error")))
 
 
-def graph_tables(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Node and edge tables back from JSON documents."""
-    parsed = documents.where("document is not null").select("script_id", F.from_json("document", GRAPH).alias("g"))
-    nodes = parsed.select("script_id", F.inline("g.nodes")).withColumnRenamed("id", "node_id")
-    edges = parsed.select("script_id", F.inline("g.edges"))
-    return nodes, edges.withColumnsRenamed({"from": "from_id", "to": "to_id"})
+def graph_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Node and edge tables back from (script_id, line); lines that hold neither are the frame of a document."""
+    line = F.rtrim(F.col("line"), F.lit(","))
+    nodes = lines.where(F.col("line").startswith('{"id":')).select("script_id", F.from_json(line, GRAPH_NODE_FIELDS).alias("g"))
+    edges = lines.where(F.col("line").startswith('{"from":')).select("script_id", F.from_json(line, GRAPH_EDGE_FIELDS).alias("g"))
+    return (
+        nodes.select("script_id", "g.*").withColumnRenamed("id", "node_id"),
+        edges.select("script_id", "g.*").withColumnsRenamed({"from": "from_id", "to": "to_id"}),
+    )

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.plans.skew import keyed_join
 from episodica.sources import schemas
+from episodica.sources.codecs import graph_lines, graph_tables
 
 MISSING = -9999.0  # fixed value: the sentinel of the threshold report
 
@@ -102,3 +107,78 @@ def dead_letters(df: DataFrame, text: str, schema: str) -> tuple[DataFrame, Data
     parsed = decoded(df, text, schema)
     bad = F.col("parsed").isNull() | F.col("parsed.bad").isNotNull()
     return parsed.where(~bad), parsed.where(bad).drop("parsed")
+
+
+GRAPH_FILES = "script_id string, file string, nodes long, edges long"
+
+
+def _graph_name(script_id: str | None) -> str:
+    """Readable, and without the percent signs that paths are escaped with."""
+    return "null.json" if script_id is None else f"id-{quote(script_id, safe='').replace('%', '=')}.json"
+
+
+def _graph_writer(folder: str):
+    names = [f.split()[0] for f in GRAPH_FILES.split(", ")]
+    schema = pa.schema([(n, pa.string() if n in ("script_id", "file") else pa.int64()) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(folder)
+        attempt = f"{root}/_attempt-{TaskContext.get().taskAttemptId()}"
+        current, out, counts, part = None, None, [0, 0], 0
+
+        def close() -> pa.RecordBatch:
+            """The frame is closed and the file gets its name: only whole documents are ever seen under it."""
+            if part == 0:
+                out.write(b'\n],"edges":[')
+            out.write(b"\n]}\n")
+            out.close()
+            name = _graph_name(current)
+            if store.get_file_info(f"{root}/{name}").type != pafs.FileType.NotFound:
+                store.delete_file(f"{root}/{name}")
+            store.move(f"{attempt}/{name}", f"{root}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([current, name, *counts], schema)], schema=schema)
+
+        try:
+            for batch in batches:
+                for script_id, kind, line in zip(*(c.to_pylist() for c in batch.columns)):
+                    if out is None or script_id != current:
+                        if out is not None:
+                            yield close()
+                        store.create_dir(attempt, recursive=True)
+                        current, counts, part = script_id, [0, 0], 0
+                        out = store.open_output_stream(f"{attempt}/{_graph_name(script_id)}", compression=None)
+                        out.write(b'{"nodes":[')
+                    if kind != part:
+                        out.write(b'\n],"edges":[')
+                        part = kind
+                    # A line feed inside of a text is escaped in JSON, so an object is one line.
+                    out.write((b",\n" if counts[kind] else b"\n") + line.encode("utf-8", "surrogatepass"))
+                    counts[kind] += 1
+            if out is not None:
+                yield close()
+        finally:
+            if out is not None:
+                out.close()
+                store.delete_dir(attempt)
+
+    return run
+
+
+def write_graphs(nodes: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
+    """One JSON document a graph in ``folder``, of any size; gives the list of files as GRAPH_FILES.
+
+    A task gets the objects of its graphs in order and writes them on as they come, one a
+    line, so it holds no document. A file appears under its name when it is whole, and a task
+    that runs again writes the same. The list is lazy: files are written when it is read.
+    """
+    lines = graph_lines(nodes, edges).withColumn("script_id", F.col("script_id").cast("string"))
+    parts = lines.repartition("script_id").sortWithinPartitions("script_id", "part", "line")
+    return parts.select("script_id", "part", "line").mapInArrow(_graph_writer(folder), GRAPH_FILES)
+
+
+def read_graphs(spark: SparkSession, folder: str, id_type: str = "string") -> tuple[DataFrame, DataFrame]:
+    """Node and edge tables of the documents in ``folder``; a large file is read by many tasks, line by line."""
+    name = F.regexp_extract(F.col("_metadata.file_name"), "^id-(.*)[.]json$", 1)
+    given = F.when(F.col("_metadata.file_name") != "null.json", F.url_decode(F.replace(name, F.lit("="), F.lit("%"))).cast(id_type))
+    lines = spark.read.text(folder).select(given.alias("script_id"), F.col("value").alias("line"))
+    return graph_tables(lines)

@@ -2,8 +2,10 @@
 
 import hashlib
 import hmac
+import json
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 
 from episodica.functions.crypto import with_hmac
 from episodica.operators import dialogue, events, generate, hpfilter, levels, records, temporal
-from episodica.session import prepare
-from episodica.sources import codecs
+from episodica.session import fresh_dir, prepare
+from episodica.sources import files
 
 STATIONS = {  # id: (threshold, daily levels)
     "04124000": (15.0, [15.2, 16.1, 15.8, 14.9, 15.5, 16.0, 15.3]),
@@ -107,6 +109,24 @@ def test_blocks_of_a_trending_series(spark, lamb):
     assert np.abs(np.array([r.trend for r in out]) - hpfilter.trend(y, lamb)).max() < 1e-11 * y.max()
 
 
+@pytest.mark.parametrize("lamb, least", [(100, 1e-13), (1600, 2e-12), (14400, 2e-11)])
+def test_blocks_give_the_trend_of_one_solve(spark, lamb, least):
+    """Any number of blocks against a dense solve; the tolerance is that of doubles at this lambda."""
+    prepare(spark)
+    r = np.random.default_rng(lamb)
+    ys = {f"s{n}": r.normal(size=n).cumsum() + 9 for n in (1, 2, 3, 7, 8, 16, 17, 40, 250)}
+    rows = [(k, t, float(v)) for k, y in ys.items() for t, v in enumerate(y)] + [(None, t, float(v)) for t, v in enumerate(ys["s40"])]
+    series = spark.createDataFrame(rows, "series_id string, t long, value double")
+    for points in (8, 9, 50, 20_000):
+        found = {}
+        for row in hpfilter.hp_filter(series, float(lamb), block_points=points).orderBy("series_id", "t").collect():
+            found.setdefault(row.series_id, []).append(row.trend)
+        for name, y in {**ys, None: ys["s40"]}.items():
+            bends = np.diff(np.eye(len(y)), 2, axis=0) if len(y) > 2 else np.zeros((0, len(y)))
+            want = np.linalg.solve(np.eye(len(y)) + lamb * bends.T @ bends, y)
+            assert np.abs(np.array(found[name]) - want).max() < least * np.abs(y).max(), (name, points)
+
+
 SCRIPT = """[GateScene]
 Guard: Halt! State your name. -> NameChoice
 
@@ -148,11 +168,39 @@ def test_dialogue(spark, slice_rows):
     assert sorted(r.message for r in without.collect()) == [
         "Edge 'KnightPath'->'End' points to missing node 'End'", "Edge 'TravelerPath'->'End' points to missing node 'End'",
     ]
-    back_nodes, back_edges = codecs.graph_tables(codecs.graph_json(nodes, edges))
+    place = fresh_dir(spark, "graphs")
+    assert [(r.script_id, r.nodes, r.edges) for r in files.write_graphs(nodes, edges, place).collect()] == [("s", len(got), 5)]
+    back_nodes, back_edges = files.read_graphs(spark, place)
     assert {(r.node_id, r.type) for r in back_nodes.collect()} == {(k, v[0]) for k, v in got.items()}
     assert back_edges.count() == 5
-    refused = codecs.graph_json(nodes, edges, most=3).collect()
-    assert [(r.document, r.error) for r in refused] == [(None, f"{len(got) + 5} nodes and edges, a document holds 3")]
+    (document,) = [json.loads(r.value) for r in spark.read.text(place, wholetext=True).collect()]
+    assert {n["id"] for n in document["nodes"]} == set(got) and len(document["edges"]) == 5
+
+
+def test_graph_files_of_any_size_and_name(spark):
+    """Odd names and texts, a graph without edges or nodes, one far above a million rows."""
+    prepare(spark)
+    odd = [("a/b %25 é", 'x\ny "q", \u2028 \\,', None), (None, ",", "v"), ("", "t,", ""), ("null", "", "p")]
+    few = spark.createDataFrame([(i, f"n{k}", t, s, "line") for k, (i, t, s) in enumerate(odd)], "script_id string, node_id string, text string, speaker string, type string")
+    many = spark.range(1_200_000).selectExpr("'big' as script_id", "cast(id as string) as node_id", "concat('text ', id) as text", "'s' as speaker", "'line' as type")
+    nodes = few.unionByName(many)
+    edges = spark.range(800_000).selectExpr("'big' as script_id", "cast(id as string) as from_id", "cast(id + 1 as string) as to_id", "'' as text")
+    edges = edges.unionByName(spark.createDataFrame([("only", "a", "b", "x")], edges.schema))
+    place = fresh_dir(spark, "graphs")
+    listed = {r.script_id: (r.nodes, r.edges) for r in files.write_graphs(nodes, edges, place).collect()}
+    assert listed == {**{i: (1, 0) for i, _, _ in odd}, "big": (1_200_000, 800_000), "only": (0, 1)}
+    back_nodes, back_edges = files.read_graphs(spark, place)
+    same = lambda a, b: a.exceptAll(b.select(a.columns)).count() + b.select(a.columns).exceptAll(a).count()
+    assert same(nodes, back_nodes) == 0 and same(edges, back_edges) == 0
+    path = next(p for p in Path(place).iterdir() if p.name == "id-only.json")
+    assert json.loads(path.read_text()) == {"nodes": [], "edges": [{"from": "a", "to": "b", "text": "x"}]}
+
+
+def test_pivot_loses_no_kind(spark):
+    prepare(spark)
+    rows = spark.createDataFrame([(1, "view", 1.0), (1, "odd", 2.5), (1, None, 4.0), (2, "click", 3.0), (2, "other", 7.0)], "user_id int, event_type string, value double")
+    got = events.pivot_sum(rows, ["user_id"], "event_type", "value", ["click", "view"]).orderBy("user_id").collect()
+    assert [tuple(r) for r in got] == [(1, None, 1.0, 6.5), (2, 3.0, None, 7.0)]
 
 
 def test_last_line_wins_and_scene_names_may_repeat(spark):
