@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job relies on. Partition counts stay with the cluster.
@@ -20,6 +23,7 @@ SETTINGS = {
 }
 
 _local_dirs: dict[str, str] = {}
+_cuts: list[str] = []  # folders that durable has written
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -52,5 +56,30 @@ def durable(df: DataFrame) -> DataFrame:
     later steps read only the columns they use.
     """
     path = fresh_dir(df.sparkSession, "cut")
+    _cuts.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def cuts() -> Iterator[list[str]]:
+    """The list given holds, after the block, the folders that ``durable`` wrote in it."""
+    before, made = len(_cuts), []
+    try:
+        yield made
+    finally:
+        made += _cuts[before:]
+
+
+def drop_cuts(spark: SparkSession, folders: list[str], reads: DataFrame) -> list[str]:
+    """Remove folders of ``durable`` once what they led to is written; gives those that stay.
+
+    All stay if ``reads``, the table to go on with, still reads from one of them.
+    """
+    files = reads.inputFiles()
+    if any(f"/{folder.rsplit('/', 1)[-1]}/" in file for file in files for folder in folders):
+        return folders
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return []
