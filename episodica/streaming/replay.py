@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from episodica.functions.episode import LOAD, UNLOAD, advance
 from episodica.operators.replay import IDS, normalise
 from episodica.plans.skew import keyed_join
 
-STATE = f"loaded {IDS}, ever {IDS}, steps long, status string, seen_ms long"
+# What is kept of an episode; due_ms is when it counts as idle, timer_ms when its timer rings.
+STATE = f"loaded {IDS}, ever {IDS}, steps long, status string, due_ms long, timer_ms long"
 OUTPUT = (
     f"episode_id string, task_id string, steps long, loaded {IDS}, ever {IDS}, "
     "done boolean, correct boolean, status string"
 )
+# State is kept in the store on disk, with timers per key.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
@@ -25,26 +28,35 @@ ROW = ["micros", "event_id", "act"]
 OPS = {"+": LOAD, "-": UNLOAD}
 
 
-def _follow(idle_ms: int):
-    def follow(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        *names, budget = key
-        loaded, ever, steps, status, seen = state.get if state.exists else ([], [], 0, "open", 0)
-        loaded, ever, correct = list(loaded), list(ever), None
+class LiveReplay(StatefulProcessor):
+    """The state of one episode, and a timer for the time after which it counts as idle.
 
-        def row(kind: str, count: int) -> pd.DataFrame:
-            return pd.DataFrame([[*names, count, loaded, ever, kind == "done", correct, kind]], columns=NAMES)
+    A timer is not moved with every action: one that rings before the episode is due is set
+    anew for the due time, so a batch costs one read and one write of the state.
+    """
 
-        if state.hasTimedOut:
-            if status != "open":
-                state.remove()
-                return
-            yield row("abandoned", steps)
-            # A closed marker stays as long again, so that late actions open no new episode.
-            state.update(([], [], steps, "abandoned", seen))
-            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + idle_ms)
-            return
-        actions = [x for pdf in batches for x in zip(*[pdf[c].tolist() for c in ROW])]
-        actions.sort()
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("episode", STATE)
+
+    def close(self) -> None:
+        pass
+
+    def _keep(self, loaded: list, ever: list, steps: int, status: str, due: int, timer: int | None) -> None:
+        if timer is None:
+            self.handle.registerTimer(due)
+            timer = due
+        self.state.update((loaded, ever, steps, status, due, timer))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        episode_id, task_id, budget = key
+        kept = self.state.get()
+        loaded, ever, steps, status, _, timer = kept if kept else ([], [], 0, "open", 0, None)
+        loaded, ever, correct = list(loaded), list(ever), None
+        actions = sorted(tuple(row[c] for c in ROW) for row in rows)
         closed = status != "open"
         if not closed:
             for _, _, act in actions:
@@ -54,17 +66,30 @@ def _follow(idle_ms: int):
                     break
                 if act:
                     advance(loaded, ever, budget, OPS[act[0]], act[1:])
-        seen = max(seen, actions[-1][0] // 1000)
-        kept = (loaded, ever) if status == "open" else ([], [])
-        state.update((*kept, steps, status, seen))
-        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + idle_ms)
+        due = max(actions[-1][0] // 1000, timerValues.getCurrentWatermarkInMs()) + self.idle_ms
+        due = max(due, kept[4]) if kept else due
+        self._keep(*((loaded, ever) if status == "open" else ([], [])), steps, status, due, timer)
         if closed:
-            loaded, ever = [], []
-            yield row("late", len(actions))
+            yield self._row(key, len(actions), [], [], None, "late")
         elif status == "done":
-            yield row("done", steps)
+            yield self._row(key, steps, loaded, ever, correct, "done")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        loaded, ever, steps, status, due, _ = self.state.get()
+        if due > expiredTimerInfo.getExpiryTimeInMs():
+            self._keep(list(loaded), list(ever), steps, status, due, None)
+        elif status != "open":
+            self.state.clear()
+        else:
+            # A closed marker stays as long again, so that late actions open no new episode.
+            due = max(due, timerValues.getCurrentWatermarkInMs()) + self.idle_ms
+            self._keep([], [], steps, "abandoned", due, None)
+            yield self._row(key, steps, list(loaded), list(ever), None, "abandoned")
 
-    return follow
+    @staticmethod
+    def _row(key, steps: int, loaded: list, ever: list, correct: bool | None, status: str) -> Row:
+        values = (key[0], key[1], steps, loaded, ever, status == "done", correct, status)
+        return Row(**dict(zip(NAMES, values)))
 
 
 def stream_replay(actions: DataFrame, setting: DataFrame, idle_seconds: int) -> DataFrame:
@@ -89,6 +114,7 @@ def stream_replay(actions: DataFrame, setting: DataFrame, idle_seconds: int) ->
     rows = rows.select(
         "episode_id", "task_id", "budget", "ts", F.unix_micros("ts").alias("micros"), "event_id", act.alias("act")
     )
-    return rows.groupBy("episode_id", "task_id", "budget").applyInPandasWithState(
-        _follow(idle_seconds * 1000), OUTPUT, STATE, "append", "EventTimeTimeout"
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    return rows.groupBy("episode_id", "task_id", "budget").transformWithState(
+        LiveReplay(idle_seconds * 1000), OUTPUT, "Append", "EventTime"
     )
