@@ -1,49 +1,47 @@
-"""Keyed message digests as column expressions."""
+"""Keyed message digests over Arrow batches."""
 
 from __future__ import annotations
 
+import hmac
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-# Block size in bytes per hash (RFC 2104) and its two pad bytes.
-BLOCK = {"md5": 64, "sha256": 64, "sha384": 128, "sha512": 128}
-INNER, OUTER = 0x36, 0x5C
-
-
-def raw_hash(algo: str, data: Column) -> Column:
-    return F.unhex(F.md5(data) if algo == "md5" else F.sha2(data, int(algo[3:])))
+HASHES = ("md5", "sha256", "sha384", "sha512")
+KEPT_KEYS = 10_000
 
 
-def _word(key_hex: Column, at: int) -> Column:
-    return F.conv(F.substring(key_hex, at * 16 + 1, 16), 16, -10).cast("long")
+def _digests(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """A key is padded and hashed once; its state is copied for every message."""
+    started: dict[tuple[str, bytes], hmac.HMAC] = {}
+    for algos, keys, messages in batches:
+        out = []
+        for algo, key, message in zip(algos.to_pylist(), keys.to_pylist(), messages.to_pylist()):
+            if key is None or message is None or algo not in HASHES:
+                out.append(None)
+                continue
+            state = started.get((algo, key))
+            if state is None:
+                if len(started) >= KEPT_KEYS:
+                    started.clear()
+                state = started[algo, key] = hmac.new(key, digestmod=algo)
+            state = state.copy()
+            state.update(message)
+            out.append(state.digest())
+        yield pa.array(out, pa.binary())
 
 
-def _padded(pad: int) -> Column:
-    """Key XOR pad, eight bytes at a time; the second half only for the wide blocks."""
-    mask = F.lit(int.from_bytes(bytes([pad]) * 8, "big", signed=True))
-    words = [F.lpad(F.hex(F.col("_words")[at].bitwiseXOR(mask)), 16, "0") for at in range(16)]
-    more = F.when(F.size("_words") > 8, F.concat(*words[8:])).otherwise("")
-    return F.unhex(F.concat(*words[:8], more))
+_digests.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
 
 
 def with_hmac(df: DataFrame, name: str, algo: Column, key: Column, message: Column) -> DataFrame:
     """Add the HMAC of a string or binary message, with the hash named per row.
 
-    A key longer than the block is hashed first. The words of the key and the two pads are
-    columns of their own, shared by all hashes, so each is worked out once.
+    Null for a null key or message and for a hash that is none of HASHES. Rows of one key that
+    lie together share the work on it.
     """
-    key, message = key.cast("binary"), message.cast("binary")
-    long_key = [F.when((algo == a) & (F.octet_length(key) > b), raw_hash(a, key)) for a, b in BLOCK.items()]
-    key_hex = F.rpad(F.hex(F.coalesce(*long_key, key)), 256, "0")
-    half = [F.array(*[_word(F.col("_key"), at) for at in part]) for part in (range(8), range(8, 16))]
-    wide = algo.isin([a for a, block in BLOCK.items() if block == 128])
-    by_algo = [
-        F.when(algo == a, raw_hash(a, F.concat("_outer", raw_hash(a, F.concat("_inner", message))))) for a in BLOCK
-    ]
-    return (
-        df.withColumn("_key", key_hex)
-        .withColumn("_words", F.when(wide, F.concat(*half)).otherwise(half[0]))
-        .withColumns({"_inner": _padded(INNER), "_outer": _padded(OUTER)})
-        .withColumn(name, F.coalesce(*by_algo))
-        .drop("_key", "_words", "_inner", "_outer")
-    )
+    digest = F.arrow_udf(_digests, BinaryType())
+    return df.withColumn(name, digest(algo, key.cast("binary"), message.cast("binary")))

@@ -8,7 +8,7 @@ value length (4), value. Record numbers are big-endian.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,7 +44,7 @@ def decode_header(
     short gives nulls and ``crc_ok = false``.
     """
     flags, stored = unpack(data, 10, 2, order), unpack(data, 12, 4, order)
-    at = F.sequence(F.lit(0), F.size(flag_names) - 1)
+    at = F.slice(F.sequence(F.lit(0), F.size(flag_names)), 1, F.size(flag_names))  # empty without names
     values = F.transform(at, lambda i: F.getbit(flags, i) == 1)
     body = F.substring(data, 1, 12)
     return F.struct(
@@ -148,26 +148,32 @@ _COLUMNS = {
 }
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def field_rows(records: Iterable[tuple[int | None, bytes | None, int | None]]) -> Iterator[pa.RecordBatch]:
+    """One row per field of records (id, bytes, offset in them), in batches; a bad record gives one error row."""
+
     def out(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in _COLUMNS.items()], list(_COLUMNS))
 
     rows: list[dict] = []
-    for batch in batches:
-        for record, data, offset in zip(*(batch[c].to_pylist() for c in ("record_id", "data", "offset"))):
-            try:
-                if data is None or offset is None:
-                    raise ValueError("no data")
-                rows += [{"record_id": record, **field} for field in list(_fields(data, offset))]
-            except (ValueError, struct.error, IndexError) as error:
-                rows.append({"record_id": record, "error": str(error)})
-            if len(rows) >= DECODED_ROWS:
-                yield out(rows)
-                rows = []
+    for record, data, offset in records:
+        try:
+            if data is None or offset is None:
+                raise ValueError("no data")
+            rows += [{"record_id": record, **field} for field in list(_fields(data, offset))]
+        except (ValueError, struct.error, IndexError) as error:
+            rows.append({"record_id": record, "error": str(error)})
+        if len(rows) >= DECODED_ROWS:
+            yield out(rows)
+            rows = []
     if rows:
         yield out(rows)
 
 
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from field_rows(zip(*(batch[c].to_pylist() for c in ("record_id", "data", "offset"))))
+
+
 def decode_records(df: DataFrame) -> DataFrame:
     """One row per field from (record_id, data, offset); a bad record gives one error row."""
     return df.select("record_id", "data", "offset").mapInArrow(_decode, RECORD_SCHEMA)

@@ -9,6 +9,8 @@ from episodica.functions.draws import identifier
 from episodica.operators import generate, records
 from episodica.plans.episode_queries import joined
 from episodica.plans.registry import query
+from episodica.session import fresh_dir
+from episodica.sources import recordfiles
 from episodica.sources.tables import table
 
 
@@ -318,3 +320,32 @@ def decode_records(spark, folder):
         "record_id", F.coalesce("field_no", F.lit(-1)).alias("field_no"), "name", "type", value.alias("value"), "float_value",
         F.coalesce("next_offset", F.lit(-1)).alias("next_offset"), F.coalesce("error", F.lit("")).alias("error"),
     )
+
+
+@query(
+    "decode_record_files",
+    """SELECT c_custkey AS int_value, 0 AS field_no, 'key' AS name, NULL AS string_value FROM customer
+       UNION ALL SELECT NULL, 1, 'name', c_name FROM customer""",
+)
+def decode_record_files(spark, folder):
+    """Customers as records in files with headers, found again and decoded in spans."""
+    data = records.encode_record([records.int32_field("key", F.col("c_custkey")), records.string_field("name", F.col("c_name"))])
+    place = fresh_dir(spark, "records")
+    rows = table(spark, folder, "customer").select(data.alias("data"))
+    recordfiles.write_records(rows, place).write.format("noop").mode("overwrite").save()
+    read = recordfiles.read_records(spark, place)
+    return read.select(F.col("int_value").cast(dict(table(spark, folder, "customer").dtypes)["c_custkey"]).alias("int_value"), "field_no", "name", "string_value")
+
+
+@query(
+    "record_file_headers",
+    """SELECT true AS magic_ok, true AS crc_ok, 256 AS version, count(*) AS records FROM customer""",
+)
+def record_file_headers(spark, folder):
+    """The headers of the same files, read as binary files, account for every customer."""
+    data = records.encode_record([records.int32_field("key", F.col("c_custkey"))])
+    place = fresh_dir(spark, "records")
+    rows = table(spark, folder, "customer").select(data.alias("data"))
+    recordfiles.write_records(rows, place).write.format("noop").mode("overwrite").save()
+    heads = recordfiles.read_headers(spark, place, "RECS", [])
+    return heads.groupBy("magic_ok", "crc_ok", "version").agg(F.sum("record_count").alias("records"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from episodica.functions.crypto import with_hmac
 from episodica.operators import dialogue, events, generate, hpfilter, levels, records, temporal
 from episodica.session import fresh_dir, prepare
-from episodica.sources import files
+from episodica.sources import files, recordfiles
 
 STATIONS = {  # id: (threshold, daily levels)
     "04124000": (15.0, [15.2, 16.1, 15.8, 14.9, 15.5, 16.0, 15.3]),
@@ -406,3 +406,55 @@ def test_two_places_for_any_double(spark):
     assert got == [f"{Decimal(v).quantize(Decimal('0.01'), ROUND_HALF_EVEN):.2f}" if v or str(v) == "0.0" else "-0.00" for v in values]
     odd = spark.createDataFrame([(float("inf"),), (float("nan"),), (None,)], "v double")
     assert [r[0] for r in odd.select(two_places(F.col("v"))).collect()] == ["infinity", "nan", None]
+
+
+@pytest.mark.parametrize("span", [2000, 1 << 20])
+def test_records_of_files_in_spans(spark, span):
+    """Any cut of the files gives the records of one walk; a value that looks like records is not mistaken."""
+    prepare(spark)
+    trap = records.string_field("trap", F.lit("".join(map(chr, [0, 1, 3, 0, 1, 65, 0, 0, 0, 1, 66] * 30))))
+    fields = F.when(F.col("id") % 7 == 3, records.encode_record([trap, trap])).when(F.col("id") % 11 == 5, records.encode_record([]))
+    plain = records.encode_record([records.int32_field("n", F.col("id")), records.string_field("s", F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")))])
+    data = spark.range(300).select("id", F.coalesce(fields, plain).alias("data"))
+    place = fresh_dir(spark, "records")
+    assert sum(r.records for r in recordfiles.write_records(data.repartition(2), place, file_bytes=9000).collect()) == 300
+    heads = recordfiles.read_headers(spark, place, "RECS", ["a"]).collect()
+    assert len(heads) > 2 and all(h.magic_ok and h.crc_ok for h in heads) and sum(h.record_count for h in heads) == 300
+    index, rounds = recordfiles.record_index(spark, place, span)
+    want = {(p.name, at) for p in Path(place).glob("*.bin") for at in offsets_of(p.read_bytes())}
+    got = [(r.path.rsplit("/", 1)[-1], at) for r in index.collect() for at in r.offsets]
+    assert len(got) == 300 and set(got) == want and 1 <= rounds <= 15
+    rows = recordfiles.read_records(spark, place, span).collect()
+    assert not [r for r in rows if r.error]
+    assert sorted(r.int_value for r in rows if r.name == "n") == [i for i in range(300) if i % 7 != 3 and i % 11 != 5]
+    assert sum(r.name == "trap" for r in rows) == 2 * len([i for i in range(300) if i % 7 == 3])
+
+
+def offsets_of(data):
+    at = 16
+    while at < len(data):
+        yield at
+        at = max([at + 2, *[f["next_offset"] for f in records._fields(data, at)]])
+
+
+def test_broken_and_empty_record_files(spark):
+    prepare(spark)
+    place = fresh_dir(spark, "records")
+    data = spark.range(50).select(records.encode_record([records.int32_field("n", F.col("id"))]).alias("data"))
+    recordfiles.write_records(data.coalesce(1), place).collect()
+    (path,) = Path(place).glob("*.bin")
+    whole = path.read_bytes()
+    path.write_bytes(whole[:-3])
+    (Path(place) / "head.bin").write_bytes(whole[:16])
+    (Path(place) / "none.bin").write_bytes(b"")
+    bad = bytearray(whole)
+    bad[16 + 14 * 4 + 2] = 9  # the tag of the fifth record
+    (Path(place) / "tag.bin").write_bytes(bad)
+    rows = recordfiles.read_records(spark, place, 64).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.path.rsplit("/", 1)[-1], []).append(r.error or r.int_value)
+    assert sorted(found) == sorted([path.name, "tag.bin"])
+    assert [x for x in found[path.name] if isinstance(x, int)] and sum(isinstance(x, str) for x in found[path.name]) == 1
+    assert sorted(x for x in found["tag.bin"] if isinstance(x, int)) == [0, 1, 2, 3]
+    assert [x for x in found["tag.bin"] if isinstance(x, str)] == ["unknown type tag 9"]
