@@ -248,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, exceptions:
         .where(f"good >= {LEAST_TEXTS} and bad = 0").orderBy(F.desc("good"), "item").limit(TERMS).collect()
     )
     seen = F.when(F.col("half") == 0, features(F.col("text"), Model(half[1]))).otherwise(features(F.col("text"), Model(half[0])))
-    points = sample.select("toxic", seen.alias("f")).select("toxic", "f.x", "f.y").orderBy("toxic", "x", "y").collect()
+    points = sorted(sample.select("toxic", seen.alias("f")).select("toxic", "f.x", "f.y").collect())  # in one order on every run
     curve = _logistic(np.array([[p["x"], p["y"]] for p in points]), np.array([float(p["toxic"]) for p in points]))
     return Model(terms, [r["item"] for r in spared] + own, curve)
 
