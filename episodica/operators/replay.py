@@ -346,37 +346,132 @@ def _chain_of_episode(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _chain_by_rounds(giant: DataFrame) -> DataFrame:
-    """Exact hand-over slice by slice, for catalogs too wide to list every start state."""
-    turn = F.row_number().over(Window.partitionBy("episode_id").orderBy(SLICE))
-    turns = giant.select("episode_id", SLICE).distinct().withColumn("_turn", turn)
-    rounds = turns.agg(F.max("_turn")).first()[0]
-    state = giant.select("episode_id").distinct()
-    state = state.withColumns({"loaded0": F.array().cast(IDS), "ever0": F.array().cast(IDS)})
-    chain = None
-    for number in range(1, rounds + 1):
-        now = turns.where(F.col("_turn") == number).select("episode_id", SLICE)
-        now = durable(now.join(state, "episode_id"))
-        ends = (
-            giant.join(now, ["episode_id", SLICE])
-            .groupBy("episode_id", SLICE)
-            .applyInPandas(_end_of_group, END_SCHEMA)
-        )
-        ends = durable(now.join(ends, ["episode_id", SLICE]))
-        chain = ends if chain is None else chain.unionByName(ends)
-        state = ends.select("episode_id", F.col("loaded").alias("loaded0"), F.col("ever").alias("ever0"))
-    return chain
+# --- speculation, for catalogs too wide to list every start state ---------------------
+
+RUN_SCHEMA = f"episode_id string, {SLICE} int, start {IDS}, kept {IDS}, added {IDS}, taken {IDS}"
+FOLLOW_SCHEMA = f"episode_id string, {SLICE} int, start {IDS}, known boolean, loaded0 {IDS}, ever0 {IDS}, loaded {IDS}, ever {IDS}"
+RUN = ["start", "kept", "added", "taken"]
+
+
+def _run_of_slice(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What one slice does to one start set.
+
+    ``kept``: ids of the start that were never unloaded. ``added``: ids it loaded and still holds at its end,
+    in order of their last load. ``taken``: ids it loaded, in order of their first load.
+    """
+    head = pdf.iloc[0]
+    start, budget = list(head["start"]), int(head["budget"])
+    held, kept, added, taken = set(start), set(start), {}, {}
+    acts = pdf[pdf["op"].notna()].sort_values("step")
+    for op, skill in zip(acts["op"], acts["skill_id"]):
+        if op == UNLOAD:
+            held.discard(skill)
+            kept.discard(skill)
+            added.pop(skill, None)
+        elif skill not in held and len(held) < budget:
+            held.add(skill)
+            added[skill] = None
+            taken.setdefault(skill)
+    return pd.DataFrame(
+        {
+            "episode_id": [head["episode_id"]], SLICE: [head[SLICE]], "start": [start],
+            "kept": [sorted(kept)], "added": [list(added)], "taken": [list(taken)],
+        }
+    )
+
+
+def _likely_end(start: set, runs: list, touched: dict, pending: dict, budget: int) -> list:
+    """A guess of the end state for a start that was not run.
+
+    From the run whose start is most alike, plus the ids it did not start with and that the slice never
+    unloads. Without any run: of the ids whose last action is a load, those that wait longest. That is the true
+    state as long as the budget turned no load away.
+    """
+    if not runs:
+        return sorted(pending, key=lambda skill: (pending[skill], skill))[:budget]
+    near = max(runs, key=lambda run: (len(start & set(run["start"])) - len(start ^ set(run["start"])), list(run["start"])))
+    others = [s for s in sorted(start - set(near["start"])) if touched.get(s, (None,))[0] is None]
+    ends = [s for s in near["kept"] if s in start] + others
+    return list(dict.fromkeys(ends + list(near["added"])))[:budget]
+
+
+def _follow_episode(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Hand the state over from slice to slice, by runs where there are any and by guesses elsewhere.
+
+    The lists are given as far as every start so far was run, so they are exact; beyond that they are null.
+    """
+    pdf = pdf.sort_values(SLICE)
+    loaded, ever, exact, guess, pending, out = [], [], True, [], {}, []
+    for episode, piece, budget, hints, runs in zip(*[pdf[c] for c in ("episode_id", SLICE, "budget", "hints", "runs")]):
+        hints = {} if hints is None else {h["skill_id"]: (h["unloaded"], h["first"], h["last"]) for h in hints}
+        runs = [] if runs is None else list(runs)
+        start = sorted(loaded if exact else guess)
+        run = next((r for r in runs if list(r["start"]) == start), None)
+        before = (list(loaded), list(ever)) if exact else (None, None)
+        for skill, (unloaded, first, last) in hints.items():
+            if unloaded is not None:
+                pending.pop(skill, None)
+            if last is not None and (unloaded is None or last > unloaded):
+                pending.setdefault(skill, first if unloaded is None else last)
+        if run is None:
+            guess = _likely_end(set(start), runs, hints, pending, int(budget))
+            exact = False
+        else:
+            guess = [*run["kept"], *run["added"]]
+        if exact:
+            loaded = [s for s in loaded if s in set(run["kept"])] + list(run["added"])
+            ever = list(dict.fromkeys([*ever, *run["taken"]]))
+        after = (list(loaded), list(ever)) if exact else (None, None)
+        out.append((episode, piece, start, run is not None, *before, *after))
+    names = ["episode_id", SLICE, "start", "known", "loaded0", "ever0", "loaded", "ever"]
+    return pd.DataFrame(out, columns=names)
+
+
+def speculate(giant: DataFrame, setting: DataFrame) -> tuple[DataFrame, int]:
+    """State at the start and end of every slice, and the number of rounds it took.
+
+    In a round all slices whose start was not run yet run side by side, each from a guess; the hand-overs are then
+    compared, and what started wrong goes to the next round. The first such slice has its true start,
+    so a round settles one slice at least; runs are kept, none is done twice. One round does where the budget
+    turns no load away, and a few where slices are long enough to forget their start; there are never more than
+    slices. Of an episode only its slices, with lists no longer than the catalog, come together in one task.
+    """
+    key = ["episode_id", SLICE]
+    acts = keyed_join(giant, setting.select("episode_id", "catalog"), ["episode_id"])
+    acts = acts.where((F.col("op") != 0) & F.array_contains("catalog", F.col("skill_id")))
+    acts = durable(acts.select(*key, "step", "op", "skill_id"))
+    slices = giant.groupBy(*key).agg(F.first("budget").alias("budget"))
+    load = F.when(F.col("op") == LOAD, F.col("step"))
+    hints = acts.groupBy(*key, "skill_id").agg(
+        F.max(F.when(F.col("op") == UNLOAD, F.col("step"))).alias("unloaded"),
+        F.min(load).alias("first"), F.max(load).alias("last"),
+    )
+    hints = hints.groupBy(*key).agg(F.collect_list(F.struct("skill_id", "unloaded", "first", "last")).alias("hints"))
+    slices = durable(slices.join(hints, key, "left"))
+    runs, rounds = None, 0
+    while True:
+        told = slices.withColumn("runs", F.lit(None).cast(f"array<struct<{', '.join(f'{n}: {IDS}' for n in RUN)}>>"))
+        if runs is not None:
+            told = slices.join(runs.groupBy(*key).agg(F.collect_list(F.struct(*RUN)).alias("runs")), key, "left")
+        chain = durable(told.groupBy("episode_id").applyInPandas(_follow_episode, FOLLOW_SCHEMA))
+        todo = chain.where(~F.col("known")).select(*key, "start")
+        if todo.isEmpty():
+            return chain.drop("start", "known"), rounds
+        rounds += 1
+        now = todo.join(slices.select(*key, "budget"), key).join(acts, key, "left")
+        done = durable(now.groupBy(*key).applyInPandas(_run_of_slice, RUN_SCHEMA))
+        runs = done if runs is None else runs.unionByName(done)
 
 
 def slice_chain(giant: DataFrame, setting: DataFrame) -> DataFrame:
     """State at the start and end of every slice of the giant episodes."""
     giant = giant.select("episode_id", SLICE, "step", "op", "skill_id", "budget")
-    giant = keyed_join(giant, setting.select("episode_id", "catalog"), ["episode_id"])
-    width, budget = giant.agg(F.max(F.size("catalog")), F.max("budget")).first()
+    listed = keyed_join(giant, setting.select("episode_id", "catalog"), ["episode_id"])
+    width, budget = listed.agg(F.max(F.size("catalog")), F.max("budget")).first()
     states = sum(comb(width, k) for k in range(min(width, budget) + 1))
     if states > START_STATES or width > 62:
-        return _chain_by_rounds(giant)
-    effects = giant.groupBy("episode_id", SLICE).applyInPandas(_effect_of_group, EFFECT_SCHEMA)
+        return speculate(giant, setting)[0]
+    effects = listed.groupBy("episode_id", SLICE).applyInPandas(_effect_of_group, EFFECT_SCHEMA)
     return durable(effects.groupBy("episode_id").applyInPandas(_chain_of_episode, CHAIN_SCHEMA))
 
 

@@ -83,7 +83,7 @@ def _bag(df):
 
 
 def test_all_paths_agree(spark, monkeypatch):
-    """Native fold, ordered stream, slices with effect tables, slices by rounds."""
+    """Native fold, ordered stream, slices with effect tables, slices by speculation."""
     prepare(spark)
     plain = episode_queries.staged(spark, SMALL)
     steps, states = _bag(replay.replay_steps(plain)), _bag(replay.replay_state(plain))
@@ -97,6 +97,53 @@ def test_all_paths_agree(spark, monkeypatch):
     assert _bag(replay.replay_steps(sliced, fold_rows=4)) == steps
 
 
+def _giants(spark, seed, budget, unload, used, size, width=200):
+    """Three long episodes over a wide catalog, and their states after every step by a plain loop."""
+    import random
+
+    rng, rows, want = random.Random(seed), [], {}
+    ids = [f"x{i:03d}" for i in range(width)]
+    for name in ("e0", "e1", "e2"):
+        loaded, ever = [], []
+        for at in range(size):
+            kind = "unload" if rng.random() < unload else rng.choice(["load", "load", "invoke", "noop"])
+            skill = rng.choice([*ids[:used], "stranger", ""])
+            rows.append((name, at, kind, skill, None))
+            if kind in ("load", "invoke") and skill in ids and skill not in loaded and len(loaded) < budget:
+                loaded.append(skill)
+                ever += [skill] if skill not in ever else []
+            elif kind == "unload" and skill in loaded:
+                loaded.remove(skill)
+            want[name, at + 1] = (tuple(loaded), tuple(ever))
+    actions = spark.createDataFrame(rows, "episode_id string, at int, action_type string, skill_id string, correct boolean")
+    episodes = spark.createDataFrame([(f"e{n}", "t", budget) for n in range(3)], "episode_id string, task_id string, context_budget int")
+    tasks = spark.createDataFrame([("t", ids[:9], ids[9:])], "task_id string, relevant array<string>, distractors array<string>")
+    return actions, replay.settings(episodes, tasks), want
+
+
+# budget, share of unloads, ids in use, actions, rows a slice, rounds allowed
+SPECULATED = [
+    (1000, 0.4, 100, 1000, 45, 1),  # the budget turns nothing away
+    (8, 0.5, 12, 1500, 150, 4),  # slices long enough to forget their start
+    (8, 0.3, 100, 300, 45, 7),  # no slice forgets it: rounds are bounded by the slices only
+    (0, 0.3, 20, 200, 45, 1),
+]
+
+
+@pytest.mark.parametrize("budget, unload, used, size, slice_rows, most", SPECULATED)
+def test_speculation_over_a_wide_catalog(spark, budget, unload, used, size, slice_rows, most):
+    """Equal to a plain loop; one round where no load is turned away, few where slices forget their start."""
+    prepare(spark)
+    actions, setting, want = _giants(spark, budget, budget, unload, used, size)
+    staged = replay.stage(actions, setting, ["at"], slice_rows=slice_rows)
+    chain, rounds = replay.speculate(staged.rows.where("_slice > 0"), setting)
+    assert chain.count() >= 3 * size / slice_rows / 2 and rounds <= most
+    steps = replay.replay_steps(staged, fold_rows=4).collect()
+    assert {(r.episode_id, r.step): (tuple(r.loaded), tuple(r.ever)) for r in steps} == want
+    state = {r.episode_id: (tuple(r.loaded), tuple(r.ever)) for r in replay.replay_state(staged, fold_rows=4).collect()}
+    assert state == {e: want[e, size] for e in ("e0", "e1", "e2")}
+
+
 # correct, loaded, relevant, ever loaded, reward
 REWARDS = [
     (True, "A", "A", "A", 1.0), (True, "AB", "A", "AB", 0.65), (True, "A", "A", "BA", 0.95),
