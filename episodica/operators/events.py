@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from math import gcd
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,20 +23,31 @@ def filter_map(events: DataFrame, types: list[str]) -> DataFrame:
     )
 
 
-def windowed(
-    rows: DataFrame, keys: list[str], ts: str, width: str, step: str | None = None, stream: bool = False
-) -> DataFrame:
-    """Count, exact sum and distinct actions per window and key.
+def _pane(width: str, step: str | None) -> str:
+    """The widest span that divides a window and its step."""
+    spans = [pd.Timedelta(span).value // 1000 for span in (width, step or width)]
+    return f"{gcd(*spans)} microseconds"
+
 
-    Distinct counts are not allowed on streams, where the (few) actions are collected as
-    a set instead.
+def windowed(rows: DataFrame, keys: list[str], ts: str, width: str, step: str | None = None) -> DataFrame:
+    """Count, exact sum and distinct actions per window and key, for tables and streams alike.
+
+    Rows are summed per pane, key and action first; windows are put together from those sums, so no row is
+    copied into the windows it lies in, and distinct actions are a count of sums: no task and no state holds
+    the set of a window's actions. Null actions count as rows, not as distinct ones; rows without a time
+    are in no window.
     """
-    span = F.window(ts, width, step) if step else F.window(ts, width)
-    distinct = F.size(F.collect_set("action")).cast("long") if stream else F.count_distinct("action")
-    out = rows.groupBy(span.alias("window"), *keys).agg(
-        F.count(F.lit(1)).alias("action_count"),
-        F.sum(F.col("value").cast(MONEY)).cast("double").alias("total_value"),
-        distinct.alias("unique_actions"),
+    sums = rows.groupBy(F.window(ts, _pane(width, step)).alias("window"), *keys, "action").agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum(F.col("value").cast(MONEY)).alias("_value")
+    )
+    if step:
+        sums = sums.groupBy(F.window("window", width, step).alias("window"), *keys, "action").agg(
+            F.sum("_rows").alias("_rows"), F.sum("_value").alias("_value")
+        )
+    out = sums.groupBy("window", *keys).agg(
+        F.sum("_rows").alias("action_count"),
+        F.sum("_value").cast("double").alias("total_value"),
+        F.count("action").alias("unique_actions"),
     )
     return out.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys,
@@ -85,6 +99,43 @@ def error_rate_window(
     return exact_percentiles(rows, ["window_start", *keys], value, tie, shares, error_rate(is_error), slice_rows)
 
 
+# Ranks of a merged sketch are off by 0.13 % of the values at most (99 of 100 times); up to this many are kept whole.
+SKETCH = 4_096
+
+
+def latency_panes(
+    rows: DataFrame, keys: list[str], ts: str, width: str, value: str, is_error: Column, size: int = SKETCH
+) -> DataFrame:
+    """Events, errors and a quantile sketch of ``value`` per pane and key, for tables and streams alike.
+
+    Null and NaN values count as events only. What is kept of a pane is bounded by ``size``, not by its events.
+    """
+    number = F.when(~F.isnan(value), F.col(value))
+    panes = rows.groupBy(F.window(ts, width).alias("window"), *keys).agg(
+        F.count(F.lit(1)).alias("events"), F.count(F.when(is_error, 1)).alias("errors"),
+        F.kll_sketch_agg_double(number, F.lit(size)).alias("sketch"),
+    )
+    return panes.select(F.col("window.start").alias("pane"), *keys, "events", "errors", "sketch")
+
+
+def merged_panes(panes: DataFrame, keys: list[str], size: int = SKETCH) -> DataFrame:
+    """Panes rolled up to ``keys``; the result can be rolled up again. No event is read."""
+    return panes.groupBy(*keys).agg(
+        F.sum("events").alias("events"), F.sum("errors").alias("errors"),
+        F.kll_merge_agg_double("sketch", F.lit(size)).alias("sketch"),
+    )
+
+
+def with_percentiles(panes: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """Error rate and percentiles of (merged) panes; null where a pane has no values.
+
+    Up to ``SKETCH`` values the nearest-rank ones, beyond that values whose rank is off as little as said there.
+    """
+    filled = F.kll_sketch_get_n_double("sketch") > 0
+    at = {name: F.when(filled, F.kll_sketch_get_quantile_double("sketch", F.lit(share))) for name, share in shares.items()}
+    return panes.withColumn("error_rate", F.col("errors") / F.col("events")).withColumns(at)
+
+
 def gate_limits(phases: DataFrame) -> DataFrame:
     """Limits named in the gate text of each phase; a phase may name either or neither."""
     def limit(metric: str) -> Column:

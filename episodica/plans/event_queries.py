@@ -95,15 +95,31 @@ def event_flow(spark, folder):
     return _stamped(files.routed(events.windowed(rows, ["user_id"], "ts", "5 minutes"), _routes()))
 
 
-@query(
-    "error_rate_window",
-    f"""WITH e AS (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS w FROM events),
+def _phase(ts: str):
+    """Six days a phase."""
+    number = F.least(F.floor((F.day(ts) - 1) / 6), F.lit(4)).cast("int")
+    return F.element_at(F.array(*map(F.lit, PHASES)), number + 1)
+
+
+def _gated(spark, metrics):
+    gates = spark.createDataFrame(list(PHASES.items()), "phase string, metrics_gate string")
+    out = events.canary_gate(metrics, gates)
+    return out.select("user_id", "phase", F.round("error_rate", 6).alias("error_rate"), "p99", "gate_ok")
+
+
+def _panes(spark, folder, width, keys):
+    return events.latency_panes(_events(spark, folder), keys, "ts", width, "value", F.col("event_type") == "error")
+
+
+RATE_SQL = f"""WITH e AS (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS w FROM events),
           r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY value, event_id) AS rn, count(*) OVER (PARTITION BY w) AS n FROM e)
         SELECT {sql_stamp('w')} AS window_start, count(*) AS events,
                round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS error_rate,
                max(CASE WHEN rn = ceil(n * 0.5) THEN value END) AS p50, max(CASE WHEN rn = ceil(n * 0.99) THEN value END) AS p99
-        FROM r GROUP BY w""",
-)
+        FROM r GROUP BY w"""
+
+
+@query("error_rate_window", RATE_SQL)
 def error_rate_window(spark, folder):
     out = events.error_rate_window(
         _events(spark, folder), "ts", "1 hour", "value", "event_id", F.col("event_type") == "error"
@@ -118,9 +134,7 @@ PHASES = {
 }
 
 
-@query(
-    "canary_gate",
-    """WITH e AS (SELECT *, ['shadow', 'canary_1', 'canary_2', 'canary_3', 'full'][CAST(least((day(ts) - 1) // 6, 4) AS INTEGER) + 1] AS phase FROM events),
+GATE_SQL = """WITH e AS (SELECT *, ['shadow', 'canary_1', 'canary_2', 'canary_3', 'full'][CAST(least((day(ts) - 1) // 6, 4) AS INTEGER) + 1] AS phase FROM events),
        r AS (SELECT *, row_number() OVER (PARTITION BY user_id, phase ORDER BY value, event_id) AS rn,
                     count(*) OVER (PARTITION BY user_id, phase) AS n FROM e),
        g AS (SELECT user_id, phase, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS error_rate,
@@ -128,18 +142,34 @@ PHASES = {
        SELECT user_id, phase, round(error_rate, 6) AS error_rate, p99,
               CASE phase WHEN 'shadow' THEN error_rate < 0.3 WHEN 'canary_1' THEN p99 < 480 AND error_rate < 0.25
                 WHEN 'canary_2' THEN p99 < 450 AND error_rate < 0.25 WHEN 'canary_3' THEN p99 < 400 AND error_rate < 0.3
-                ELSE true END AS gate_ok FROM g""",
-)
+                ELSE true END AS gate_ok FROM g"""
+
+
+@query("canary_gate", GATE_SQL)
 def canary_gate(spark, folder):
     """Users as services: six days per phase, each with its own gate."""
-    phase_no = F.least(F.floor((F.day("ts") - 1) / 6), F.lit(4)).cast("int")
-    names = F.array(*map(F.lit, PHASES))
-    rows = _events(spark, folder).withColumn("phase", F.element_at(names, phase_no + 1))
+    rows = _events(spark, folder).withColumn("phase", _phase("ts"))
     rate = events.error_rate(F.col("event_type") == "error")
     metrics = events.exact_percentiles(rows, ["user_id", "phase"], "value", "event_id", {"p99": 0.99}, rate)
-    gates = spark.createDataFrame(list(PHASES.items()), "phase string, metrics_gate string")
-    out = events.canary_gate(metrics, gates)
-    return out.select("user_id", "phase", F.round("error_rate", 6).alias("error_rate"), "p99", "gate_ok")
+    return _gated(spark, metrics)
+
+
+@query("latency_rollup", RATE_SQL)
+def latency_rollup(spark, folder):
+    """The hourly figures from sketches of minutes: the same values up to 4,096 events an hour, near ones beyond."""
+    minutes = _panes(spark, folder, "1 minute", [])
+    hours = events.merged_panes(minutes.withColumn("window_start", F.window("pane", "1 hour")["start"]), ["window_start"])
+    out = events.with_percentiles(hours, {"p50": 0.5, "p99": 0.99}).withColumn("error_rate", F.round("error_rate", 6))
+    return _stamped(out.select("window_start", "events", "error_rate", "p50", "p99"))
+
+
+@query("gate_rollup", GATE_SQL)
+def gate_rollup(spark, folder):
+    """The gates from hourly sketches of each user, merged to days and those to phases."""
+    hours = _panes(spark, folder, "1 hour", ["user_id"])
+    days = events.merged_panes(hours.withColumn("pane", F.window("pane", "1 day")["start"]), ["user_id", "pane"])
+    phases = events.merged_panes(days.withColumn("phase", _phase("pane")), ["user_id", "phase"])
+    return _gated(spark, events.with_percentiles(phases, {"p99": 0.99}))
 
 
 @query(

@@ -162,6 +162,6 @@ def alert_stream(spark, folder):
     sinks = fresh_dir(spark, "alerts")
     rates = jobs.error_rates(_feed(spark, folder), "1 minute", F.col("event_type") == "error")
     jobs.drain_batches(rates, files.branch_writer({"alert": F.col("error_rate") > 0.01}, sinks))
-    fields = "window_start timestamp, events long, error_rate double, latency array<double>, batch int, route string"
+    fields = "window_start timestamp, events long, errors long, sketch binary, error_rate double, batch int, route string"
     alerts = files.read_sink(spark, sinks, fields).where("route = 'alert'")
     return _ntz(alerts.select("window_start", "events", F.round("error_rate", 6).alias("error_rate")), "window_start")

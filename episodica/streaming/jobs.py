@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.operators.events import windowed
+from episodica.operators.events import latency_panes, windowed
 from episodica.session import fresh_dir
 from episodica.sources.schemas import EVENTS
 
@@ -60,9 +60,12 @@ def drain_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], mo
     query.awaitTermination()
 
 
-def tumbling(feed: DataFrame, keys: list[str], width: str) -> DataFrame:
-    """Windowed count, sum and distinct actions; a window appears once it is closed."""
-    return windowed(feed, keys, "ts", width, stream=True)
+def tumbling(feed: DataFrame, keys: list[str], width: str, step: str | None = None) -> DataFrame:
+    """Windowed count, sum and distinct actions; a window appears once it is closed.
+
+    These are chained stateful aggregates: the first keeps one sum per pane, key and action.
+    """
+    return windowed(feed, keys, "ts", width, step)
 
 
 def dedup(feed: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,10 +89,6 @@ def join_within(left: DataFrame, right: DataFrame, key: str, seconds: int) -> Da
 
 
 def error_rates(feed: DataFrame, width: str, is_error: Column) -> DataFrame:
-    """Error rate and approximate latency percentiles per closed window."""
-    rate = F.avg(F.when(is_error, 1.0).otherwise(0.0))
-    out = feed.groupBy(F.window("ts", width).alias("window")).agg(
-        F.count(F.lit(1)).alias("events"), rate.alias("error_rate"),
-        F.percentile_approx("value", [0.5, 0.99]).alias("latency"),
-    )
-    return out.select(F.col("window.start").alias("window_start"), "events", "error_rate", "latency")
+    """Error rate per closed window, with a sketch of the values that later roll-ups merge."""
+    panes = latency_panes(feed, [], "ts", width, "value", is_error)
+    return panes.withColumnRenamed("pane", "window_start").withColumn("error_rate", F.col("errors") / F.col("events"))

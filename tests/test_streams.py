@@ -1,7 +1,11 @@
 """Streams against their batch twins, late and undecodable rows, payload codecs."""
 
 import datetime as dt
+import math
+import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from episodica.operators import events, replay
@@ -172,3 +176,86 @@ def test_late_actions_open_no_second_episode(spark):
 def test_empty_sink_is_empty(spark):
     prepare(spark)
     assert files.read_sink(spark, fresh_dir(spark, "none"), "a int, route string").count() == 0
+
+
+def test_distinct_counts_are_chained_aggregates(spark):
+    """Windows in a stream equal those of a table, also where the step does not divide the width."""
+    prepare(spark)
+    folder, rng = fresh_dir(spark, "feed"), random.Random(3)
+    rows = [(i, rng.randrange(600), i % 3, rng.choice(["a", "b", "c", None]), rng.choice([0.25, 1.5, None])) for i in range(3000)]
+    feed(spark, folder, rows, 1)
+    feed(spark, folder, [(9999, 9000, 1, "z", 1.0)], 2)  # closes all windows before it
+    for width, step in (("30 minutes", None), ("1 hour", "15 minutes"), ("50 minutes", "20 minutes")):
+        stream = jobs.event_source(spark, f"{folder}/*", delay="10 seconds").withColumnRenamed("event_type", "action")
+        got = {tuple(r) for r in jobs.drain(jobs.tumbling(stream, ["user_id"], width, step)).collect()}
+        table = spark.read.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+        table = table.withColumnRenamed("event_type", "action")
+        batch = {tuple(r) for r in events.windowed(table, ["user_id"], "ts", width, step).collect()}
+        last = T0 + dt.timedelta(minutes=8000)
+        assert got == {r for r in batch if r[1] <= last} and len(got) > 30
+        w, s = (int(pd.Timedelta(x).total_seconds() // 60) for x in (width, step or width))
+        want = {}
+        for _, minute, user, action, value in rows:
+            for start in range(minute // s * s, minute - w, -s):
+                want.setdefault((start, user), []).append((action, value))
+        want = {
+            (T0 + dt.timedelta(minutes=start), T0 + dt.timedelta(minutes=start + w), user, len(v),
+             sum(x for _, x in v if x) if any(x for _, x in v) else None, len({a for a, _ in v if a}))
+            for (start, user), v in want.items()
+        }
+        assert got == want
+
+
+def test_hot_window_of_many_actions_in_a_stream(spark):
+    """A million events of one user and window, 900,000 actions apart: no state holds them as one set."""
+    prepare(spark)
+    folder = fresh_dir(spark, "feed")
+    at = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 250) ts"
+    hot = spark.range(1_000_000, numPartitions=8)
+    hot.selectExpr("id event_id", at, "7L user_id", "concat('a', id % 900000) event_type", "1.0D value", "'{}' props").write.parquet(f"{folder}/part=1")
+    feed(spark, folder, [(1, 600, 7, "z", 1.0)], 2)
+    stream = jobs.event_source(spark, f"{folder}/*", delay="10 seconds").withColumnRenamed("event_type", "action")
+    plan = jobs.tumbling(stream, ["user_id"], "5 minutes")
+    row = jobs.drain(plan).first()
+    assert (row.action_count, row.total_value, row.unique_actions) == (1_000_000, 1_000_000.0, 900_000)
+
+
+def test_percentiles_merge(spark):
+    """Sketches of minutes merged to hours: exact while small, within their bound when large, equal in a stream."""
+    prepare(spark)
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(300), 0, rng.choice(["error", "view"]), rng.choice([rng.random(), None, float("nan")])) for i in range(900)]
+    rows.append((900, 400, 0, "view", None))
+    folder = fresh_dir(spark, "feed")
+    feed(spark, folder, rows, 1)
+    feed(spark, folder, [(9999, 9000, 1, "z", 1.0)], 2)
+    table = spark.read.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    wrong = F.col("event_type") == "error"
+    panes = events.latency_panes(table, [], "ts", "1 minute", "value", wrong)
+    streamed = jobs.drain(jobs.error_rates(jobs.event_source(spark, f"{folder}/*", delay="10 seconds"), "1 minute", wrong))
+    shares = {"p50": 0.5, "p99": 0.99}
+
+    def hours(minutes, ts):
+        by = events.merged_panes(minutes.withColumn("hour", F.window(ts, "1 hour")["start"]), ["hour"])
+        rows = events.with_percentiles(by, shares).where(F.col("hour") < F.lit(T0 + dt.timedelta(minutes=8000))).collect()
+        return {r.hour: (r.events, r.error_rate, r.p50, r.p99) for r in rows}
+
+    want = {}
+    for _, minute, _, kind, value in rows:
+        want.setdefault(T0 + dt.timedelta(hours=minute // 60), []).append((kind == "error", value))
+    for hour, seen in want.items():
+        values = sorted(v for _, v in seen if v is not None and v == v)
+        rank = lambda share: values[math.ceil(len(values) * share) - 1] if values else None
+        want[hour] = (len(seen), sum(e for e, _ in seen) / len(seen), rank(0.5), rank(0.99))
+    assert hours(panes, "pane") == want
+    assert hours(streamed, "window_start") == want
+
+    big = spark.range(400_000).select(
+        F.lit(T0).cast("timestamp").alias("ts"), (F.col("id") % 97).alias("part"),
+        (F.pmod(F.hash("id"), F.lit(10_000_019)) / 7.0).alias("value"), F.lit(False).alias("bad"),
+    )
+    merged = events.merged_panes(events.latency_panes(big, ["part"], "ts", "1 minute", "value", F.col("bad")), ["pane"])
+    got = events.with_percentiles(merged, {f"p{s}": s / 100 for s in (1, 25, 50, 75, 99)}).first()
+    values = np.sort(big.toPandas()["value"].to_numpy())
+    for share in (1, 25, 50, 75, 99):
+        assert abs(np.searchsorted(values, got[f"p{share}"], "right") / len(values) - share / 100) < 0.003
