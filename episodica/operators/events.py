@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import gcd
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from episodica.plans.skew import HOT_ROWS, keyed_join, ordered
+from episodica.session import durable
 
-BUCKETS = 8
+CHUNK = 4  # spans in a chunk of the join within a span
+HOT_CHUNKS = 100_000  # rows of the table of hot chunks that may be broadcast
+SWEPT = 65_536  # pairs in a batch
 
 MONEY = "decimal(18,2)"
 
@@ -167,20 +175,115 @@ def clean_numeric(rows: DataFrame, column: str, fill: float | None = None) -> Da
     return out.na.drop(subset=[column]) if fill is None else out.na.fill({column: fill})
 
 
-def join_within(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, seconds: int) -> DataFrame:
-    """Pairs of one key whose right row follows within the span, by time buckets.
+def _sweep(key: str, names: list[str], micros: int):
+    """Pairs of one task's rows, which come in order of key, chunk, salt and time, left rows first among equals.
 
-    A bucket is a BUCKETS-th of the span. A right row can match left rows of its own bucket
-    and of the BUCKETS before, and is sent to these; so of the pairs that meet, all but
-    about one in BUCKETS match, however hot a key is.
+    Left rows are carried from batch to batch only as long as a right row can still reach them.
+    """
+    group = [key, "_chunk", "_salt"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number, last = None, 0, None  # left rows with their group's number; the last row's group
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for name in group:
+                column = batch[name]
+                new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            first = tuple(batch[name][0].as_py() for name in group)
+            new[0] = last is not None and first != last
+            last = tuple(batch[name][-1].as_py() for name in group)
+            groups = number + np.cumsum(new)
+            number = int(groups[-1])
+            at, is_right = batch["_at"].to_numpy(), batch["_side"].to_numpy() == 1
+            ours = np.flatnonzero(~is_right)
+            lefts = pa.table({"row": batch["_left"].take(pa.array(ours)), "group": groups[ours], "at": at[ours]})
+            held = lefts if held is None else pa.concat_tables([held, lefts]).combine_chunks()
+            own, when = held["group"].to_numpy(), held["at"].to_numpy()
+            theirs = np.flatnonzero(is_right)
+            if len(theirs) and held.num_rows:
+                # Held rows are in order, so those a right row meets are a run of them: up to itself, and from span before.
+                upto = _places(own, when, groups[theirs], at[theirs], True)
+                since = _places(own, when, groups[theirs], at[theirs] - micros, False)
+                yield from _pairs(_one_chunk(held["row"]), batch["_right"], since, upto, theirs, names)
+            held = held.filter(pa.array((own == number) & (when >= at[-1] - micros)))
+
+    return run
+
+
+def _one_chunk(column: pa.ChunkedArray) -> pa.Array:
+    whole = column.combine_chunks()
+    return whole if isinstance(whole, pa.Array) else pa.concat_arrays(whole.chunks)
+
+
+def _places(groups: np.ndarray, times: np.ndarray, of: np.ndarray, at: np.ndarray, after_equal: bool) -> np.ndarray:
+    """How many of the rows (in order of group and time) come before each (``of``, ``at``), or up to it."""
+    n = len(groups)
+    tie = np.concatenate([np.ones(n, dtype=np.int8), np.full(len(of), 2 if after_equal else 0, dtype=np.int8)])
+    order = np.lexsort((tie, np.concatenate([times, at]), np.concatenate([groups, of])))
+    counted = np.empty(len(order), dtype=np.int64)
+    counted[order] = np.cumsum(order < n)
+    return counted[n:]
+
+
+def _pairs(
+    lefts: pa.StructArray, rights: pa.StructArray, since: np.ndarray, upto: np.ndarray, rows: np.ndarray, names: list[str]
+) -> Iterator[pa.RecordBatch]:
+    """Left rows ``since`` to ``upto`` next to right row ``rows``, in batches of about SWEPT pairs."""
+    length = np.maximum(upto - since, 0)
+    ends = np.cumsum(length)
+    for start in range(0, int(ends[-1]), SWEPT):
+        pair = np.arange(start, min(start + SWEPT, int(ends[-1])))
+        right = np.searchsorted(ends, pair, side="right")
+        left = since[right] + pair - (ends[right] - length[right])
+        columns = lefts.take(pa.array(left)).flatten() + rights.take(pa.array(rows[right])).flatten()
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def join_within(
+    left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, seconds: int, slice_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Pairs of one key whose right row follows within the span, by a sweep in time order.
+
+    Gives all columns of the left side, then those of the right side but its key; their names must differ. The rows of a key are cut
+    into chunks of CHUNK spans. A right row goes to its own chunk only; a left row of a chunk's last span goes to
+    the next one as well, so a quarter of them is sent twice. A task merges both sides in order of time and holds
+    the left rows of one span. The right rows of a chunk with more than ``slice_rows`` of them are dealt to
+    several tasks, and only its left rows are sent to each. Rows without key or time have no pairs.
     """
     micros = lambda column: F.unix_micros(F.col(column).cast("timestamp"))
-    width = F.lit(-(-seconds * 1_000_000 // BUCKETS))
-    bucket = lambda column: F.floor(micros(column) / width)
-    near = right.withColumn("_bucket", F.explode(F.sequence(bucket(right_ts) - BUCKETS, bucket(right_ts))))
-    pairs = left.withColumn("_bucket", bucket(left_ts)).join(near, [key, "_bucket"]).drop("_bucket")
-    gap = micros(right_ts) - micros(left_ts)
-    return pairs.where((gap >= 0) & (gap <= seconds * 1_000_000))
+    span = seconds * 1_000_000
+    width = span * CHUNK or 1
+    packed = lambda names: F.struct(*[F.col(c) for c in names])
+    others = [c for c in right.columns if c != key]
+    chunk = F.floor(F.col("_at") / F.lit(width)).cast("long")
+    l_rows = left.where(F.col(key).isNotNull() & F.col(left_ts).isNotNull()).select(key, micros(left_ts).alias("_at"), packed(left.columns).alias("_left"))
+    r_rows = right.where(F.col(key).isNotNull() & F.col(right_ts).isNotNull()).select(key, micros(right_ts).alias("_at"), packed(others).alias("_right"))
+    l_rows = l_rows.withColumn("_chunk", F.explode(F.sequence(chunk, F.floor((F.col("_at") + span) / F.lit(width)).cast("long"))))
+    r_rows = r_rows.withColumn("_chunk", chunk)
+
+    # At most one row of this for every slice_rows right rows.
+    counts = r_rows.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > slice_rows).select(key, "_chunk", F.ceil(F.col("_n") / slice_rows).cast("int").alias("_parts"))
+    hot = durable(hot)
+    n_hot = hot.count()
+    if n_hot:
+        parts = F.coalesce("_parts", F.lit(1))
+        side = F.broadcast(hot) if n_hot <= HOT_CHUNKS else hot
+        l_rows = l_rows.join(side, [key, "_chunk"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+        r_rows = r_rows.join(side, [key, "_chunk"], "left").withColumn("_salt", F.pmod(F.xxhash64("_at", "_right"), parts).cast("int"))
+    else:
+        l_rows, r_rows = l_rows.withColumn("_salt", F.lit(0)), r_rows.withColumn("_salt", F.lit(0))
+
+    place = [key, "_chunk", "_salt", "_at"]
+    l_type, r_type = l_rows.schema["_left"].dataType, r_rows.schema["_right"].dataType
+    both = l_rows.select(*place, F.lit(0).alias("_side"), "_left", F.lit(None).cast(r_type).alias("_right")).unionByName(
+        r_rows.select(*place, F.lit(1).alias("_side"), F.lit(None).cast(l_type).alias("_left"), "_right")
+    )
+    dealt = both.repartition(key, "_chunk", "_salt").sortWithinPartitions(*place, "_side")
+    fields = StructType([StructField(f.name, f.dataType) for f in (*l_type.fields, *r_type.fields)])
+    return dealt.mapInArrow(_sweep(key, fields.names, span), fields)
 
 
 def pivot_sum(rows: DataFrame, keys: list[str], kind: str, value: str, kinds: list[str], rest: str = "other") -> DataFrame:

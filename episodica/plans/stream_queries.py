@@ -108,7 +108,7 @@ def stream_join_within(spark, folder):
 
 @query("join_within", JOINED)
 def join_within(spark, folder):
-    """The same join in batch, by time buckets."""
+    """The same join in batch, by a sweep in time order."""
     rows = table(spark, folder, "events")
     views = rows.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), "user_id", F.col("ts").alias("viewed"))
     buys = rows.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", F.col("ts").alias("bought"))

@@ -108,6 +108,48 @@ def test_join_within_edges(spark):
     assert got == {(1, 10), (1, 11), (2, 11), (2, 12), (2, 13)}
 
 
+def test_join_within_by_sweep_equals_brute_force(spark):
+    """Several keys, ties, repeated rows, nulls, batches of a few rows, and a hot key in several tasks."""
+    prepare(spark)
+    draw = random.Random(3)
+    keys = ["a", "b", "hot", None]
+    some = lambda n: [(draw.choice(keys + ["hot"] * 4), i, None if draw.random() < 0.05 else T0 + dt.timedelta(seconds=draw.randrange(900))) for i in range(n)]
+    lefts, rights = some(400), some(300)
+    lefts += lefts[:20]
+    left = spark.createDataFrame(lefts, "k string, l int, lt timestamp").repartition(3)
+    right = spark.createDataFrame(rights, "k string, r int, rt timestamp").repartition(3)
+    for span in (0, 60):
+        want = sorted(
+            (l, r) for k, l, s in lefts for j, r, t in rights
+            if k is not None and k == j and s and t and 0 <= (t - s).total_seconds() <= span
+        )
+        for slice_rows, batch in ((1_000_000, 10_000), (10, 7)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            try:
+                out = events.join_within(left, right, "k", "lt", "rt", span, slice_rows)
+                assert sorted((r.l, r.r) for r in out.collect()) == want
+                assert out.columns == ["k", "l", "lt", "r", "rt"]
+            finally:
+                spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert events.join_within(left.limit(0), right, "k", "lt", "rt", 60).count() == 0
+    assert events.join_within(left, right.limit(0), "k", "lt", "rt", 60).count() == 0
+
+
+def test_join_within_sends_a_hot_key_to_several_tasks(spark):
+    prepare(spark)
+    left = spark.range(50).select(F.lit("k").alias("k"), F.col("id").alias("l"), F.timestamp_seconds(F.col("id")).alias("lt"))
+    right = spark.range(20_000).select(F.lit("k").alias("k"), F.col("id").alias("r"), F.timestamp_seconds(F.col("id") % 60).alias("rt"))
+    out = events.join_within(left, right, "k", "lt", "rt", 60, 2_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shares = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert len(shares) > 2 and max(shares) < 0.7 * sum(shares)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    plan = events.join_within(left, right, "k", "lt", "rt", 60)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_stream_joins_a_lookup_too_large_to_broadcast(spark):
     from episodica.plans.skew import keyed_join
 
