@@ -12,25 +12,22 @@ from episodica.plans.registry import query
 from episodica.session import fresh_dir
 from episodica.sources import bindings, files
 from episodica.sources.tables import table
-from episodica.streaming import jobs
+from episodica.streaming import backlog, jobs
 from episodica.streaming.replay import stream_replay
 
 
-# A micro-batch of the feed is bounded, however long the backlog is.
-PER_TRIGGER = {"maxBytesPerTrigger": str(16 << 30)}
 # An episode lasts a week at most, so after two weeks nothing of it is to come.
 IDLE_SECONDS = 14 * 86_400
 
 
-def _feed(spark, folder, delay="10 seconds"):
-    """The event table as a stream: one file, or a folder of part files."""
-    return jobs.event_source(spark, f"{folder}/events.parquet*", delay=delay, per_trigger=PER_TRIGGER)
+def _feed(spark, folder):
+    """The event table as a feed in order of event time: one file, or a folder of part files."""
+    return backlog.Backlog(spark, f"{folder}/events.parquet*", backlog.SLICE_BYTES)
 
 
-def _kept(spark, folder):
+def _kept(feed):
     """Filtered and mapped feed. The watermark follows the rows kept, not the ones dropped."""
-    rows = events.filter_map(_feed(spark, folder, None), KEPT)
-    return rows.withWatermark("ts", "10 seconds")
+    return events.filter_map(feed.rows(), KEPT).withWatermark("ts", "10 seconds")
 
 
 def _ntz(df, *names):
@@ -39,7 +36,8 @@ def _ntz(df, *names):
 
 @query("stream_source", f"SELECT event_id, user_id, event_type, value, {sql_stamp('ts')} AS ts FROM events")
 def stream_source(spark, folder):
-    out = jobs.drain(_feed(spark, folder))
+    feed = _feed(spark, folder)
+    out = feed.drain(feed.rows("10 seconds"))
     return _ntz(out.select("event_id", "user_id", "event_type", "value", "ts"), "ts")
 
 
@@ -52,8 +50,8 @@ def stream_source(spark, folder):
 )
 def stream_tumbling(spark, folder):
     """Closed five-minute windows of the filtered feed."""
-    rows = _kept(spark, folder)
-    return _ntz(jobs.drain(jobs.tumbling(rows, ["user_id"], "5 minutes")), "window_start", "window_end")
+    feed = _feed(spark, folder)
+    return _ntz(feed.drain(jobs.tumbling(_kept(feed), ["user_id"], "5 minutes")), "window_start", "window_end")
 
 
 @query(
@@ -81,14 +79,33 @@ def stream_late(spark, folder):
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "events")
 
 
+@query(
+    "stream_late_rows",
+    f"""SELECT event_id, user_id, event_type, value, {sql_stamp('ts')} AS ts FROM events
+        WHERE event_type = 'view' AND time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day'
+          <= (SELECT max(ts) - INTERVAL '10 seconds' FROM events WHERE event_type <> 'view')""",
+)
+def stream_late_rows(spark, folder):
+    """The views that ``stream_late`` loses, from the side table of late rows."""
+    feed, late, progress = fresh_dir(spark, "feed"), fresh_dir(spark, "late"), fresh_dir(spark, "progress")
+    rows = table(spark, folder, "events")
+    for number, wanted in enumerate((F.col("event_type") != "view", F.col("event_type") == "view")):
+        rows.where(wanted).write.parquet(f"{feed}/part={number}")
+        stream = jobs.event_source(spark, f"{feed}/*")
+        jobs.drain_batches(stream, backlog.late_writer(late, "1 day", "10 seconds"), progress=progress)
+    kept = backlog.read_batches(spark, f"{late}/late", jobs.FEED_SCHEMA.replace("TIMESTAMP_NTZ", "TIMESTAMP"))
+    return _ntz(kept.select("event_id", "user_id", "event_type", "value", "ts"), "ts")
+
+
 @query(
     "stream_dedup",
     """SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events""",
 )
 def stream_dedup(spark, folder):
     """The first event of a user, type and day; a day's keys go once it lies a day back."""
-    rows = _feed(spark, folder, "1 day").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    out = jobs.drain(jobs.dedup(rows, ["user_id", "event_type", "day"]))
+    feed = _feed(spark, folder)
+    rows = feed.rows("1 day").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    out = feed.drain(jobs.dedup(rows, ["user_id", "event_type", "day"]))
     return out.select("user_id", "event_type", "day")
 
 
@@ -100,10 +117,11 @@ JOINED = """SELECT l.event_id AS view_id, r.event_id AS purchase_id, l.user_id F
 @query("stream_join_within", JOINED)
 def stream_join_within(spark, folder):
     """Views followed by a purchase of the same user within six hours."""
-    views = _feed(spark, folder).where("event_type = 'view'").select(F.col("event_id").alias("view_id"), "user_id", "ts")
-    buys = _feed(spark, folder).where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", "ts")
+    feed = _feed(spark, folder)
+    views = feed.rows("10 seconds").where("event_type = 'view'").select(F.col("event_id").alias("view_id"), "user_id", "ts")
+    buys = feed.rows("10 seconds").where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", "ts")
     pairs = jobs.join_within(views, buys, "user_id", 21_600)
-    return jobs.drain(pairs.select("view_id", "purchase_id", F.col("l.user_id").alias("user_id")))
+    return feed.drain(pairs.select("view_id", "purchase_id", F.col("l.user_id").alias("user_id")))
 
 
 @query("join_within", JOINED)
@@ -124,9 +142,10 @@ def join_within(spark, folder):
 )
 def stream_replay_query(spark, folder):
     """Rewards of submitted episodes from a stream of actions."""
-    actions = bindings.actions_of(_feed(spark, folder))
+    feed = _feed(spark, folder)
+    actions = bindings.actions_of(feed.rows("10 seconds"))
     setting = replay.settings(bindings.episodes(spark, folder), bindings.tasks(spark, folder))
-    out = jobs.drain(stream_replay(actions, setting, IDLE_SECONDS)).where("status = 'done'")
+    out = feed.drain(stream_replay(actions, setting, IDLE_SECONDS)).where("status = 'done'")
     return reward.with_reward(with_relevant(out, spark, folder)).select(
         "episode_id", "task_id", joined("loaded").alias("loaded"), joined("ever").alias("ever"), "steps",
         F.round("reward", 9).alias("reward"),
@@ -142,9 +161,9 @@ def stream_replay_query(spark, folder):
 )
 def stream_branch(spark, folder):
     """Filter, map, window, then each result to the sink of its route."""
-    sinks = fresh_dir(spark, "routes")
-    rows = jobs.tumbling(_kept(spark, folder), ["user_id"], "5 minutes")
-    jobs.drain_batches(rows, files.branch_writer({"high_value": F.col("total_value") > 100.0}, sinks))
+    sinks, feed = fresh_dir(spark, "routes"), _feed(spark, folder)
+    rows = jobs.tumbling(_kept(feed), ["user_id"], "5 minutes")
+    feed.drain_batches(rows, files.branch_writer({"high_value": F.col("total_value") > 100.0}, sinks))
     fields = "user_id long, action_count long, total_value double, batch int, route string"
     return files.read_sink(spark, sinks, fields).select("route", "user_id", "action_count", "total_value")
 
@@ -159,9 +178,9 @@ def stream_branch(spark, folder):
 )
 def alert_stream(spark, folder):
     """One-minute windows whose error rate is above one percent, from the alert sink."""
-    sinks = fresh_dir(spark, "alerts")
-    rates = jobs.error_rates(_feed(spark, folder), "1 minute", F.col("event_type") == "error")
-    jobs.drain_batches(rates, files.branch_writer({"alert": F.col("error_rate") > 0.01}, sinks))
+    sinks, feed = fresh_dir(spark, "alerts"), _feed(spark, folder)
+    rates = jobs.error_rates(feed.rows("10 seconds"), "1 minute", F.col("event_type") == "error")
+    feed.drain_batches(rates, files.branch_writer({"alert": F.col("error_rate") > 0.01}, sinks))
     fields = "window_start timestamp, events long, errors long, sketch binary, error_rate double, batch int, route string"
     alerts = files.read_sink(spark, sinks, fields).where("route = 'alert'")
     return _ntz(alerts.select("window_start", "events", F.round("error_rate", 6).alias("error_rate")), "window_start")

@@ -50,11 +50,13 @@ def drain(stream: DataFrame, place: tuple[str, str] | None = None, mode: str = "
     return spark.read.schema(stream.schema).parquet(sink)
 
 
-def drain_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+def drain_batches(
+    stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append", progress: str | None = None
+) -> None:
     """Run a stream over all data there is, handing each micro-batch to a writer."""
     query = (
         stream.writeStream.foreachBatch(write).outputMode(mode)
-        .option("checkpointLocation", fresh_dir(stream.sparkSession, "progress"))
+        .option("checkpointLocation", progress or fresh_dir(stream.sparkSession, "progress"))
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()

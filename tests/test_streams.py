@@ -161,33 +161,73 @@ def test_stream_joins_a_lookup_too_large_to_broadcast(spark):
     assert [(r.event_id, r.name) for r in jobs.drain(rows).collect()] == [(1, "x")]
 
 
-def test_event_table_as_file_folder_and_many_batches(spark):
-    """One file, a folder of parts, and twenty ordered files with one per micro-batch give the same."""
-    from episodica.plans import load_all, stream_queries
+def test_event_table_as_file_folder_and_slices_of_time(spark):
+    """One file, and part files whose order says nothing about their times, cut into many slices, give the same."""
+    from episodica.plans import load_all
     from episodica.plans.registry import QUERIES
+    from episodica.streaming import backlog
 
     load_all()
     prepare(spark)
-    small = "/root/testdata/sf0.001"
-    parts, ordered = fresh_dir(spark, "parts"), fresh_dir(spark, "ordered")
-    names = "region nation customer supplier part orders lineitem".split()
-    for folder in (parts, ordered):
-        for name in names:
-            spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
-    events = spark.read.parquet(f"{small}/events.parquet")
-    events.repartition(5).write.parquet(f"{parts}/events.parquet")
-    for part in range(20):  # a stream takes files in order of their age
-        span = events.selectExpr("*", "ntile(20) over (order by ts, event_id) as part").where(f"part = {part + 1}").drop("part")
-        span.coalesce(1).write.mode("append").parquet(f"{ordered}/events.parquet")
+    small, parts = "/root/testdata/sf0.001", fresh_dir(spark, "parts")
+    for name in "region nation customer supplier part orders lineitem".split():
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{parts}/{name}.parquet")
+    spark.read.parquet(f"{small}/events.parquet").repartition(5).write.parquet(f"{parts}/events.parquet")
     bag = lambda df: sorted(map(str, df.collect()))
-    whole = {n: bag(QUERIES[n](spark, small)) for n in ("stream_source", "stream_dedup", "stream_replay")}
-    assert {n: bag(QUERIES[n](spark, parts)) for n in whole} == whole
-    kept = stream_queries.PER_TRIGGER
+    names = ("stream_source", "stream_tumbling", "stream_dedup", "stream_join_within", "stream_replay")
+    whole = {n: bag(QUERIES[n](spark, small)) for n in names}
+    assert {n: bag(QUERIES[n](spark, parts)) for n in names[:1]} == {names[0]: whole[names[0]]}
+    kept = backlog.SLICE_BYTES
     try:
-        stream_queries.PER_TRIGGER = {"maxFilesPerTrigger": "1"}
-        assert bag(QUERIES["stream_replay"](spark, ordered)) == whole["stream_replay"]
+        backlog.SLICE_BYTES = -(-backlog.file_bytes(spark, f"{parts}/events.parquet*") // 4)
+        assert {n: bag(QUERIES[n](spark, parts)) for n in names} == whole
     finally:
-        stream_queries.PER_TRIGGER = kept
+        backlog.SLICE_BYTES = kept
+
+
+def test_slices_of_time_are_disjoint_and_a_feed_goes_on(spark):
+    """Ties share a slice, rows without a time come first, and a second driver goes on where the first one ended."""
+    from episodica.streaming import backlog
+
+    prepare(spark)
+    folder = fresh_dir(spark, "ties")
+    feed(spark, folder, [(i, None if i % 10 == 0 else i % 4, i, "view", 1.0) for i in range(200)], 0)
+    size = backlog.file_bytes(spark, f"{folder}/*")
+    assert size > 0 and backlog.file_bytes(spark, f"{folder}/none*") == 0
+    made = backlog.Backlog(spark, f"{folder}/*", -(-size // 3))
+    place = jobs.new_place(spark)
+    jobs.drain(made.rows("10 seconds"), place)
+    again = backlog.Backlog(spark, f"{folder}/*", -(-size // 3), folder=made.folder)
+    out = again.drain(again.rows("10 seconds"), place)
+    assert sorted(r.event_id for r in out.collect()) == list(range(200))
+    spans = [spark.read.parquet(s).agg(F.min("ts"), F.max("ts"), F.count_if(F.isnull("ts"))).first() for s in sorted(
+        str(f).rsplit("/", 1)[0] for f in spark.read.parquet(f"{made.folder}/shown/*").inputFiles())]
+    spans = sorted(set((s[0], s[1]) for s in spans if s[0] is not None))
+    assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert not again.advance()
+
+
+def test_late_rows_are_kept_with_what_was_counted(spark):
+    """Counted and late rows together are all rows; a replayed batch leaves no copies."""
+    from episodica.streaming import backlog
+
+    prepare(spark)
+    folder, late = fresh_dir(spark, "late"), fresh_dir(spark, "side")
+    feed(spark, folder, [(1, 0, 1, "view", 1.0), (2, 30, 1, "view", 1.0)], 0)
+    write, progress, place = backlog.late_writer(late, "5 minutes", "10 seconds"), fresh_dir(spark, "progress"), jobs.new_place(spark)
+    for part, rows in enumerate([[], [(3, 1, 1, "view", 1.0), (4, 29, 1, "view", 1.0), (5, 31, 1, "view", 1.0), (6, None, 1, "view", 1.0)], [(7, 99, 1, "view", 1.0)]]):
+        if part:
+            feed(spark, folder, rows, part)
+        jobs.drain_batches(jobs.event_source(spark, f"{folder}/*"), write, progress=progress)
+        counted = jobs.event_source(spark, f"{folder}/*", delay="10 seconds").groupBy(F.window("ts", "5 minutes")).count()
+        out = jobs.drain(counted, place)
+    side = lambda: sorted(r.event_id for r in backlog.read_batches(spark, f"{late}/late", jobs.FEED_SCHEMA.replace("_NTZ", "")).collect())
+    assert side() == [3]  # the window of 4 ends after the mark of 29:50
+    assert out.agg(F.sum("count")).first()[0] == 4  # 1, 2, 4 and 5; 6 has no time, the window of 7 is open
+    batch = spark.read.parquet(f"{folder}/part=1").withColumn("ts", F.col("ts").cast("timestamp"))
+    number = max(r.batch for r in backlog.read_batches(spark, f"{late}/late", "event_id long, batch int").where("event_id = 3").collect())
+    write(batch, number)
+    assert side() == [3]
 
 
 def test_late_actions_open_no_second_episode(spark):
