@@ -7,8 +7,9 @@ block: a candidate whose partial distance is too large, by a test with error fac
 ``SIGMAS``, for the 10th best so far is abandoned. What is left is compared exactly, in
 double precision, on the original vectors.
 
-Lists are cut into blocks of bounded size and so are the queries of a list, so one list may
-hold any share of all vectors. A query that its probed lists leave short of neighbours
+Lists are cut into blocks of bounded size, so one list may hold any share of all vectors. A
+vector goes to its block once; queries go to the blocks of the lists they probe, and stream
+past the block that a task holds. A query that its probed lists leave short of neighbours
 searches all lists.
 """
 
@@ -28,7 +29,8 @@ from episodica.session import durable
 FIT_ROWS = 20_000  # vectors that the centres are fitted on, at most
 MOST_LISTS = 4096
 LIST_ROWS = 4096  # of a block
-QUERY_ROWS = 1024  # of a block
+QUERY_ROWS = 1024  # looked up at a time
+MOST_TASKS = 20_000  # that share the blocks of all lists, at most
 TARGET = 0.97  # share of sampled neighbours that the probed lists must hold
 TRIALS = 200  # sampled vectors whose neighbours in the sample are looked up, at most
 COLUMNS = 16  # read at a time
@@ -135,22 +137,40 @@ def scan(queries: np.ndarray, rows: np.ndarray, turn: np.ndarray, k: int) -> Ite
 
 
 def _search(turn: np.ndarray, k: int):
+    """Queries against the block of a list: a block's candidates come first and are held, queries stream past."""
     size = len(turn)
 
-    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        found: list[list] = [[], [], [], []]
-        if queries.num_rows and rows.num_rows:
-            q, c = _matrix(queries["v"], size), _matrix(rows["v"], size)
-            row, ids = rows["row"].to_numpy(), rows["vec_id"].to_numpy()
-            for one, own, query_id, alive in zip(q, queries["row"].to_pylist(), queries["vec_id"].to_pylist(), scan(q, c, turn, k)):
-                alive = alive[row[alive] != own]
-                score = np.sqrt(((c[alive] - one) ** 2).sum(1))
-                top = np.lexsort((row[alive], ids[alive], score))[:k]
-                found[0] += [own] * len(top)
-                found[1] += [query_id] * len(top)
-                found[2] += ids[alive][top].tolist()
-                found[3] += score[top].tolist()
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(found, _FOUND.types)], schema=_FOUND)
+    def found(rows: pa.Table, queries: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], []]
+        q, c = _matrix(queries["v"], size), _matrix(rows["v"], size)
+        row, ids = rows["row"].to_numpy(), rows["vec_id"].to_numpy()
+        for one, own, query_id, alive in zip(q, queries["row"].to_pylist(), queries["vec_id"].to_pylist(), scan(q, c, turn, k)):
+            alive = alive[row[alive] != own]
+            score = np.sqrt(((c[alive] - one) ** 2).sum(1))
+            top = np.lexsort((row[alive], ids[alive], score))[:k]
+            out[0] += [own] * len(top)
+            out[1] += [query_id] * len(top)
+            out[2] += ids[alive][top].tolist()
+            out[3] += score[top].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _FOUND.types)], schema=_FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []  # list and block of the candidates held
+        for batch in batches:
+            keys = np.stack([batch[name].to_numpy() for name in ("list", "block", "asks")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if start == stop:
+                    continue
+                part, key = batch.slice(start, stop - start), tuple(keys[:2, start])
+                if key != at:
+                    at, held = key, []
+                if not keys[2, start]:
+                    held.append(part)
+                elif held:
+                    held = [pa.Table.from_batches(held).combine_chunks().to_batches()[0]] if len(held) > 1 else held
+                    for i in range(0, part.num_rows, QUERY_ROWS):
+                        yield found(pa.Table.from_batches(held), part.slice(i, QUERY_ROWS))
 
     return run
 
@@ -182,22 +202,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, seed: int = 7) ->
     counts = dict(listed.groupBy("list").count().collect())  # one number per list, at most MOST_LISTS
     blocks = F.array(*[F.lit(-(-counts.get(i, 0) // LIST_ROWS)) for i in range(lists)])
     queries = durable(listed.where(is_query).select("row", "vec_id", "v"))
-    n_queries = queries.count()
-    cut = max(1, -(-n_queries // QUERY_ROWS))
-    candidates = (
-        listed.withColumn("block", F.pmod(F.xxhash64("row"), blocks[F.col("list")]).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(cut - 1))))
-    )
+    n_blocks = sum(-(-n // LIST_ROWS) for n in counts.values())
+    block = F.pmod(F.xxhash64("row"), blocks[F.col("list")]).cast("int")
+    candidates = listed.select("row", "vec_id", "v", "list", block.alias("block"), F.lit(0).alias("asks"))
 
     def nearest_of(some: DataFrame, probed: int) -> DataFrame:
         asked = (
             some.mapInArrow(_probe(middle, probed), kinds).withColumn("list", F.explode("lists")).drop("lists")
             .where(blocks[F.col("list")] > 0)
-            .withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("list")] - 1)))
-            .withColumn("part", F.pmod(F.xxhash64("row"), F.lit(cut)).cast("int"))
+            .select("row", "vec_id", "v", "list", F.explode(F.sequence(F.lit(0), blocks[F.col("list")] - 1)).alias("block"), F.lit(1).alias("asks"))
         )
-        key = ["list", "block", "part"]
-        found = asked.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInArrow(_search(turn, k), "qrow long, query_id long, vec_id long, score double")
+        # As many partitions as blocks: what counts is the pairs of a block, not its bytes.
+        both = candidates.unionByName(asked).repartition(min(MOST_TASKS, n_blocks), "list", "block").sortWithinPartitions("list", "block", "asks")
+        found = both.mapInArrow(_search(turn, k), "qrow long, query_id long, vec_id long, score double")
         best = Window.partitionBy("qrow").orderBy("score", "vec_id")
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

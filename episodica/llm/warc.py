@@ -33,6 +33,7 @@ LEAST_PAYLOAD = 100  # bytes from which equal payloads are revisits
 FILE_BYTES = 256 << 20
 RANGE_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
+MOST_READERS = 20_000  # partitions of a read, at most
 BROADCAST_ROWS = 500_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -181,7 +182,14 @@ def _read(folder: str, with_payload: bool):
 
 
 def read(index: DataFrame, folder: str, selected: Column | None = None, with_payload: bool = False) -> DataFrame:
-    """Records of the selected index rows, read back from the archives by coalesced ranges."""
-    rows = ranges(index if selected is None else index.where(selected)).select("file", "span", "offset", "length")
-    rows = rows.repartition("file", "span").sortWithinPartitions("file", "offset")
+    """Records of the selected index rows, read back from the archives by coalesced ranges.
+
+    There are as many partitions as the selected records fill ranges: the few bytes of
+    their index rows say nothing about the work.
+    """
+    chosen = index if selected is None else index.where(selected)
+    total = chosen.agg(F.sum("length")).first()[0] or 0
+    readers = min(MOST_READERS, max(1, -(-total // RANGE_BYTES)))
+    rows = ranges(chosen).select("file", "span", "offset", "length")
+    rows = rows.repartition(readers, "file", "span").sortWithinPartitions("file", "offset")
     return rows.mapInArrow(_read(folder, with_payload), _READ + ", payload binary" * with_payload)

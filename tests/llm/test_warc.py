@@ -64,3 +64,12 @@ def test_no_pages(spark, scratch):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     index, folder = warc.write(df)
     assert index.count() == 0 and warc.read(index, folder).count() == 0
+
+
+def test_readers_grow_with_the_bytes_of_the_archives(spark, scratch, monkeypatch):
+    index, folder = warc.write(spark.read.parquet(str(scratch / "pages.parquet")))
+    tasks = lambda: warc.read(index, folder).select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks() == 1
+    monkeypatch.setattr(warc, "RANGE_BYTES", 400)
+    assert tasks() > 2
+    assert sorted(r["page_id"] or 0 for r in warc.read(index, folder).collect()) == sorted(r["page_id"] or 0 for r in index.collect())
