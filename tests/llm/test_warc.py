@@ -67,7 +67,7 @@ def test_no_pages(spark, scratch):
 
 
 def test_readers_grow_with_the_bytes_of_the_archives(spark, scratch, monkeypatch):
-    index, folder = warc.write(spark.read.parquet(str(scratch / "pages.parquet")))
+    index, folder = warc.write(pages(spark, scratch, "readers"))
     tasks = lambda: warc.read(index, folder).select(F.spark_partition_id().alias("task")).distinct().count()
     assert tasks() == 1
     monkeypatch.setattr(warc, "RANGE_BYTES", 400)
