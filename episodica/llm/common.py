@@ -43,6 +43,14 @@ def fit_rows(df: DataFrame, limit: int, *keys: str) -> DataFrame:
     return df.orderBy(mark, *keys).limit(limit)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_rows(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a number of each row, written once: later scans may be split in other ways."""
     return durable(df.withColumn(name, F.monotonically_increasing_id()))

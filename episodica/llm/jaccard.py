@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.common import tidied, with_rows
+from episodica.llm.common import tidied, unused, with_rows
 from episodica.session import durable
 
 BANDS, BAND_ROWS = 5, 3
@@ -376,9 +376,10 @@ def linked(docs: DataFrame, width: int, threshold: int) -> DataFrame:
 
 def one_of_each(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """``docs`` with one row of each group: that of smallest doc_id, nulls last; all columns stay."""
-    docs = with_rows(docs, "__row")
-    rows = durable(Join(docs.select(F.col("__row").alias("row"), "doc_id", "text"), width, threshold).groups())
+    own = unused(docs, "__row")
+    docs = with_rows(docs, own)
+    rows = durable(Join(docs.select(F.col(own).alias("row"), "doc_id", "text"), width, threshold).groups())
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
-    first = rows.where("root is not null").groupBy("root").agg(F.min(rank).alias("m")).select(F.col("m.row").alias("__row"))
+    first = rows.where("root is not null").groupBy("root").agg(F.min(rank).alias("m")).select(F.col("m.row").alias(own))
     kept = durable(first.union(rows.where("root is null").select("row")))
-    return docs.join(_small(kept), "__row", "left_semi").drop("__row")
+    return docs.join(_small(kept), own, "left_semi").drop(own)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.common import numbered, with_rows
+from episodica.llm.common import numbered, unused, with_rows
 from episodica.session import durable
 
 BLOCK = 32  # rows
@@ -134,7 +134,8 @@ def mix(rows: DataFrame, weights: dict[str, float] | None = None, seed: int = 1,
 
 
 def mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 1) -> DataFrame:
-    """All rows and columns of ``docs``, in the order of the mix (part files are in order too)."""
-    rows = with_rows(docs, "__row")
-    places = mix(rows.select("__row", "doc_id", "source"), weights, seed).select("__row", F.col("place").alias("__place"))
-    return rows.join(places, "__row").repartitionByRange("__place").sortWithinPartitions("__place").drop("__row", "__place")
+    """All rows and columns of ``docs``, whatever their names, in the order of the mix (part files are in order too)."""
+    row, place = unused(docs, "__row"), unused(docs, "__place")
+    rows = with_rows(docs, row)
+    places = mix(rows.select(F.col(row).alias("__row"), "doc_id", "source"), weights, seed).select(F.col("__row").alias(row), F.col("place").alias(place))
+    return rows.join(places, row).repartitionByRange(place).sortWithinPartitions(place).drop(row, place)

@@ -98,3 +98,18 @@ def test_messy_rows(messy, empty):
     assert Counter(map(str, out.collect())) == Counter(map(str, messy.collect()))
     assert mixing.mixed_order(empty).count() == 0
     assert mixing.mix(messy.select("doc_id", "source")).where(F.col("slot").isNull()).count() == 0
+
+
+def test_columns_of_the_names_used_inside_keep_their_values(spark):
+    from episodica.llm import jaccard
+
+    text = F.concat(F.lit("one two three four five six "), (F.col("id") % 5).cast("string"))
+    docs = spark.range(40).select(
+        F.col("id").alias("doc_id"), F.lit("s").alias("source"), text.alias("text"),
+        *[(F.col("id") + i).alias(name) for i, name in enumerate(("__row", "__ROW_", "__place", "block", "place"))],
+    )
+    want = sorted(map(tuple, docs.collect()))
+    mixed = mixing.mixed_order(docs)
+    assert mixed.columns == docs.columns and sorted(map(tuple, mixed.collect())) == want
+    kept = jaccard.one_of_each(docs, 5, 80)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == want[:5]
