@@ -117,18 +117,18 @@ _NAMES = {tag: kind for kind, tag in TAGS.items()}
 _READERS = {
     "int32": lambda raw: ("int_value", struct.unpack(">i", raw)[0]),
     "float64": lambda raw: ("float_value", struct.unpack(">d", raw)[0]),
-    "string": lambda raw: ("string_value", raw.decode()),
+    "string": lambda raw: ("string_value", str(raw, "utf-8")),
     "bool": lambda raw: ("bool_value", raw[0] != 0),
 }
 
 
-def _take(data: bytes, at: int, size: int) -> tuple[bytes, int]:
+def _take(data: bytes | memoryview, at: int, size: int) -> tuple[bytes | memoryview, int]:
     if at + size > len(data):
         raise ValueError(f"record ends at byte {len(data)}, {at + size} needed")
     return data[at : at + size], at + size
 
 
-def _fields(data: bytes, at: int):
+def _fields(data: bytes | memoryview, at: int):
     raw, at = _take(data, at, 2)
     for number in range(int.from_bytes(raw, "big")):
         raw, at = _take(data, at, 3)
@@ -139,7 +139,7 @@ def _fields(data: bytes, at: int):
         raw, at = _take(data, at, 4)
         value, at = _take(data, at, int.from_bytes(raw, "big"))
         column, parsed = _READERS[kind](value)
-        yield {"field_no": number, "name": name.decode(), "type": kind, column: parsed, "next_offset": at}
+        yield {"field_no": number, "name": str(name, "utf-8"), "type": kind, column: parsed, "next_offset": at}
 
 
 _COLUMNS = {
@@ -148,7 +148,7 @@ _COLUMNS = {
 }
 
 
-def field_rows(records: Iterable[tuple[int | None, bytes | None, int | None]]) -> Iterator[pa.RecordBatch]:
+def field_rows(records: Iterable[tuple[int | None, bytes | memoryview | None, int | None]]) -> Iterator[pa.RecordBatch]:
     """One row per field of records (id, bytes, offset in them), in batches; a bad record gives one error row."""
 
     def out(rows: list[dict]) -> pa.RecordBatch:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -148,19 +149,19 @@ def record_index(spark: SparkSession, folder: str, span_bytes: int = SPAN_BYTES)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            if not r["offsets"]:
-                continue
-            with _open(r["path"]) as file:
-                part = _Bytes(file, r["start"], r["end"], r["size"])
-                ends = [*r["offsets"][1:], r["next"] if r["next"] >= 0 else r["size"]]
-                part.reach(ends[-1])
-                for block in field_rows((at, part.data[: end - r["start"]], at - r["start"]) for at, end in zip(r["offsets"], ends)):
-                    shift = pa.array([None if v is None else v + r["start"] for v in block["next_offset"].to_pylist()], pa.int64())
-                    columns = [pa.array([r["path"]] * block.num_rows, pa.string()), *block.columns]
-                    columns[1 + block.schema.get_field_index("next_offset")] = shift
-                    yield pa.RecordBatch.from_arrays(columns, ["path", *block.schema.names])
+    for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
+        r = row.to_pylist()[0]  # offsets of one span at a time
+        if not r["offsets"]:
+            continue
+        with _open(r["path"]) as file:
+            part = _Bytes(file, r["start"], r["end"], r["size"])
+            ends = [*r["offsets"][1:], r["next"] if r["next"] >= 0 else r["size"]]
+            part.reach(ends[-1])
+            view = memoryview(part.data)  # a record is cut off at its end without a copy of the span before it
+            for block in field_rows((at, view[: end - r["start"]], at - r["start"]) for at, end in zip(r["offsets"], ends)):
+                columns = [pa.array([r["path"]] * block.num_rows, pa.string()), *block.columns]
+                columns[1 + block.schema.get_field_index("next_offset")] = pc.add(block["next_offset"], r["start"])
+                yield pa.RecordBatch.from_arrays(columns, ["path", *block.schema.names])
 
 
 def read_records(spark: SparkSession, folder: str, span_bytes: int = SPAN_BYTES) -> DataFrame:

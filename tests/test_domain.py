@@ -437,6 +437,27 @@ def offsets_of(data):
         at = max([at + 2, *[f["next_offset"] for f in records._fields(data, at)]])
 
 
+def test_records_of_a_span_are_not_copied(spark, monkeypatch, tmp_path):
+    """Records are decoded in the one buffer of their span, however many lie before them in it."""
+    import pyarrow as pa
+
+    body = b"".join(b"\0\1\1\0\1k\0\0\0\4" + i.to_bytes(4, "big") for i in range(500))
+    path = tmp_path / "a.bin"
+    path.write_bytes(bytes(16) + body)
+    row = {"path": f"file://{path}", "size": 16 + len(body), "start": 0, "end": 16 + len(body), "first": 16, "next": 16 + len(body), "offsets": list(range(16, 16 + len(body), 14))}
+    buffers, whole = set(), recordfiles.field_rows
+
+    def watched(rows):
+        rows = list(rows)
+        buffers.update(id(getattr(data, "obj", data)) for _, data, _ in rows)
+        return whole(rows)
+
+    monkeypatch.setattr(recordfiles, "field_rows", watched)
+    out = pa.Table.from_batches(recordfiles._decoded(iter([pa.RecordBatch.from_pylist([row], schema=recordfiles._WALKED_ARROW)])))
+    assert out["int_value"].to_pylist() == list(range(500)) and out["next_offset"].to_pylist() == list(range(30, 31 + len(body), 14))[:500]
+    assert len(buffers) == 1
+
+
 def test_broken_and_empty_record_files(spark):
     prepare(spark)
     place = fresh_dir(spark, "records")
