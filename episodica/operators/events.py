@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import gcd
 
 import numpy as np
@@ -144,6 +145,47 @@ def with_percentiles(panes: DataFrame, shares: dict[str, float]) -> DataFrame:
     return panes.withColumn("error_rate", F.col("errors") / F.col("events")).withColumns(at)
 
 
+def value_panes(rows: DataFrame, keys: list[str], ts: str, width: str, value: str, is_error: Column) -> DataFrame:
+    """Per pane and key: events and errors of every distinct ``value``, which is what exact percentiles need.
+
+    Null and NaN values share the null one: they count as events only. No row holds more than one value of a pane.
+    """
+    number = F.when(~F.isnan(value), F.col(value))
+    panes = rows.groupBy(F.window(ts, width).alias("window"), *keys, number.alias("value")).agg(
+        F.count(F.lit(1)).alias("events"), F.count(F.when(is_error, 1)).alias("errors")
+    )
+    return panes.select(F.col("window.start").alias("pane"), *keys, "value", "events", "errors")
+
+
+def merged_values(panes: DataFrame, keys: list[str]) -> DataFrame:
+    """Value counts rolled up to ``keys``; the result can be rolled up again. No event is read."""
+    return panes.groupBy(*keys, "value").agg(F.sum("events").alias("events"), F.sum("errors").alias("errors"))
+
+
+def value_percentiles(
+    panes: DataFrame, keys: list[str], shares: dict[str, float], slice_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Events, error rate and exact nearest-rank percentiles of (merged) value counts; null where there are no values.
+
+    Takes one row per key and value, so running sums of the events are ranks, whatever a key's size.
+    """
+    # Written once, as the sums and the ranks both read it.
+    counted = durable(panes.withColumn("_known", F.when(F.col("value").isNotNull(), F.col("events")).otherwise(0)))
+    sums = counted.groupBy(*keys).agg(F.sum("events").alias("events"), F.sum("errors").alias("errors"), F.sum("_known").alias("_total"))
+    known = counted.where("value is not null").select(*keys, "value", "_known")
+    ranked = ordered(known, keys, ["value"], running={"_upto": F.col("_known")}, slice_rows=slice_rows)
+    totals = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_total")
+    same = reduce(lambda a, b: a & b, [ranked[k].eqNullSafe(totals[f"_k_{k}"]) for k in keys])
+    picked = [
+        F.min(F.when(F.col("_upto") >= F.ceil(F.col("_total") * F.lit(share)), F.col("value"))).alias(name)
+        for name, share in shares.items()
+    ]
+    at = ranked.join(totals, same).groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(*picked)
+    same = reduce(lambda a, b: a & b, [sums[k].eqNullSafe(at[f"_k_{k}"]) for k in keys])
+    out = sums.join(at, same, "left").withColumn("error_rate", F.col("errors") / F.col("events"))
+    return out.select(*keys, "events", "errors", "error_rate", *shares)
+
+
 def gate_limits(phases: DataFrame) -> DataFrame:
     """Limits named in the gate text of each phase; a phase may name either or neither."""
     def limit(metric: str) -> Column:

@@ -341,3 +341,33 @@ def test_percentiles_merge(spark):
     values = np.sort(big.toPandas()["value"].to_numpy())
     for share in (1, 25, 50, 75, 99):
         assert abs(np.searchsorted(values, got[f"p{share}"], "right") / len(values) - share / 100) < 0.003
+
+
+def test_rollups_are_exact_at_any_size(spark, tmp_path):
+    """More values an hour, and a user and phase, than a sketch keeps whole; nulls and NaN count as events only."""
+    from tests.oracle import connect, differences
+
+    rows = spark.range(60_000).select(
+        F.col("id").alias("event_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 120_000).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 2).alias("user_id"), F.when(F.col("id") % 9 == 0, "error").otherwise("view").alias("event_type"),
+        (F.pmod(F.hash("id"), F.lit(10_000_019)) / 7.0).alias("value"), F.lit("{}").alias("props"),
+    )
+    prepare(spark)
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    import __spark_entry__ as entry
+
+    for name in ("latency_rollup", "gate_rollup"):
+        assert differences(entry.queries()[name](spark, str(tmp_path)), con, entry.oracle_sql()[name]) == []
+
+    odd = spark.createDataFrame([(k, v) for k, vs in {None: [2.0, 1.0, None], 1: [float("nan"), None]}.items() for v in vs], "k int, value double")
+    panes = events.value_panes(odd.withColumn("ts", F.lit(T0).cast("timestamp")), ["k"], "ts", "1 minute", "value", F.col("value") == 1.0)
+    merged = events.merged_values(panes, ["k"])
+    got = {r.k: (r.events, r.errors, r.p50) for r in events.value_percentiles(merged, ["k"], {"p50": 0.5}).collect()}
+    assert got == {None: (3, 1, 1.0), 1: (2, 0, None)}
+    sliced = events.value_percentiles(events.merged_values(events.value_panes(rows, ["user_id"], "ts", "1 day", "value", F.lit(False)), ["user_id"]), ["user_id"], {"p": 0.3}, slice_rows=5000)
+    values = rows.toPandas()
+    for r in sliced.collect():
+        mine = np.sort(values[values.user_id == r.user_id].value.to_numpy())
+        assert r.p == mine[math.ceil(len(mine) * 0.3) - 1]
