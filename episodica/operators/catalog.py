@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodica.functions.draws import draw, seeded_order
-from episodica.plans.skew import keyed_join, ordered
+from episodica.plans.skew import SMALL_BYTES, keyed_join, ordered, planned_bytes
+
+TASK_ROWS = 400_000  # rows of references in one partition
+SHARES = 8  # partitions that a hot task, or a hot skill of it, is dealt to
 
 
 def catalog_entry() -> Column:
@@ -45,13 +48,31 @@ def missing_skills(refs: DataFrame, skills: DataFrame) -> DataFrame:
     return lost.groupBy("skill_id").agg(F.count(F.lit(1)).alias("references"))
 
 
-def bank_integrity(refs: DataFrame, least: int = 5) -> DataFrame:
-    """Per task: catalog size, skills in both roles, and whether the task is sound."""
-    per_skill = refs.groupBy("task_id", "skill_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_distinct("role").alias("_roles")
+def bank_integrity(refs: DataFrame, least: int = 5, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Per task: catalog size, skills in both roles (relevant, or another), and whether the task is sound.
+
+    Nearly every row is a group of its own, so rows are dealt before they are grouped: to as many partitions
+    as keep each at about ``task_rows`` rows, whatever the size of the table. The rows of one task and skill
+    go to SHARES of them, then the skills of one task, so neither needs to fit one partition.
+    """
+    spark = refs.sparkSession
+    parts = spark.sparkContext.defaultParallelism
+    if task_rows != TASK_ROWS or planned_bytes(refs) > SMALL_BYTES:
+        parts = max(parts, -(-refs.count() // task_rows))
+    share = F.pmod(F.xxhash64("skill_id"), F.lit(SHARES)).cast("int")
+    rows = refs.select(
+        "task_id", "skill_id", share.alias("_share"), F.pmod(F.monotonically_increasing_id(), F.lit(SHARES)).cast("int").alias("_salt"),
+        (F.col("role") == "relevant").alias("_relevant"),
+    )
+    dealt = rows.repartition(parts, "task_id", "skill_id", "_salt").groupBy("task_id", "skill_id", "_share", "_salt").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_relevant").alias("_least"), F.max("_relevant").alias("_most")
+    )
+    per_skill = dealt.repartition(parts, "task_id", "_share").groupBy("task_id", "_share", "skill_id").agg(
+        F.sum("_n").alias("_n"), (F.min("_least") != F.max("_most")).alias("_both")
     )
-    sums = per_skill.groupBy("task_id").agg(
-        F.sum("_n").alias("catalog_size"), F.count_if(F.col("_roles") > 1).alias("overlap")
+    per_share = per_skill.groupBy("task_id", "_share").agg(F.sum("_n").alias("_n"), F.count_if("_both").alias("_both"))
+    sums = per_share.repartition(parts, "task_id").groupBy("task_id").agg(
+        F.sum("_n").alias("catalog_size"), F.sum("_both").alias("overlap")
     )
     sound = (F.col("overlap") == 0) & (F.col("catalog_size") >= least)
     return sums.withColumn("sound", sound)

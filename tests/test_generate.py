@@ -101,3 +101,21 @@ def test_pool_skills_have_rows(spark):
     rows = generate.pool_skills(spark).collect()
     assert [r.skill_id for r in rows] == generate.POOL and all(len(r.full_content) > 60 for r in rows)
     assert [r.seed for r in generate.seeds(spark, 3, 7).collect()] == [70_000, 70_001, 70_002]
+
+
+def test_integrity_is_dealt_by_rows(spark):
+    """A table of any size is grouped in partitions of bounded rows, with a hot task and a hot skill in it."""
+    rows = [("hot", f"s{i % 700}", "relevant" if i % 1400 < 5 else "distractor") for i in range(4000)]
+    rows += [("one", "s1", "relevant")] * 2000 + [("one", "s1", None), (None, None, "relevant"), (None, "s2", None)]
+    rows += [(f"t{i // 5}", f"s{i}", "relevant" if i % 5 else "distractor") for i in range(4000)] + [("few", "a", "relevant"), ("few", "a", "distractor")]
+    refs = spark.createDataFrame(rows, "task_id string, skill_id string, role string")
+    out = catalog.bank_integrity(refs, task_rows=100)
+    assert out.rdd.getNumPartitions() >= len(rows) // 100
+    want = {}
+    for task, skill, role in rows:
+        want.setdefault(task, {}).setdefault(skill, []).append(role)
+    got = {r.task_id: (r.catalog_size, r.overlap, r.sound) for r in out.collect()}
+    assert len(got) == out.count() == len(want)
+    for task, skills in want.items():
+        size, both = sum(map(len, skills.values())), sum(len(set(roles) - {None}) > 1 for roles in skills.values())
+        assert got[task] == (size, both, both == 0 and size >= 5)
