@@ -371,3 +371,66 @@ def test_rollups_are_exact_at_any_size(spark, tmp_path):
     for r in sliced.collect():
         mine = np.sort(values[values.user_id == r.user_id].value.to_numpy())
         assert r.p == mine[math.ceil(len(mine) * 0.3) - 1]
+
+
+def test_live_replay_calls_the_store_once_a_bucket():
+    """Many episodes of a bucket cost one read, one write and one timer; done, late and abandoned ones stay apart."""
+    import pandas as pd
+
+    from episodica.streaming.replay import NAMES, ROW, LiveReplay
+
+    class Store:
+        value, timers, calls = None, set(), 0
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def clear(self):
+            self.calls, self.value = self.calls + 1, None
+
+        def registerTimer(self, at):  # noqa: N802
+            self.calls += 1
+            self.timers.add(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.calls += 1
+            self.timers.remove(at)
+
+    class Times:
+        mark = 0
+        getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: self.mark  # noqa: E731, N815
+
+    store, times, live = Store(), Times(), LiveReplay(1000)
+    live.init(store)
+
+    def run(rows):
+        before = store.calls
+        out = [r for part in live.handleInputRows((0,), iter([pd.DataFrame(rows, columns=ROW)]), times) for r in part[NAMES].itertuples(index=False)]
+        assert store.calls - before <= 4 and len(store.timers) == 1
+        return {(r.episode_id, r.steps, tuple(r.loaded), r.status) for r in out}
+
+    def ring():
+        (at,) = store.timers
+        store.timers.clear()
+        times.mark = max(times.mark, at)
+        return {(r.episode_id, r.steps, tuple(r.loaded), r.status) for part in live.handleExpiredTimer((0,), times, times) for r in part.itertuples()}
+
+    # In order of time, whatever the order of rows; a load beyond the budget is turned away.
+    rows = [(f"e{i}", "t", 1, 5_000_000 - k * 1000, k, act) for i in range(200) for k, act in enumerate(["+b", "+a"])]
+    assert run(rows) == set() and store.timers == {6000}
+    assert run([("e7", "t", 1, 5_500_000, 3, "!true"), ("e7", "t", 1, 5_600_000, 4, "+c"), ("e0", "t", 1, 4_000_000, 5, "")]) == {("e7", 3, ("a",), "done")}
+    assert run([("e7", "t", 1, 5_700_000, 6, "+c"), ("e7", "t", 1, 5_700_000, 7, "+c")]) == {("e7", 2, (), "late")}
+    assert run([("old", "t", 1, 4_500_000, 8, "-a")]) == set() and store.timers == {5500}
+    assert ring() == {("old", 1, (), "abandoned")} and store.timers == {6000}
+    assert ring() == {(f"e{i}", 3 if i == 0 else 2, ("a",), "abandoned") for i in range(200) if i != 7}
+    assert run([("e1", "t", 1, 6_100_000, 9, "+a")]) == {("e1", 1, (), "late")}
+    while store.timers:
+        assert ring() == set()
+    assert store.value is None
