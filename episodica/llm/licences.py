@@ -4,12 +4,12 @@ A paragraph is a run of lines between blank lines, its words joined, so a notice
 anywhere. As several notices may stand in one paragraph, one in a line, its lines are
 looked at as well. The classifier is a multinomial logistic regression with an L1 penalty
 over word n-grams (1 to 3 words). It is trained on notice templates, alone, cut short and
-with lines of the corpus around them, against a bounded sample of corpus lines and paragraphs.
-The cutoff below which one is of no family is calibrated on sampled ones that training did
+with lines of the corpus around them, against half of all different corpus lines and paragraphs.
+The cutoff below which one is of no family is calibrated on the other half, which training does
 not see. A predicted family counts as confirmed if enough three-word runs of one of its
 templates occur in the line or paragraph; otherwise it is an unknown licence.
 
-Every n-gram that is used holds an anchor, a template word that sampled corpus lines hardly
+Every n-gram that is used holds an anchor, a template word that corpus lines hardly
 use. A line without an anchor has no feature, so its scores are those of an empty line and
 it needs no scoring; this skips no line that the classifier could place elsewhere.
 
@@ -27,18 +27,17 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm.common import fit_rows, session
+from episodica.llm.common import session
+from episodica.plans.skew import ordered
 from episodica.session import durable
 
-SAMPLE_LINES = 8_000  # corpus lines and paragraphs to train and calibrate on, at most
-SAMPLE_DOCS = 2_000  # documents that they are taken from, at most
 FIT_TASKS, FIT_ROUNDS = 4, 60
-PADS = 8  # sampled lines put around each notice in training
-ANCHOR_SHARE = 0.002  # of the sampled lines
+PADS = 8  # corpus lines put around each notice in training
+ANCHOR_SHARE = 0.002  # of the different lines
 FALSE_SHARE = 0.001  # of unseen corpus lines may pass the cutoff
 LEAST_CUTOFF = 0.6
 CONFIRMED = 0.6
-HELD = 0.3  # share of a template from which a sampled line is left out of training
+HELD = 0.3  # share of a template from which a corpus line is left out of training
 UNKNOWN = "unknown"
 NONE = "none"
 
@@ -106,7 +105,7 @@ TEMPLATES = {
 
 
 def tokens(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(line), "[^\\p{L}\\p{N}]+"), "")
 
 
 def grams(found: Column, width: int) -> Column:
@@ -145,63 +144,127 @@ def _units(paragraph: Column) -> Column:
     return F.concat(F.transform(lines, lambda x: one(x, False)), F.when(F.size(lines) > 1, F.array(one(paragraph, True))).otherwise(F.array().cast("array<struct<line:string,whole:boolean>>")))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Lines and paragraphs of the texts."""
+def _runs(texts: list[str]) -> list[str]:
+    """The three-word runs of templates."""
+    return sorted({" ".join(own[i : i + 3]) for own in map(_words, texts) for i in range(len(own) - 2)})
+
+
+def _plain(found: Column) -> Column:
+    """Whether a line holds little of every template; one that holds much is a notice, no example of other text."""
+    every = [text for texts in TEMPLATES.values() for text in texts]
+    some = (F.size(F.array_intersect(found, F.lit(_own()))) > 2) & (F.size(F.array_intersect(grams(found, 3), F.lit(_runs(every)))) > 0)
+    held = F.when(some, F.greatest(*[_held(found, texts) for texts in TEMPLATES.values()]))
+    return F.coalesce(held < HELD, F.lit(True))
+
+
+def _own() -> list[str]:
+    """The words of all templates."""
+    return sorted({w for texts in TEMPLATES.values() for text in texts for w in _words(text)})
+
+
+def _names(line: Column) -> list[Column]:
+    """128 bits of hash that stand for a line (or paragraph); the second half deals it to training or calibration."""
+    return [F.xxhash64(line).alias("h"), F.xxhash64(line, F.lit(1)).alias("g")]
+
+
+HALF = "pmod(g, 2)"
+
+
+def _all_units(docs: DataFrame) -> DataFrame:
+    """Lines and paragraphs of all texts."""
     parts = docs.select(F.explode(_paragraphs(F.col("text"))).alias("paragraph"))
-    return parts.select(F.inline(_units(F.col("paragraph")))).select("line").where("trim(line) <> ''")
+    return parts.select(F.inline(_units(F.col("paragraph")))).where("trim(line) <> ''")
 
 
-def train(docs: DataFrame) -> Model:
-    """Fit on the templates and at most SAMPLE_LINES lines of SAMPLE_DOCS documents of smallest hash."""
+def _seen(docs: DataFrame) -> DataFrame:
+    """Every different line of all texts with the template words it holds, and every different paragraph."""
+    rows = _all_units(docs).select("whole", *_names(F.col("line")), F.when(~F.col("whole"), tokens(F.col("line"))).alias("words"))
+    own = F.coalesce(F.array_join(F.array_intersect("words", F.lit(_own())), " "), F.lit(""))
+    return rows.select("whole", "h", "g", own.alias("own"), _plain(F.col("words")).alias("plain")).distinct()
+
+
+def _pads(docs: DataFrame, seen: DataFrame) -> list[list[str]]:
+    """The words of the PADS lines of smallest hash, as surroundings of notices."""
+    some = [r["h"] for r in seen.where(f"not whole and plain and {HALF} = 0").orderBy("h", "g").limit(2 * PADS).collect()]
+    lines = _all_units(docs).where(~F.col("whole") & F.xxhash64("line").isin(some)).select("line").distinct() if some else None
+    found = lines.select(F.xxhash64("line").alias("h"), tokens(F.col("line")).alias("words")).collect() if some else []
+    return [r["words"] for r in sorted(found, key=lambda r: r["h"]) if r["words"]][:PADS]
+
+
+def _near(docs: DataFrame, anchors: list[str]) -> DataFrame:
+    """Lines and paragraphs (row, doc_id, par, whole, words, h, g) of every row; words and hashes only where there is an anchor.
+
+    A text without an anchor gives one row: it is not cut up.
+    """
+    has = lambda words: F.arrays_overlap(words, F.lit(anchors)) if anchors else F.lit(False)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")  # numbers rows, not lines
+    rows = rows.withColumn("text", F.when(has(tokens(F.col("text"))), F.col("text")))
+    rows = rows.select("row", "doc_id", F.posexplode_outer(_paragraphs(F.col("text"))).alias("par", "paragraph"))
+    rows = rows.select("row", "doc_id", "par", F.inline_outer(_units(F.col("paragraph")))).withColumn("words", tokens(F.col("line")))
+    rows = rows.withColumn("near", F.coalesce(has(F.col("words")), F.lit(False)))
+    return rows.select("row", "doc_id", "par", "whole", *[F.when(F.col("near"), c).alias(n) for n, c in zip("words h g".split(), [F.col("words"), *_names(F.col("line"))])])
+
+
+def _trained(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model fitted on the templates and all lines and paragraphs of all texts, and ``_near`` of the texts.
+
+    A line without an anchor has no feature, so all of them are one row of that weight; lines of the same
+    features are one as well. Weights count different lines, so fit and cutoff are those of all lines.
+    """
     spark = docs.sparkSession
-    hashed = docs.where("text is not null").select(F.xxhash64("text").alias("hash"), "text")
-    some = fit_rows(hashed.select("hash").distinct(), SAMPLE_DOCS, "hash")
-    some = durable(hashed.join(F.broadcast(some), "hash").groupBy("hash").agg(F.first("text").alias("text")))
-    lines = fit_rows(_lines(some).distinct(), SAMPLE_LINES, "line")
+    seen = durable(_seen(docs))
+    count = lambda c: F.count_if(F.expr(c))
+    n_lines, *n = seen.agg(count("plain and not whole"), *[count(f"plain and {HALF} = {i}") for i in (0, 1)]).first()
+    words = seen.where("plain and not whole and own <> ''").select(F.explode(F.split("own", " ")).alias("word"))
+    used = {r["word"]: r["count"] for r in words.groupBy("word").count().collect()}  # template words, each once
+    anchors = [w for w in _own() if len(w) > 1 and used.get(w, 0) <= ANCHOR_SHARE * max(1, n_lines)]
+    units = durable(_near(docs, anchors))
+    # Different lines and paragraphs with an anchor.
+    near = durable(units.where("words is not null").select("whole", "h", "g", "words").distinct().withColumn("plain", _plain(F.col("words"))))
+    met = near.agg(*[count(f"(plain or whole) and {HALF} = {i}") for i in (0, 1)]).first()
+    plain = near.where("plain")
     templates = _templates(spark).withColumn("words", tokens(F.col("line")))
-    sampled = durable(lines.withColumn("words", tokens(F.col("line"))).withColumn("half", F.pmod(F.xxhash64("line", F.lit(1)), F.lit(2))))
-    # Lines that hold much of a template are notices, no examples of other text.
-    plain = durable(sampled.where(F.greatest(*[_held(F.col("words"), texts) for texts in TEMPLATES.values()]) < HELD))
-    n = max(1, plain.count())
-    used = plain.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count()
-    own = templates.select(F.explode("words").alias("word")).distinct()
-    # Template words, each once.
-    anchors = sorted(
-        r["word"] for r in own.join(used, "word", "left").where((F.coalesce("count", F.lit(0)) <= ANCHOR_SHARE * n) & (F.length("word") > 1)).collect()
-    )
     anchored = lambda g: F.arrays_overlap(F.split(g, " "), F.lit(anchors))
     size = F.size("words")
     variants = templates.select("family", "words").unionByName(
         templates.where(size > 5).select("family", F.slice("words", F.lit(2), size).alias("words"))
     ).unionByName(templates.where(size > 5).select("family", F.slice("words", F.lit(1), size - 1).alias("words")))
-    pads = [r["words"] for r in plain.where("half = 0 and size(words) > 0").orderBy(F.xxhash64("line", F.lit(2)), "line").limit(PADS).collect()]
+    pads = _pads(docs, seen)
     pad = F.explode(F.array(*[F.array(*map(F.lit, p)) for p in pads])) if pads else F.lit(None).cast("array<string>")
     padded = variants.select("family", "words", pad.alias("pad"))
     padded = padded.where("pad is not null")
     positive = variants.unionByName(padded.select("family", F.concat("pad", "words").alias("words"))).unionByName(
         padded.select("family", F.concat("words", "pad").alias("words"))
     )
-    rows = positive.unionByName(plain.where("half = 0").select(F.lit(NONE).alias("family"), "words"))
-    rows = durable(rows.withColumn("grams", F.filter(features(F.col("words")), anchored)))
-    vocabulary = sorted(r["g"] for r in templates.select(F.explode(F.filter(features(F.col("words")), anchored)).alias("g")).distinct().collect())
     families = [NONE, *sorted(TEMPLATES)]
+    vocabulary = sorted(r["g"] for r in templates.select(F.explode(F.filter(features(F.col("words")), anchored)).alias("g")).distinct().collect()) if anchors else []
     if not vocabulary:
-        return Model(families, {}, [0.0] * len(families), [], 1.0)
+        return Model(families, {}, [0.0] * len(families), [], 1.0), units
+    rows = positive.unionByName(plain.where(f"{HALF} = 0").select(F.lit(NONE).alias("family"), "words"))
+    rows = rows.select("family", F.array_sort(F.array_intersect(features(F.col("words")), F.lit(vocabulary))).alias("grams"), F.lit(1).cast("long").alias("n"))
+    far = spark.range(max(0, min(1, n[0] - met[0]))).select(F.lit(NONE).alias("family"), F.array().cast("array<string>").alias("grams"), F.lit(n[0] - met[0]).cast("long").alias("n"))
+    rows = durable(rows.unionByName(far).groupBy("family", "grams").agg(F.sum("n").alias("n")))
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features", minTF=1.0)
     label = F.array_position(F.lit(families), F.col("family")).cast("double") - 1
-    share = rows.groupBy("family").agg((1 / F.count(F.lit(1))).alias("share"))  # each family weighs the same
+    share = rows.groupBy("family").agg((1 / F.sum("n")).alias("share"))  # each family weighs the same
     data = vectors.transform(rows.join(F.broadcast(share), "family").withColumn("label", label))
-    data = data.coalesce(FIT_TASKS).withColumn("weight", F.col("share") * len(families) * F.when(F.col("family") == NONE, 4.0).otherwise(1.0))
-    fitted = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=1e-4, maxIter=FIT_ROUNDS, weightCol="weight", standardization=False).fit(data)
+    data = data.withColumn("weight", F.col("n") * F.col("share") * len(families) * F.when(F.col("family") == NONE, 4.0).otherwise(1.0))
+    fitted = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=1e-4, maxIter=FIT_ROUNDS, weightCol="weight", standardization=False).fit(data.coalesce(FIT_TASKS))
     matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
     terms = {t: [float(x) for x in matrix[:, i]] for i, t in enumerate(vocabulary) if abs(matrix[:, i]).max() > 0}
     draft = Model(families, terms, [float(x) for x in bias], anchors, 0.0)
     # The share of unseen corpus lines that would pass as a licence bounds the cutoff from below.
-    unseen = plain.where("half = 1").select(best(F.col("words"), draft).alias("b")).where(F.col("b.family") != NONE).select("b.chance")
-    allowed = math.floor(FALSE_SHARE * n / 2)
-    passing = [r["chance"] for r in unseen.orderBy(F.desc("chance")).limit(allowed + 1).collect()]
-    cutoff = max(LEAST_CUTOFF, passing[allowed] + 1e-9 if len(passing) > allowed else 0.0)
-    return Model(families, terms, draft.bias, anchors, min(cutoff, 1.0))
+    unseen = plain.where(f"{HALF} = 1").select(best(F.col("words"), draft).alias("b")).where(F.col("b.family") != NONE)
+    passing = unseen.groupBy((-F.col("b.chance")).alias("below")).agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(0))
+    upto = ordered(passing, ["all"], ["below"], running={"upto": F.col("n")})
+    passed = upto.where(F.col("upto") > math.floor(FALSE_SHARE * n[1])).agg(F.min("below")).first()[0]
+    cutoff = max(LEAST_CUTOFF, 1e-9 - passed if passed is not None else 0.0)
+    return Model(families, terms, draft.bias, anchors, min(cutoff, 1.0)), units
+
+
+def train(docs: DataFrame) -> Model:
+    """Fit on the templates and all lines and paragraphs of all texts."""
+    return _trained(docs)[0]
 
 
 def best(found: Column, model: Model) -> Column:
@@ -223,8 +286,8 @@ def best(found: Column, model: Model) -> Column:
 def _held(found: Column, texts: list[str]) -> Column:
     """Largest share of the three-word runs of one of ``texts`` that a line holds."""
     runs, parts = grams(found, 3), [F.lit(0.0)]
-    for own in map(_words, texts):
-        want = sorted({" ".join(own[i : i + 3]) for i in range(len(own) - 2)})
+    for text in texts:
+        want = _runs([text])
         parts.append(F.size(F.array_intersect(runs, F.lit(want))) / len(want))
     return F.greatest(*parts)
 
@@ -252,12 +315,11 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     best_chance null. Repeated rows and null ids stay. Only doc_id and text are read; each
     line of every text is.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")  # numbers rows, not lines
-    rows = rows.select("row", "doc_id", F.posexplode_outer(_paragraphs(F.col("text"))).alias("par", "paragraph"))
-    rows = rows.select("row", "doc_id", "par", F.inline_outer(_units(F.col("paragraph"))))
-    rows = rows.withColumn("words", tokens(F.col("line")))
-    near = F.arrays_overlap("words", F.lit(model.anchors)) if model.anchors else F.lit(False)
-    found = F.when(near, best(F.col("words"), model))
+    return _judged(_near(docs, model.anchors), model)
+
+
+def _judged(rows: DataFrame, model: Model) -> DataFrame:
+    found = F.when(F.col("words").isNotNull(), best(F.col("words"), model))
     lines = rows.select("row", "doc_id", "par", "whole", found.alias("b"), "words")
     hit = F.coalesce((F.col("b.family") != NONE) & (F.col("b.chance") >= model.cutoff), F.lit(False))
     sure = F.when(hit, template_match(F.col("words"), F.col("b.family")) >= CONFIRMED)
@@ -287,4 +349,5 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 
 def licences(docs: DataFrame) -> DataFrame:
     session(docs.sparkSession)
-    return scan(docs, train(docs))
+    model, units = _trained(docs)
+    return _judged(units, model)

@@ -78,3 +78,14 @@ def test_messy_rows(messy, empty):
     got = licences.licences(messy).collect()
     assert len(got) == messy.count() and {r["licences"] for r in got} == {"none"}
     assert licences.licences(empty).count() == 0
+
+
+def test_training_counts_every_line(spark, scratch):
+    """Anchors and counts are those of all different lines of all documents, of which there are more than a sample took."""
+    rows = [(i, "\n".join([f"q{i}a z{4 * i + k}" + (" isc" if i < 21 and k == 0 else " mpl" if i < 20 and k == 1 else "") for k in range(4)])) for i in range(2500)]
+    rows += [(9000 + i, rows[0][1]) for i in range(50)]  # copies count once
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = licences._seen(docs)
+    assert (seen.where("not whole").count(), seen.where("whole").count()) == (10_000, 2500)
+    anchors = licences.train(docs).anchors  # one in 500 lines at most: 20 of 10,000
+    assert "mpl" in anchors and "isc" not in anchors
